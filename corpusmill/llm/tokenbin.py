@@ -35,7 +35,8 @@ LIMIT, BLOCK, CHUNK, IMAGE = 16, 512, 1 << 18, 1 << 20
 WORDS = 700_000
 MAGIC, HEAD = b"CMTB\x01\0\0\0", struct.Struct("<8sQQQQQ")
 #: Special tokens, and white space on which the tokenizer and str.split may differ: such texts are encoded whole.
-WHOLE = re.compile("<\\||[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]").search
+_ODD = "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, 0x3000, 0xFEFF)))
+WHOLE = re.compile(rf"<\||[{_ODD}]").search
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
