@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows, of at most about 200 bytes each, up to which a table is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it is proven small; else Spark's shuffled joins are used."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def release(spark: SparkSession) -> None:
+    """Has shuffle files of finished steps removed now rather than at some later garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def id_text(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.lit(""))
 

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from corpusmill.llm import common
 
 WINDOW, GRAM = 13, 8
-#: Rows of a benchmark table (16 to 200 bytes each) up to which it is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -49,15 +47,6 @@ def _text(words: Column, start: Column, n: Column | int) -> Column:
     return F.array_join(F.slice(words, start + 1, F.lit(n) if isinstance(n, int) else n), " ")
 
 
-def _is_small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it is proven small; else Spark's shuffled joins are used."""
-    return F.broadcast(df) if _is_small(df) else df
-
-
 def windows_of(benchmark: DataFrame) -> DataFrame:
     """(item_id, n, window): all windows of an item, of WINDOW words each, or one of all its words if it has fewer.
 
@@ -84,7 +73,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kept = full.select(F.split("window", " ").alias("words")).withColumn("_grams", _grams(F.col("words")))
     kept = kept.select(_kept(F.lit(0)).alias("_kept")).distinct().withColumn("_near", F.lit(True))
     each = words.withColumn("_grams", _grams(F.col("words"))).select("doc_id", "_version", F.size("words").alias("n_words"), "words", "_grams")
-    if _is_small(kept):
+    if common.is_small(kept):
         each = each.withColumn("_start", F.explode(_starts(-1))).withColumn("_kept", _kept(F.col("_start")))
         each = each.join(F.broadcast(kept), "_kept", "left").where((F.col("_start") < 0) | F.col("_near"))
     else:  # the kept hashes alone are shuffled; then each text gets those that it shares
@@ -102,11 +91,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not short.isEmpty():
         first = short.select(F.xxhash64(F.substring_index("window", " ", 1)).alias("_first"), "n").distinct()
         each = words.select("doc_id", "_version", "words", F.posexplode("words").alias("_start", "_word"))
-        each = each.withColumn("_first", F.xxhash64("_word")).join(_small(first), "_first").where(F.col("_start") + F.col("n") <= F.size("words"))
+        each = each.withColumn("_first", F.xxhash64("_word")).join(common.small(first), "_first").where(F.col("_start") + F.col("n") <= F.size("words"))
         window = _text(F.col("words"), F.col("_start"), F.col("n"))
         rows = rows.unionByName(each.select("doc_id", "_version", F.size("words").alias("n_words"), "_start", "n", window.alias("window")))
 
-    rows = rows.join(_small(texts), ["n", "window"], "left").where((F.col("_start") < 0) | F.col("wid").isNotNull())
+    rows = rows.join(common.small(texts), ["n", "window"], "left").where((F.col("_start") < 0) | F.col("wid").isNotNull())
     hit = F.when(F.col("wid").isNotNull(), F.struct("_start", (F.col("_start") + F.col("n")).alias("end"), "wid"))
     found = rows.groupBy("doc_id", "_version").agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("hits"))
     found = common.written(found, "matches")
@@ -120,7 +109,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lambda acc: acc["n"],
     )
     wids = found.where(F.size("hits") > 0).select("doc_id", "_version", F.explode(F.array_distinct(F.col("hits.wid"))).alias("wid"))
-    listed = wids.join(_small(pairs.select("wid", "item_id")), "wid").groupBy(F.col("doc_id").alias("_id"), F.col("_version").alias("_v"))
+    listed = wids.join(common.small(pairs.select("wid", "item_id")), "wid").groupBy(F.col("doc_id").alias("_id"), F.col("_version").alias("_v"))
     listed = listed.agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     same = found["doc_id"].eqNullSafe(listed["_id"]) & found["_version"].eqNullSafe(listed["_v"])
     items = F.coalesce("items", F.array().cast("array<string>")).alias("items")

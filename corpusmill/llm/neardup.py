@@ -102,7 +102,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         found = rows.select(word_hashes(F.col("text")).alias("w")).mapInArrow(collect, SETS)
         return found.join(needed, "key", "left_semi").dropDuplicates(["key"])
 
-    _, found = similar.components(items, sets, percent, 2 * PERMUTATIONS)
+    rows = items.select(F.explode("bands").alias("bucket"), "key", "n")
+    _, found = similar.components(rows, items, sets, percent, 2 * PERMUTATIONS)
     found = found.select(F.col("node").alias("key"), "component")
     placed = classes.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, decontam, neardup, pii, quality, tokenbin, toxicity
+from corpusmill.llm import bpe, decontam, linededup, neardup, pii, quality, tokenbin, toxicity
 from corpusmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def op9_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))

@@ -47,16 +47,20 @@ def extremes(values: np.ndarray, a: np.ndarray, b: np.ndarray, *, largest: bool,
     return np.concatenate([low, high]) if largest else low
 
 
-def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit key for each band of `rows` values."""
-    bands = signature.reshape(-1, rows).astype(np.uint64)
-    key = np.arange(1, len(bands) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def many_band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of `rows` values of each signature."""
+    bands = signatures.reshape(len(signatures), -1, rows).astype(np.uint64)
+    key = np.tile(np.arange(1, bands.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(bands), 1))
     for j in range(rows):
-        key = (key ^ bands[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
+        key = (key ^ bands[:, :, j]) * np.uint64(0xBF58476D1CE4E5B9)
         key ^= key >> np.uint64(29)
     return key.view(np.int64)
 
 
+def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
+    return many_band_keys(signature[None, :], rows)[0]
+
+
 def short_form(signature: np.ndarray) -> bytes:
     """16 bits of each value, for estimates."""
     return (signature ^ (signature >> np.uint32(16))).astype(np.uint16).tobytes()
@@ -74,7 +78,7 @@ def _estimate_floor(values: int, percent: int) -> float:
 def _confirmed(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
     needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    members = common.written(sets(needed), "sets")
+    members = common.written(sets(common.written(needed, "needed")), "sets")
     left = members.select(F.col("key").alias("a"), F.col("members").alias("left"))
     right = members.select(F.col("key").alias("b"), F.col("members").alias("right"))
 
@@ -107,8 +111,8 @@ def _in_blocks(members: DataFrame, floor: float, percent: int, most: int) -> Dat
         left = t["own"].to_numpy() == t["first"].to_numpy()
         right = t["own"].to_numpy() == t["second"].to_numpy()
         signature = np.stack([np.frombuffer(x, np.uint16) for x in t["signature"]])
-        n, component = t["n"].to_numpy(np.int64), pd.factorize(t["component"].map(bytes))[0]
-        keys, found = t["key"].map(bytes).to_numpy(), []
+        n, component = t["n"].to_numpy(np.int64), pd.factorize(t["component"])[0]
+        keys, found = t["key"].to_numpy(), []
         after = np.argsort(keys, kind="stable").argsort()
         others = np.flatnonzero(right)
         for i in np.flatnonzero(left):
@@ -123,7 +127,8 @@ def _in_blocks(members: DataFrame, floor: float, percent: int, most: int) -> Dat
             found += [(min(keys[i], keys[j]), max(keys[i], keys[j])) for j in js[rank <= most]]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return rows.groupBy("bucket", "first", "second").applyInPandas(pairs, "a binary, b binary")
+    kind = members.schema["key"].dataType.simpleString()
+    return rows.groupBy("bucket", "first", "second").applyInPandas(pairs, f"a {kind}, b {kind}")
 
 
 def _in_small(members: DataFrame, floor: float, percent: int) -> DataFrame:
@@ -144,22 +149,26 @@ def _in_small(members: DataFrame, floor: float, percent: int) -> DataFrame:
     return rows.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
-def components(items: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, values: int) -> tuple[DataFrame, DataFrame]:
+def components(rows: DataFrame, signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, values: int) -> tuple[DataFrame, DataFrame]:
     """Links of at least `percent` Jaccard similarity, and components.
 
-    items: key (binary), n (size of the set), bands (array<long>), signature
-    (binary, `values` 16-bit numbers); one row for each key.
+    rows: bucket (long), key (orderable), n (size of the set, or one number for
+    all if sizes aren't known); keys are distinct in a bucket.
+    signatures: key and signature (binary, `values` 16-bit numbers), a row for each key.
     sets: (key) rows to (key, members: sorted 64-bit numbers as binary).
     Returns the links found (a, b; enough of them for the components) and
     (node, component) for keys that have a link.
     """
     floor = _estimate_floor(values, percent)
-    rows = items.select(F.explode("bands").alias("bucket"), "key", "n")
-    me = F.xxhash64("key")
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n_members"), F.bit_xor(me).alias("mixed"), F.min(F.struct("key", "n")).alias("pivot"), F.max("key").alias("last"))
+    item = F.struct("key", "n")
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n_members"), F.bit_xor(F.xxhash64("key")).alias("mixed"), F.min(item).alias("pivot"), F.max(item).alias("last"))
     buckets = buckets.where("n_members > 1")
     buckets = buckets.groupBy("n_members", "mixed", "pivot", "last").agg(F.min("bucket").alias("bucket"))  # the same items meet in many bands
-    members = common.written(rows.join(buckets.select("bucket", "n_members", "pivot"), "bucket"), "buckets")
+    buckets = common.written(buckets.select("bucket", "n_members", "pivot", "last"), "buckets")
+    pairs = buckets.where("n_members = 2").select("bucket", "n_members", "pivot", F.inline(F.array("pivot", "last")))
+    more = buckets.where("n_members > 2").select("bucket", "n_members", "pivot")
+    more = rows.join(common.small(more), "bucket").select("bucket", "n_members", "pivot", "key", "n")
+    members = common.written(pairs.unionByName(more), "members")
 
     near = (F.col("key") != F.col("pivot.key")) & _near_size(F.col("n"), F.col("pivot.n"), percent)
     tried = common.written(members.where(near).select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
@@ -171,7 +180,7 @@ def components(items: DataFrame, sets: Callable[[DataFrame], DataFrame], percent
         placed = members.join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
         mixed = placed.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
         rest = placed.join(mixed, "bucket", "left_semi").select("bucket", "key", "n", "n_members", "component")
-        rest = rest.join(items.select("key", "signature"), "key")
+        rest = rest.join(signatures.select("key", "signature"), "key")
         small, large = rest.where(F.col("n_members") <= SMALL), rest.where(F.col("n_members") > SMALL)
         new = _in_small(small, floor, percent).unionByName(_in_blocks(large, floor, percent, most)).distinct()
         new = common.written(new.join(tried, ["a", "b"], "left_anti"), "pairs")
