@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, decontam, linededup, neardup, pii, quality, tokenbin, toxicity
+from corpusmill.llm import ann, bpe, decontam, linededup, neardup, pii, quality, tokenbin, toxicity
 from corpusmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,8 @@ def op5_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
