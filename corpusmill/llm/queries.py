@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import ann, bpe, decontam, linededup, neardup, pii, quality, tokenbin, toxicity
+from corpusmill.llm import ann, bpe, decontam, linededup, neardup, pii, quality, quotes, tokenbin, toxicity
 from corpusmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
