@@ -59,22 +59,23 @@ def _signatures(lines: DataFrame) -> DataFrame:
         a, b = similar.signature_tables(BANDS * ROWS, SEED)
         for batch in batches:
             first = dict(zip(reversed(batch.column(0).to_pylist()), reversed(batch.column(1).to_pylist()), strict=True))
-            found = [similar.short_form(similar.extremes(s, a, b, largest=False)) for s in shingles(list(first.values()))]
+            found = [similar.short_form(similar.extremes(s, a, b, largest=False)).tobytes() for s in shingles(list(first.values()))]
             yield pa.RecordBatch.from_arrays([pa.array(first.keys(), pa.int64()), pa.array(found, pa.binary())], names=["key", "signature"])
 
     return lines.select("key", "line").mapInArrow(rows, "key long, signature binary")
 
 
 def _bucket_rows(signatures: DataFrame) -> DataFrame:
-    """(bucket, key, n) of each band of each key; the bucket is a hash of the band's number and 16-bit values."""
+    """(bucket, band, key, n) of each band of each key; the bucket is a hash of the band's number and 16-bit values."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
             keys = similar.many_band_keys(values, ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1), pa.int64()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS), pa.int64())], names=["bucket", "key"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1), pa.int64()), pa.array(band), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS), pa.int64())], names=["bucket", "band", "key"])
 
-    return signatures.select("key", "signature").mapInArrow(rows, "bucket long, key long").withColumn("n", F.lit(1))
+    return signatures.select("key", "signature").mapInArrow(rows, "bucket long, band int, key long").withColumn("n", F.lit(1))
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -94,7 +95,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
         return rows.mapInArrow(collect, "key long, members binary").groupBy("key").agg(F.first("members").alias("members"))
 
-    _, found = similar.components(_bucket_rows(signatures), signatures, sets, percent, BANDS * ROWS)
+    _, found = similar.components(_bucket_rows(signatures), signatures, sets, percent, BANDS * ROWS, ROWS)
     found = found.select(F.col("node").alias("key"), "component")
     common.release(spark)
 

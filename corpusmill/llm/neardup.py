@@ -63,10 +63,10 @@ def features(docs: DataFrame, size: int) -> DataFrame:
             for s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
                 if len(s):
-                    values = similar.extremes(s, a, b, largest=True)
+                    values = similar.short_form(similar.extremes(s, a, b, largest=True))
                     key.append(_key(s))
                     bands.append(similar.band_keys(values, ROWS))
-                    signature.append(similar.short_form(values))
+                    signature.append(values.tobytes())
                 else:
                     key.append(None), bands.append(None), signature.append(None)
             yield pa.RecordBatch.from_arrays(
@@ -102,8 +102,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         found = rows.select(word_hashes(F.col("text")).alias("w")).mapInArrow(collect, SETS)
         return found.join(needed, "key", "left_semi").dropDuplicates(["key"])
 
-    rows = items.select(F.explode("bands").alias("bucket"), "key", "n")
-    _, found = similar.components(rows, items, sets, percent, 2 * PERMUTATIONS)
+    rows = items.select(F.posexplode("bands").alias("band", "bucket"), "key", "n")
+    _, found = similar.components(rows, items, sets, percent, 2 * PERMUTATIONS, ROWS)
     found = found.select(F.col("node").alias("key"), "component")
     placed = classes.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))

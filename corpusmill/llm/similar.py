@@ -5,10 +5,11 @@ distinct set, with LSH band keys and a signature. Buckets of equal band keys
 propose pairs, exact Jaccard similarity on whole sets confirms them.
 
 In a bucket each item is first held against one pivot. Only pairs that are
-still in different components are looked at further: all of them, in blocks of
-bounded size, by an estimate from the signatures. So a large group of copies
-costs a pair for each member, and no link between different components is lost
-for the size of a bucket.
+still in different components are looked at further: all of them, inside cells
+of bounded size, by an estimate from the signatures and then on whole sets. A
+cell gives back only links that join something. So a large group of copies
+costs a pair for each member, pairs are never listed, and no link between
+different components is lost for the size of a bucket.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import common, graph
 
-#: Items of a block in a large bucket, and of a bucket that is paired whole.
-BLOCK, SMALL = 512, 8
+#: Items of a block in a large bucket; of a bucket that is packed with others; of such a pack.
+BLOCK, SMALL, PACK = 512, 32, 4096
 #: Standard errors that an estimate may lie under the threshold.
 SLACK = 6.0
 
@@ -61,9 +62,9 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return many_band_keys(signature[None, :], rows)[0]
 
 
-def short_form(signature: np.ndarray) -> bytes:
-    """16 bits of each value, for estimates."""
-    return (signature ^ (signature >> np.uint32(16))).astype(np.uint16).tobytes()
+def short_form(signature: np.ndarray) -> np.ndarray:
+    """16 bits of each value; bands and estimates both use these."""
+    return (signature ^ (signature >> np.uint32(16))).astype(np.uint16)
 
 
 def _near_size(a: Column, b: Column, percent: int) -> Column:
@@ -84,107 +85,133 @@ def _confirmed(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            keep = []
-            for x, y in zip(t["left"], t["right"], strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(t["left"], t["right"], strict=True)]
             yield t.loc[keep, ["a", "b"]]
 
     return common.written(pairs.join(left, "a").join(right, "b").mapInPandas(compare, pairs.select("a", "b").schema), "links")
 
 
-def _in_blocks(members: DataFrame, floor: float, percent: int, most: int) -> DataFrame:
-    """Pairs of different components in large buckets that the estimate lets through.
-
-    `most` pairs for an item and a component, the likeliest, in this round.
-    """
+def _cells(members: DataFrame) -> DataFrame:
+    """members by cell: a pair of blocks of a large bucket, or a pack of small buckets. Every pair of a bucket meets in one cell."""
+    small = members.where(F.col("n_members") <= SMALL)
+    packs = F.lit(max(1, math.ceil(small.count() / PACK)))
+    small = small.withColumn("cell", F.pmod(F.xxhash64("bucket"), packs))
+    small = small.withColumn("own", F.lit(0)).withColumn("first", F.lit(0)).withColumn("second", F.lit(-1))
+    large = members.where(F.col("n_members") > SMALL).withColumn("cell", F.col("bucket"))
     blocks = F.ceil(F.col("n_members") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("key", F.lit(1)), blocks).cast("int")
-    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
-
-    def pairs(t: pd.DataFrame) -> pd.DataFrame:
-        left = t["own"].to_numpy() == t["first"].to_numpy()
-        right = t["own"].to_numpy() == t["second"].to_numpy()
-        signature = np.stack([np.frombuffer(x, np.uint16) for x in t["signature"]])
-        n, component = t["n"].to_numpy(np.int64), pd.factorize(t["component"])[0]
-        keys, found = t["key"].to_numpy(), []
-        after = np.argsort(keys, kind="stable").argsort()
-        others = np.flatnonzero(right)
-        for i in np.flatnonzero(left):
-            js = others[(component[others] != component[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
-            if left[others].all() and right[i]:
-                js = js[after[js] > after[i]]  # a block with itself: each pair once
-            if not len(js):
-                continue
-            share = (signature[js] == signature[i]).mean(axis=1)
-            js, share = js[share >= floor], share[share >= floor]
-            rank = pd.Series(-share).groupby(component[js]).rank(method="first").to_numpy() if len(js) else share
-            found += [(min(keys[i], keys[j]), max(keys[i], keys[j])) for j in js[rank <= most]]
-        return pd.DataFrame(found, columns=["a", "b"])
+    large = large.withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    large = large.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other")).drop("other")
+    return small.unionByName(large)
+
+
+def _pairs(t: pd.DataFrame, floor: float, percent: int, rows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows i of a bucket's cell, and rows js with which i makes pairs to be looked at.
 
+    Those are of different components and near sizes, pass the estimate, meet
+    in no earlier band, and are of the two blocks where the cell has two.
+    """
+    own, component, n = t["own"].to_numpy(), pd.factorize(t["component"])[0], t["n"].to_numpy(np.int64)
+    one_block = bool(t["second"].iloc[0] < 0 or t["first"].iloc[0] == t["second"].iloc[0])
+    signature = np.frombuffer(b"".join(t["signature"]), np.uint16).reshape(len(t), -1)
+    band = int(t["band"].iloc[0])
+    order = np.arange(len(t))
+    right = order if one_block else np.flatnonzero(own == t["second"].iloc[0])
+    for i in order if one_block else np.flatnonzero(own == t["first"].iloc[0]):
+        js = right[right > i] if one_block else right
+        js = js[(component[js] != component[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
+        if len(js):
+            same = signature[js] == signature[i]
+            js, same = js[same.mean(axis=1) >= floor], same[same.mean(axis=1) >= floor]
+            js = js[same.reshape(len(js), -1, rows).all(axis=2).argmax(axis=1) == band] if len(js) else js
+        if len(js):
+            yield i, js
+
+
+def _within_cells(members: DataFrame, sets: Callable[[DataFrame], DataFrame], floor: float, percent: int, rows: int) -> DataFrame:
+    """Confirmed links between different components, over all pairs of every bucket, as far as they join something.
+
+    First the signatures alone tell which members have a pair to be looked at;
+    then only those meet again, with their whole sets, each once for its cell
+    and not once for each pair.
+    """
+    cells, cell = _cells(members), ["cell", "first", "second"]
+
+    def likely(t: pd.DataFrame) -> pd.DataFrame:
+        keep = []
+        for _, b in t.groupby("bucket", sort=False):
+            at = set()
+            for i, js in _pairs(b, floor, percent, rows):
+                at.add(i)
+                at.update(js.tolist())
+            keep.append(b.iloc[sorted(at)])
+        return pd.concat(keep) if keep else t.iloc[:0]
+
+    found = common.written(cells.groupBy(*cell).applyInPandas(likely, cells.schema), "likely")
+    needed = common.written(found.select("key").distinct(), "needed")
+    found = found.join(sets(needed), "key")
     kind = members.schema["key"].dataType.simpleString()
-    return rows.groupBy("bucket", "first", "second").applyInPandas(pairs, f"a {kind}, b {kind}")
 
+    def confirm(t: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, b in t.groupby("bucket", sort=False):
+            whole = [np.frombuffer(x, "<u8") for x in b["members"]]
+            keys, top = b["key"].to_numpy(), {c: c for c in b["component"]}
+
+            def root(c):
+                while top[c] != c:
+                    c = top[c]
+                return c
+
+            component = b["component"].to_numpy()
+            for i, js in _pairs(b, floor, percent, rows):
+                for j in js:
+                    x, y = root(component[i]), root(component[j])
+                    if x != y and _similar(whole[i], whole[j], percent):
+                        top[max(x, y)] = min(x, y)
+                        out.append((keys[i], keys[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
 
-def _in_small(members: DataFrame, floor: float, percent: int) -> DataFrame:
-    """The same for buckets of up to SMALL items."""
-    one = members.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "component", "signature")])
-    two = members.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "component", "signature")])
-    apart = (F.col("key_a") < F.col("key_b")) & (F.col("component_a") != F.col("component_b"))
-    rows = one.join(two, "bucket").where(apart & _near_size(F.col("n_a"), F.col("n_b"), percent))
+    return common.written(found.groupBy(*cell).applyInPandas(confirm, f"a {kind}, b {kind}"), "links")
 
-    @F.pandas_udf("double")
-    def estimate(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=float)
-        a, b = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (x, y))
-        return pd.Series((a == b).mean(axis=1))
 
-    rows = rows.where(estimate("signature_a", "signature_b") >= floor)
-    return rows.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def components(rows: DataFrame, signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, values: int) -> tuple[DataFrame, DataFrame]:
+def components(rows: DataFrame, signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, values: int, width: int) -> tuple[DataFrame, DataFrame]:
     """Links of at least `percent` Jaccard similarity, and components.
 
-    rows: bucket (long), key (orderable), n (size of the set, or one number for
-    all if sizes aren't known); keys are distinct in a bucket.
-    signatures: key and signature (binary, `values` 16-bit numbers), a row for each key.
+    rows: bucket (long), band (int, from 0), key (orderable), n (size of the
+    set, or one number for all if sizes aren't known); keys are distinct in a bucket.
+    signatures: key and signature (binary, `values` 16-bit numbers, `width` to
+    a band), a row for each key.
     sets: (key) rows to (key, members: sorted 64-bit numbers as binary).
     Returns the links found (a, b; enough of them for the components) and
     (node, component) for keys that have a link.
     """
-    floor = _estimate_floor(values, percent)
     item = F.struct("key", "n")
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n_members"), F.bit_xor(F.xxhash64("key")).alias("mixed"), F.min(item).alias("pivot"), F.max(item).alias("last"))
+    buckets = rows.groupBy("bucket").agg(F.min("band").alias("band"), F.count("*").alias("n_members"), F.bit_xor(F.xxhash64("key")).alias("mixed"), F.min(item).alias("pivot"), F.max(item).alias("last"))
     buckets = buckets.where("n_members > 1")
-    buckets = buckets.groupBy("n_members", "mixed", "pivot", "last").agg(F.min("bucket").alias("bucket"))  # the same items meet in many bands
-    buckets = common.written(buckets.select("bucket", "n_members", "pivot", "last"), "buckets")
-    pairs = buckets.where("n_members = 2").select("bucket", "n_members", "pivot", F.inline(F.array("pivot", "last")))
+    buckets = buckets.groupBy("n_members", "mixed", "pivot", "last").agg(F.min(F.struct("band", "bucket")).alias("at"))  # the same items meet in many bands
+    buckets = common.written(buckets.select("at.*", "n_members", "pivot", "last"), "buckets")
+    pairs = buckets.where("n_members = 2").select("bucket", "band", "n_members", "pivot", F.inline(F.array("pivot", "last")))
     more = buckets.where("n_members > 2").select("bucket", "n_members", "pivot")
-    more = rows.join(common.small(more), "bucket").select("bucket", "n_members", "pivot", "key", "n")
+    more = rows.join(common.small(more), "bucket").select("bucket", "band", "n_members", "pivot", "key", "n")
     members = common.written(pairs.unionByName(more), "members")
 
     near = (F.col("key") != F.col("pivot.key")) & _near_size(F.col("n"), F.col("pivot.n"), percent)
-    tried = common.written(members.where(near).select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    links = _confirmed(tried, sets, percent)
-    most = 4
-    while True:
-        found = common.written(graph.components(links), "components")
-        of = found.withColumnRenamed("node", "key")
-        placed = members.join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        mixed = placed.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-        rest = placed.join(mixed, "bucket", "left_semi").select("bucket", "key", "n", "n_members", "component")
-        rest = rest.join(signatures.select("key", "signature"), "key")
-        small, large = rest.where(F.col("n_members") <= SMALL), rest.where(F.col("n_members") > SMALL)
-        new = _in_small(small, floor, percent).unionByName(_in_blocks(large, floor, percent, most)).distinct()
-        new = common.written(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            return links, found
-        links = common.written(links.unionByName(_confirmed(new, sets, percent)), "links")
-        tried, most = common.written(tried.unionByName(new), "pairs"), most * 16
+    stars = common.written(members.where(near).select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    links = _confirmed(stars, sets, percent)
+    found = common.written(graph.components(links), "components")
+
+    of = found.withColumnRenamed("node", "key")
+    placed = members.where("n_members > 2").drop("pivot").join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    mixed = placed.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
+    rest = common.written(placed.join(mixed, "bucket", "left_semi").join(signatures.select("key", "signature"), "key"), "rest")
+    if rest.isEmpty():
+        return links, found
+    links = common.written(links.unionByName(_within_cells(rest, sets, _estimate_floor(values, percent), percent, width)), "links")
+    return links, common.written(graph.components(links), "components")
