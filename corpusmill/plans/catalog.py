@@ -8,35 +8,474 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import is_blank, normalized
-from corpusmill.operators import dedup, split
+from corpusmill.operators import audit, chat, components, dedup, metrics, sequences, split
+from corpusmill.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+SEED = 42
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(name: str, sql: str | None = None):
+def query(sql: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql:
-            SQL[name] = sql
+            SQL[f.__name__] = sql
         return f
 
     return add
 
 
-def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents after normalisation, blank removal and first-wins exact dedup."""
+# SQL fragments
+
+NORM = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+DIGEST = "sha256(CAST(json_object('text', norm) AS VARCHAR))"
+HEAD = f"from_hex('{(split.DOMAIN.encode() + bytes([0]) + SEED.to_bytes(8, 'little')).hex()}')"
+NORMED = f"normed AS (SELECT doc_id, norm, {DIGEST} AS digest FROM (SELECT doc_id, {NORM} AS norm FROM documents) WHERE norm <> '')"
+KEPT = f"{NORMED}, kept AS (SELECT min(doc_id) AS doc_id, digest FROM normed GROUP BY digest)"
+
+
+def rank_sql(anchor: str) -> str:
+    return f"((CAST('0x' || substr(sha256({HEAD} || encode({anchor})), 1, 14) AS BIGINT) >> 3) / 9007199254740992.0)"
+
+
+def part_sql(anchor: str) -> str:
+    return f"CASE WHEN {rank_sql(anchor)} < 0.9 THEN 'train' WHEN {rank_sql(anchor)} < 0.95 THEN 'validation' ELSE 'test' END"
+
+
+ROLE = "CASE WHEN role IN ('user','human','prompter') THEN 'user' WHEN role IN ('assistant','gpt','model','bot') THEN 'assistant' WHEN role = 'system' THEN 'system' END"
+MESSAGES = f"messages AS (SELECT conv_id, list({{'role': {ROLE}, 'content': coalesce(text, '')}} ORDER BY turn) AS m FROM conversations GROUP BY conv_id)"
+SPOKEN = f"{MESSAGES}, spoken AS (SELECT conv_id, m, CASE WHEN m[1].role = 'system' THEN m[2:] ELSE m END AS s FROM messages)"
+VALID = (
+    "len(list_filter(m, lambda x: trim(regexp_replace(x.content, '\\s+', ' ', 'g')) = '')) = 0 AND len(s) >= 2 AND len(s) % 2 = 0 "
+    "AND len(list_filter(list_zip(s, range(1, len(s) + 1)), lambda z: coalesce(z[1].role = CASE WHEN z[2] % 2 = 1 THEN 'user' ELSE 'assistant' END, false))) = len(s)"
+)
+IDENTITY = "sha256('{\"messages\":[' || array_to_string(list_transform(m, lambda x: CAST(json_object('content', trim(regexp_replace(x.content, '\\s+', ' ', 'g')), 'role', x.role) AS VARCHAR)), ',') || ']}')"
+CHATS = f"{SPOKEN}, chats AS (SELECT conv_id, m, s, {IDENTITY} AS digest FROM spoken WHERE {VALID})"
+
+
+# Frames that several queries share
+
+
+def base_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, norm, digest) of documents that aren't blank."""
     docs = table(spark, sf_dir, "documents").select("doc_id", normalized(F.col("text")).alias("norm"))
-    docs = docs.where(~is_blank(F.col("norm"))).select("doc_id", dedup.digest(F.col("norm")).alias("digest"))
-    return dedup.keep_first(docs, "digest", "doc_id")
+    return docs.where(~is_blank(F.col("norm"))).withColumn("digest", dedup.digest(F.col("norm")))
+
+
+def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.keep_first(base_records(spark, sf_dir).select("doc_id", "digest"), "digest", "doc_id")
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.assemble(table(spark, sf_dir, "conversations"))
+
+
+def valid_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(spark, sf_dir).where(chat.is_valid(F.col("messages")))
 
 
-@query("split_counts")
+def partition(anchor: str):
+    return split.partition_of(F.col(anchor), SEED, 0.90, 0.05)
+
+
+# Text records
+
+
+@query(f"SELECT doc_id, {NORM} AS norm FROM documents")
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", normalized(F.col("text")).alias("norm"))
+
+
+@query(f"WITH {NORMED} SELECT doc_id, digest FROM normed")
+def base_record_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base_records(spark, sf_dir).select("doc_id", "digest")
+
+
+@query(f"WITH {KEPT} SELECT doc_id, digest FROM kept")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retained(spark, sf_dir)
+
+
+@query(f"WITH {NORMED} SELECT doc_id, min(doc_id) OVER (PARTITION BY digest) AS first_of FROM normed")
+def dup_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.mark_duplicates(base_records(spark, sf_dir).select("doc_id", "digest"), "digest", "doc_id").select("doc_id", "first_of")
+
+
+@query(f"WITH {KEPT} SELECT doc_id, {rank_sql('digest')} AS rank FROM kept")
+def split_rank53(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retained(spark, sf_dir).select("doc_id", split.unit_rank(F.col("digest"), SEED).alias("rank"))
+
+
+@query(f"WITH {KEPT} SELECT {part_sql('digest')} AS partition, count(*) AS n FROM kept GROUP BY 1")
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retained documents per partition: seed 42, 90/5/5."""
-    rows = retained(spark, sf_dir).select(split.partition_of(F.col("digest"), 42, 0.90, 0.05).alias("partition"))
-    return rows.groupBy("partition").agg(F.count("*").alias("n"))
+    return retained(spark, sf_dir).select(partition("digest").alias("partition")).groupBy("partition").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN length(norm) = 0 THEN 'blank' WHEN length(norm) < 2 THEN 'too_short' END AS reason FROM (SELECT doc_id, trim(regexp_replace(substr(text, 1, doc_id % 3), '\\s+', ' ', 'g')) AS norm FROM documents) WHERE length(norm) < 2")
+def short_text_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reject reasons of texts cut to 0, 1 or 2 characters, so that every reason occurs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("substring(text, 1, cast(doc_id % 3 as int))").alias("text"))
+    return docs.select("doc_id", audit.reject_reason(F.col("text")).alias("reason")).where("reason is not null")
+
+
+@query("SELECT doc_id, '[\"' || source || '\",\"string:' || lang || '\"]' AS key FROM documents")
+def group_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.to_json(F.array("source", F.concat(F.lit("string:"), "lang")))
+    return table(spark, sf_dir, "documents").select("doc_id", key.alias("key"))
+
+
+# Conversations
+
+
+@query(f"WITH {MESSAGES} SELECT conv_id, len(m) AS n, array_to_string(list_transform(m, lambda x: x.role), ',') AS roles, sha256(array_to_string(list_transform(m, lambda x: x.content), chr(10))) AS contents FROM messages")
+def chat_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("messages")
+    contents = F.array_join(F.transform(m, lambda x: x["content"]), "\n")
+    return conversations(spark, sf_dir).select("conv_id", F.size(m).cast("long").alias("n"), F.array_join(F.transform(m, lambda x: x["role"]), ",").alias("roles"), F.sha2(contents, 256).alias("contents"))
+
+
+@query(f"WITH {SPOKEN} SELECT conv_id, ({VALID}) AS valid FROM spoken")
+def chat_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(spark, sf_dir).select("conv_id", chat.is_valid(F.col("messages")).alias("valid"))
+
+
+@query(f"WITH {CHATS} SELECT conv_id, digest FROM chats")
+def chat_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return valid_chats(spark, sf_dir).select("conv_id", chat.identity(F.col("messages")).alias("digest"))
+
+
+SAID = "list_transform(s, lambda x: trim(regexp_replace(x.content, '\\s+', ' ', 'g')))"
+OVERLAPS = f"SELECT DISTINCT conv_id, sha256(t) AS hash FROM (SELECT conv_id, unnest(list_append({SAID}, trim(regexp_replace(array_to_string({SAID}, ' '), '\\s+', ' ', 'g')))) AS t FROM chats)"
+
+
+@query(f"WITH {CHATS} {OVERLAPS}")
+def chat_overlap_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return valid_chats(spark, sf_dir).select("conv_id", F.explode(chat.overlap_hashes(F.col("messages"))).alias("hash"))
+
+
+@query(
+    "SELECT u.conv_id, u.turn, sha256(u.text || chr(10) || chr(10) || a.text) AS digest FROM conversations u "
+    "JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'"
+)
+def instruction_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user turn and the answer after it as an instruction row."""
+    turns = table(spark, sf_dir, "conversations")
+    answers = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    rows = turns.where("role = 'user'").join(answers, ["conv_id", "turn"])
+    messages = rows.select("conv_id", "turn", chat.instruction(F.col("text"), F.col("answer")).alias("m"))
+    return messages.select("conv_id", "turn", F.sha2(F.concat_ws("\n\n", F.transform("m", lambda x: x["content"])), 256).alias("digest"))
+
+
+WORDS = "string_split_regex(trim(content), '\\s+')"
+
+
+@query(
+    f"WITH {CHATS}, w AS (SELECT conv_id, list_transform(m, lambda x: {{'role': x.role, 'n': len(string_split_regex(trim(x.content), '\\s+'))}}) AS w FROM chats) "
+    "SELECT conv_id, CAST(list_sum(list_transform(w, lambda x: x.n + 2)) AS BIGINT) AS n_ids, CAST(list_sum(list_transform(list_filter(w, lambda x: x.role = 'assistant'), lambda x: x.n + 1)) AS BIGINT) AS n_targets FROM w"
+)
+def chat_target_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of wire encodings with a word tokenizer, and learned positions."""
+    ids, mask = chat.wire(F.col("messages"), lambda c: F.transform(F.split(F.btrim(c), r"\s+"), lambda w: F.length(w)), {"system": 1, "user": 2, "assistant": 3}, 4)
+    rows = valid_chats(spark, sf_dir).select("conv_id", ids.alias("ids"), mask.alias("mask"))
+    return rows.select("conv_id", F.size("ids").cast("long").alias("n_ids"), F.size(F.filter("mask", lambda x: x)).cast("long").alias("n_targets"))
+
+
+# Families
+
+
+def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, digest, key): base and chat records by the hashes of what they say."""
+    base = base_records(spark, sf_dir).select(F.format_string("base-%012d", "doc_id").alias("node"), "digest", F.sha2("norm", 256).alias("key"))
+    chats = valid_chats(spark, sf_dir).select(F.format_string("chat-%012d", "conv_id").alias("node"), chat.identity(F.col("messages")).alias("digest"), F.explode(chat.overlap_hashes(F.col("messages"))).alias("key"))
+    return base.unionByName(chats)
+
+
+def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, component) of all records."""
+    keys = written(record_keys(spark, sf_dir).select("node", "key"), "keys")
+    found = components.components(components.star_edges(keys))
+    nodes = keys.select("node").distinct()
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+KEYS = (
+    f"{NORMED}, {CHATS}, keys AS (SELECT format('base-{{:012d}}', doc_id) AS node, digest, sha256(norm) AS key FROM normed UNION ALL "
+    f"SELECT format('chat-{{:012d}}', o.conv_id), c.digest, o.hash FROM ({OVERLAPS}) o JOIN chats c USING (conv_id))"
+)
+FAMILIES = (
+    f"{KEYS}, hub AS (SELECT node, min(node) OVER (PARTITION BY key) AS low FROM keys), "
+    "edges AS (SELECT DISTINCT node AS a, low AS b FROM hub UNION SELECT DISTINCT low, node FROM hub), "
+    "reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b), "
+    "families AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)"
+)
+
+
+@query(f"WITH RECURSIVE {FAMILIES} SELECT node, component FROM families")
+def component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families(spark, sf_dir)
+
+
+ANCHORED = f"{FAMILIES}, digests AS (SELECT DISTINCT node, digest FROM keys), anchored AS (SELECT component, min(digest) AS anchor FROM families JOIN digests USING (node) GROUP BY component)"
+
+
+def anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """families, and (component, anchor, partition): the least digest of a family decides."""
+    labels = written(families(spark, sf_dir), "families")
+    digests = record_keys(spark, sf_dir).select("node", "digest").distinct()
+    anchored = labels.join(digests, "node").groupBy("component").agg(F.min("digest").alias("anchor"))
+    return labels, anchored.withColumn("partition", partition("anchor"))
+
+
+@query(f"WITH RECURSIVE {ANCHORED} SELECT component, anchor, {part_sql('anchor')} AS partition FROM anchored")
+def component_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors(spark, sf_dir)[1]
+
+
+PLACED = (
+    f"{ANCHORED}, stays AS (SELECT min(node) AS node, digest, substr(node, 1, 4) AS stage FROM digests GROUP BY digest, substr(node, 1, 4)), "
+    f"placed AS (SELECT f.node, substr(f.node, 1, 4) AS stage, {part_sql('a.anchor')} AS partition, s.node IS NULL AS duplicate FROM families f JOIN anchored a USING (component) LEFT JOIN stays s ON s.node = f.node)"
+)
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, stage, partition, duplicate) of all records."""
+    labels, anchored = anchors(spark, sf_dir)
+    digests = record_keys(spark, sf_dir).select("node", "digest").distinct().withColumn("stage", F.substring("node", 1, 4))
+    stays = digests.groupBy("stage", "digest").agg(F.min("node").alias("stays"))
+    rows = digests.join(stays, ["stage", "digest"]).select("node", "stage", (F.col("node") != F.col("stays")).alias("duplicate"))
+    return rows.join(labels, "node").join(anchored, "component").select("node", "stage", "partition", "duplicate")
+
+
+@query(f"WITH RECURSIVE {PLACED} SELECT node, stage, partition, duplicate, CASE WHEN NOT duplicate THEN row_number() OVER (PARTITION BY stage, partition, duplicate ORDER BY node) END AS output_row FROM placed")
+def membership_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with its place in the output of its stage and partition, or none for duplicates."""
+    rows = written(placed(spark, sf_dir), "placed")
+    order = F.struct("stage", "partition", "node")
+    kept = sequences.running_total(rows.where("not duplicate").select(order.alias("at"), F.lit(1).alias("one")), "at", "one").select("at.*", "before")
+    first = kept.groupBy("stage", "partition").agg(F.min("before").alias("first"))
+    kept = kept.join(F.broadcast(first), ["stage", "partition"]).select("node", (F.col("before") - F.col("first") + 1).alias("output_row"))
+    return rows.join(kept, "node", "left").select("node", "stage", "partition", "duplicate", "output_row")
+
+
+@query(
+    f"WITH RECURSIVE {PLACED} SELECT s.stage, p.partition, count(x.node) AS n FROM (VALUES ('base'), ('chat')) s(stage) CROSS JOIN (VALUES ('train'), ('validation'), ('test')) p(partition) "
+    "LEFT JOIN (SELECT * FROM placed WHERE NOT duplicate) x ON x.stage = s.stage AND x.partition = p.partition GROUP BY 1, 2"
+)
+def partition_zero_filled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = spark.createDataFrame([(s, p) for s in ("base", "chat") for p in ("train", "validation", "test")], "stage string, partition string")
+    n = placed(spark, sf_dir).where("not duplicate").groupBy("stage", "partition").agg(F.count("*").alias("n"))
+    return cells.join(n, ["stage", "partition"], "left").select("stage", "partition", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"WITH RECURSIVE {FAMILIES} SELECT component, count(DISTINCT substr(node, 1, 4)) AS n_fixed FROM families GROUP BY component HAVING count(DISTINCT substr(node, 1, 4)) > 1")
+def fixed_partition_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families that would hold both sides if base were fixed to train and chat to test."""
+    stage = F.substring("node", 1, 4)
+    return families(spark, sf_dir).groupBy("component").agg(F.count_distinct(stage).alias("n_fixed")).where("n_fixed > 1")
+
+
+# Audits
+
+UNITS = "units AS (SELECT 'd' || doc_id AS id, text, 'train' AS partition FROM documents WHERE length(text) <= 2000 UNION ALL SELECT 'b' || item_id, text, 'test' FROM benchmark)"
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text", F.lit("train").alias("partition"))
+    return docs.unionByName(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text", F.lit("test").alias("partition")))
+
+
+ALL_UNITS = UNITS.replace(" WHERE length(text) <= 2000", "")
+
+
+@query(f"WITH {ALL_UNITS} SELECT sha256({NORM}) AS digest, count(*) AS n, count(DISTINCT partition) AS n_partitions FROM units GROUP BY 1 HAVING count(*) > 1")
+def cross_split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.exact_overlaps(units(spark, sf_dir))
+
+
+CONTAINED = (
+    f"{ALL_UNITS}, w AS (SELECT id, sha256(lower({NORM})) AS digest, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+') AS w FROM units), "
+    "s AS (SELECT id, digest, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0), "
+    "x AS (SELECT id, digest, len(s) AS n, unnest(s) AS h FROM s), "
+    "pairs AS (SELECT l.id AS left_id, r.id AS right_id, count(*) AS shared, min(least(l.n, r.n)) AS smaller FROM x l JOIN x r ON l.h = r.h AND l.id < r.id AND l.digest <> r.digest GROUP BY 1, 2)"
+)
+
+
+@query(f"WITH {CONTAINED} SELECT left_id, right_id, shared, CAST(smaller AS INTEGER) AS smaller, round(shared / smaller, 6) AS score FROM pairs WHERE shared >= 0.8 * smaller")
+def near_dup_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.containment_pairs(units(spark, sf_dir))
+
+
+@query(
+    f"WITH {CONTAINED} SELECT count(*) AS near_pairs, count(*) FILTER (left_id[1] <> right_id[1]) AS cross_partition FROM pairs WHERE shared >= 0.8 * smaller"
+)
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = audit.containment_pairs(units(spark, sf_dir))
+    return pairs.agg(F.count("*").alias("near_pairs"), F.count_if(F.substring("left_id", 1, 1) != F.substring("right_id", 1, 1)).alias("cross_partition"))
+
+
+# Sequences, with word lengths as ids
+
+TOKENS = "tokens AS (SELECT doc_id, list_transform(string_split_regex(trim(text), '\\s+'), lambda w: CAST(length(w) AS INTEGER)) AS t FROM documents)"
+CONTEXT = 64
+CHUNKS = f"{TOKENS}, chunks AS (SELECT doc_id, c AS chunk_no, t[c * {CONTEXT} + 1 : c * {CONTEXT} + {CONTEXT + 1}] AS ids FROM (SELECT doc_id, t, unnest(range(CAST(ceil((len(t) - 1) / {CONTEXT}) AS BIGINT))) AS c FROM tokens))"
+EXAMPLES = f"{CHUNKS}, examples AS (SELECT doc_id, chunk_no, row_number() OVER (ORDER BY doc_id, chunk_no) - 1 AS example_index, ids FROM chunks)"
+
+
+def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(F.btrim("text"), r"\s+"), lambda w: F.length(w)).alias("tokens"))
+
+
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.numbered_examples(word_tokens(spark, sf_dir), CONTEXT)
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, array_to_string(ids, ',') AS ids FROM chunks")
+def word_token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = word_tokens(spark, sf_dir).select("doc_id", F.posexplode(sequences.chunks(F.col("tokens"), CONTEXT)).alias("chunk_no", "ids"))
+    return rows.select("doc_id", "chunk_no", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"WITH {EXAMPLES} SELECT doc_id, min(example_index) AS first, max(example_index) AS last, CAST(sum(len(ids) - 1) AS BIGINT) AS targets FROM examples GROUP BY doc_id")
+def example_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return examples(spark, sf_dir).groupBy("doc_id").agg(F.min("example_index").alias("first"), F.max("example_index").alias("last"), F.sum(F.size("ids") - 1).alias("targets"))
+
+
+@query(
+    f"WITH {EXAMPLES}, b AS (SELECT example_index // 8 AS batch, max(len(ids) - 1) * count(*) AS padded, sum(len(ids) - 1) AS inputs FROM examples GROUP BY 1) "
+    "SELECT count(*) AS batches, CAST(sum(inputs) AS BIGINT) AS inputs, CAST(sum(padded) AS BIGINT) AS padded FROM b"
+)
+def batch_padding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.size("ids") - 1
+    b = examples(spark, sf_dir).groupBy(F.floor(F.col("example_index") / 8).alias("batch")).agg((F.max(n) * F.count("*")).alias("padded"), F.sum(n).alias("inputs"))
+    return b.agg(F.count("*").alias("batches"), F.sum("inputs").alias("inputs"), F.sum("padded").alias("padded"))
+
+
+@query(
+    f"WITH {EXAMPLES}, b AS (SELECT *, example_index // 8 AS batch_id, max(len(ids) - 1) OVER (PARTITION BY example_index // 8) AS width FROM examples) "
+    "SELECT batch_id, example_index % 8 AS row_in_batch, array_to_string(list_concat(ids[1:len(ids) - 1], list_transform(range(width - len(ids) + 1), lambda i: 0)), ',') AS inputs, "
+    "array_to_string(list_concat(ids[2:], list_transform(range(width - len(ids) + 1), lambda i: 0)), ',') AS targets, len(ids) - 1 AS n_valid FROM b"
+)
+def collated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sequences.collate(examples(spark, sf_dir).select(F.col("example_index").alias("draw_pos"), "ids"), 8, 0)
+    return rows.select("batch_id", "row_in_batch", F.array_join("inputs", ",").alias("inputs"), F.array_join("targets", ",").alias("targets"), F.size(F.filter("valid", lambda v: v)).cast("long").alias("n_valid"))
+
+
+@query()
+def doc_rank_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of the smallest seeded rank are held out."""
+    return sequences.validation_split(table(spark, sf_dir, "documents").select("doc_id"), 50, SEED)
+
+
+@query()
+def shuffle_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.scalable_order(examples(spark, sf_dir).select("example_index"), 0, SEED)
+
+
+@query()
+def weighted_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.weighted_draws(spark, [([0, 1], 1), ([2, 3, 4], 3)], 1000, 2, SEED)
+
+
+# Token statistics
+
+
+@query("SELECT w1, w2, count(*) AS n FROM (SELECT unnest(w[:-2]) AS w1, unnest(w[2:]) AS w2 FROM (SELECT string_split_regex(lower(trim(text)), '\\s+') AS w FROM documents) WHERE len(w) > 1) GROUP BY 1, 2 HAVING count(*) >= 20")
+def word_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring words that meet at least 20 times."""
+    w = table(spark, sf_dir, "documents").select(F.split(F.lower(F.btrim("text")), r"\s+").alias("w")).where("size(w) > 1")
+    pairs = w.select(F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("w1"), F.expr("slice(w, 2, size(w) - 1)").alias("w2"))).alias("p"))
+    return pairs.groupBy("p.w1", "p.w2").agg(F.count("*").alias("n")).where("n >= 20")
+
+
+@query(
+    "WITH v AS (SELECT w FROM (SELECT unnest(string_split_regex(lower(trim(text)), '\\s+')) AS w FROM documents WHERE doc_id % 2 = 0) GROUP BY w HAVING count(*) >= 5), "
+    "t AS (SELECT doc_id, unnest(string_split_regex(lower(trim(text)), '\\s+')) AS w FROM documents) "
+    "SELECT doc_id, count(*) AS token_count, count(*) FILTER (v.w IS NULL) AS unknown_count, count(*) FILTER (v.w IS NULL) / count(*) AS unknown_rate FROM t LEFT JOIN v ON t.w = v.w GROUP BY doc_id"
+)
+def byte_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of all documents by the words that even-numbered ones hold five times."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower(F.btrim("text")), r"\s+")).alias("w"))
+    known = words.where("doc_id % 2 = 0").groupBy("w").agg(F.count("*").alias("n")).where("n >= 5").select("w", F.lit(True).alias("known"))
+    counted = words.groupBy("doc_id", "w").agg(F.count("*").alias("n")).join(known, "w", "left")
+    unknown = F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0))
+    return counted.groupBy("doc_id").agg(F.sum("n").alias("token_count"), unknown.alias("unknown_count"), (unknown / F.sum("n")).alias("unknown_rate"))
+
+
+# Metrics
+
+
+@query(
+    "WITH l AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE)) AS v, label % 16 AS t FROM embeddings), "
+    "e AS (SELECT vec_id, list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) - v[t + 1] AS nll FROM l) "
+    "SELECT count(*) AS targets, round(sum(nll) / count(*), 9) AS mean_loss, round(exp(sum(nll) / count(*)), 9) AS perplexity FROM e"
+)
+def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target-weighted loss with vectors as logits and labels as targets."""
+    rows = table(spark, sf_dir, "embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("v"), (F.col("label") % 16).alias("t"))
+    out = metrics.target_weighted(rows.select(metrics.cross_entropy(F.col("v"), F.col("t")).alias("loss"), F.lit(1).alias("n")), "loss", "n")
+    return out.select("targets", F.round("mean_loss", 9).alias("mean_loss"), F.round("perplexity", 9).alias("perplexity"))
+
+
+@query(
+    "WITH l AS (SELECT vec_id, unnest(range(16)) AS id, unnest(list_transform(embedding[1:16], lambda x: 4 * CAST(x AS DOUBLE))) AS v FROM embeddings), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, id) AS k FROM l), "
+    "p AS (SELECT vec_id, id, k, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM r WHERE k <= 8), "
+    "c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) "
+    "SELECT vec_id, CAST(id AS INTEGER) AS id, round(p / sum(p) OVER (PARTITION BY vec_id), 9) AS p FROM c WHERE before < 0.6"
+)
+def topk_topp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 16), lambda x: 4 * x).alias("v"))
+    return rows.select("vec_id", F.inline(metrics.nucleus(F.col("v"), 8, 0.6))).select("vec_id", "id", F.round("p", 9).alias("p"))
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS id FROM embeddings")
+def greedy_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", metrics.greedy(F.col("embedding")).alias("id"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 9) AS norm FROM embeddings")
+def gradient_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    squares = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(squares), 9).alias("norm"))
+
+
+@query("WITH p AS (SELECT i AS sample, i * 7 // 3 AS low, (i + 1) * 7 // 3 AS high FROM range(3) r(i)) SELECT sample, low + (high - low) // 2 AS batch_index, high - low AS represented FROM p")
+def midpoint_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.midpoint_plan(spark, 7, 3)
+
+
+@query("SELECT CAST((1.0 * 2 + 2.0 * 2 + 10.0 * 3) * 2 AS DOUBLE) AS seconds")
+def time_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 10.0)], "sample long, seconds double")
+    return metrics.projected_seconds(metrics.midpoint_plan(spark, 7, 3).join(seconds, "sample"), 2)
+
+
+@query("SELECT i AS update, CASE WHEN i < 10 THEN 0.001 * (i + 1) / 10 ELSE 0.001 END::DOUBLE AS rate FROM range(20) r(i)")
+def warmup_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(20).select(F.col("id").alias("update"), metrics.warm_up(0.001, 10, F.col("id")).alias("rate"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'a-3', 3, NULL), ('b', NULL, NULL, 'invalid'), ('c', 'c-2', 2, 'invalid')) t(run, name, number, problem)")
+def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("a", 4, "a-4", "incomplete"), ("a", 3, "a-3", "complete"), ("a", 2, "a-2", "invalid"), ("b", 1, "b-1", "invalid"), ("c", 2, "c-2", "complete"), ("c", 5, "c-5", "invalid")]
+    return metrics.latest_checkpoint(spark.createDataFrame(rows, "run string, number int, name string, status string"))
+
+
+@query("SELECT e AS epoch, u AS update, CAST(sum(t) OVER (PARTITION BY e ORDER BY u) AS BIGINT) AS targets_so_far FROM (SELECT doc_id % 4 AS e, doc_id // 4 AS u, n_chars AS t FROM documents)")
+def resume_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("epoch"), F.expr("doc_id div 4").alias("update"), F.col("n_chars").alias("targets"))
+    return metrics.running_targets(rows)
+
+
+@query("SELECT f.folder, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents d JOIN (VALUES ('src0/'), ('src1/'), ('src12/')) f(folder) ON starts_with(d.source || '/' || d.doc_id, f.folder) GROUP BY 1")
+def doc_prefix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the selected folder that their path lies in; the folder list is the caller's and is broadcast."""
+    folders = spark.createDataFrame([("src0/",), ("src1/",), ("src12/",)], "folder string")
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    return docs.join(F.broadcast(folders), F.col("path").startswith(F.col("folder"))).groupBy("folder").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
