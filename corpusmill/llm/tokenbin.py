@@ -17,11 +17,11 @@ import heapq
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +30,9 @@ from tokenizers import Tokenizer
 from corpusmill.llm import common
 
 #: Longest code in bits, ids of a block, ids encoded at a time, and ids after which an image is closed.
-LIMIT, BLOCK, CHUNK, IMAGE = 16, 512, 1 << 18, 1 << 20
+LIMIT, BLOCK, CHUNK, IMAGE = 16, 512, 1 << 18, 1 << 19
 #: Words whose ids a Python worker keeps; it starts anew when full.
-WORDS = 700_000
+WORDS = 500_000
 MAGIC, HEAD = b"CMTB\x01\0\0\0", struct.Struct("<8sQQQQQ")
 #: Special tokens, and white space on which the tokenizer and str.split may differ: such texts are encoded whole.
 _ODD = "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, 0x3000, 0xFEFF)))
@@ -151,11 +151,28 @@ def from_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # Tokens
 
 
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordIds(dict):
     """Ids of words between blanks, by the tokenizer, as little-endian numbers of `kind`."""
 
     def __init__(self, tokenizer: Tokenizer, kind: str):
-        self.tokenizer, self.kind = tokenizer, kind
+        self.tokenizer, self.kind, self.model, self.alphabet = tokenizer, kind, tokenizer.model, _byte_letters()
+
+    def letters(self, word: str) -> bytes:
+        """Of a word of letters: lower-case and composed ones need only the tokenizer's merges."""
+        if word.isascii():
+            word = word.lower()
+        elif word == word.lower() and unicodedata.is_normalized("NFC", word):
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        else:
+            return self.raw(word)
+        return np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -164,10 +181,12 @@ class WordIds(dict):
         if len(self) >= WORDS:
             self.clear()
         letters = word.rstrip(PUNCTUATION)
-        if letters != word and letters.isalpha():  # the tokenizer parts letters from signs
-            out = self[letters] + self[word[len(letters) :]]
-        else:
+        if not letters.isalpha():
             out = self.raw(word)
+        elif letters == word:
+            out = self.letters(word)
+        else:  # the tokenizer parts letters from signs
+            out = self[letters] + self[word[len(letters) :]]
         self[word] = out
         return out
 
@@ -215,7 +234,7 @@ def write_images(tokens: DataFrame, kind: str) -> DataFrame:
     Equal doc_ids are in order of their ids' bytes, null ones first.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
             got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
@@ -256,25 +275,24 @@ def write_images(tokens: DataFrame, kind: str) -> DataFrame:
     return common.written(ordered.mapInArrow(images, "part int, seq int, n_docs long, n_ids long, image binary"), "token-files")
 
 
-def read_images(files: DataFrame) -> DataFrame:
-    """(doc_id, start, ids as little-endian unsigned 32-bit numbers) from file images."""
+def read_images(files: DataFrame, *, digests: bool = False) -> DataFrame:
+    """(doc_id, start, ids as little-endian unsigned 32-bit numbers) from file images; with digests (n_tokens, ids_crc32) in place of ids."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for base, image in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                doc_ids, sizes, ids = from_image(image)
-                ends = np.cumsum(sizes)
-                ids = ids.astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc_ids, pa.int64(), mask=doc_ids == NULL_ID),
-                        pa.array(ends - sizes + base, pa.int64()),
-                        pa.array([ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary()),
-                    ],
-                    names=["doc_id", "start", "ids"],
-                )
-
-    return _with_base(files).select("base", "image").mapInArrow(rows, "doc_id long, start long, ids binary")
+            for base, image in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                doc_ids, sizes, ids = from_image(image.as_py())
+                ends, data = np.cumsum(sizes), memoryview(ids.astype("<u4").tobytes())
+                parts = [data[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                out = {"doc_id": pa.array(doc_ids, pa.int64(), mask=doc_ids == NULL_ID), "start": pa.array(ends - sizes + base, pa.int64())}
+                if digests:
+                    out |= {"n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array([zlib.crc32(p) for p in parts], pa.int64())}
+                else:
+                    out["ids"] = pa.array([bytes(p) for p in parts], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
+
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" if digests else "doc_id long, start long, ids binary"
+    return _with_base(files).select("base", "image").mapInArrow(rows, schema)
 
 
 def _with_base(files: DataFrame) -> DataFrame:
@@ -299,11 +317,4 @@ def round_trip(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     tokens = common.written(tokenized(docs, path, end_id), "tokens")
-    files = write_images(tokens, id_kind(path))
-
-    @F.pandas_udf("long")
-    def crc(s: pd.Series) -> pd.Series:
-        return s.map(zlib.crc32)
-
-    out = read_images(files)
-    return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
+    return read_images(write_images(tokens, id_kind(path)), digests=True)
