@@ -62,13 +62,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def is_small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+#: The same for a table of one long each.
+BROADCAST_KEYS = 1_000_000
 
 
-def small(df: DataFrame) -> DataFrame:
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if it is proven small; else Spark's shuffled joins are used."""
-    return F.broadcast(df) if is_small(df) else df
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def release(spark: SparkSession) -> None:

@@ -1,10 +1,10 @@
 """Fuzzy line dedup: character-shingle MinHash, banding, exact Jaccard, union-find over lines.
 
-Lines that are equal after trimming, lower-casing and collapsing blanks are one
-class, by a 64-bit hash. Each class has SHINGLE-character shingles (a shorter
+Lines that are equal after trimming and lower-casing are one class, by a 64-bit
+hash. Each class has SHINGLE-character shingles (a shorter
 line is one shingle); links of at least 0.8 Jaccard similarity between classes
 are proposed by BANDS bands of ROWS MinHash values (a pair at 0.8 is missed
-with probability (1 - 0.8**4)**14, or 0.06 %) and confirmed on whole sets. Of
+with probability (1 - 0.8**4)**12, or 0.2 %) and confirmed on whole sets. Of
 each component of links one line stays: the first by doc_id, then position.
 """
 
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import common, similar
 
-SHINGLE, BANDS, ROWS, SEED = 7, 14, 4, 31
+SHINGLE, BANDS, ROWS, SEED = 7, 12, 4, 31
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.btrim(F.regexp_replace(line, r"[ \t\r\x0B\f]+", " ")))
+    return F.lower(F.btrim(line, F.lit(" \t\r\x0b\f")))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -52,17 +52,22 @@ def shingles(lines: list[str]) -> Iterator[np.ndarray]:
         yield whole[a : b - SHINGLE + 1] if b - a >= SHINGLE else mixed(joined[a:b], b - a)
 
 
-def _signatures(lines: DataFrame) -> DataFrame:
-    """(key, signature) of (key, line), once for each key and task."""
+def _signed(lines: DataFrame) -> DataFrame:
+    """lines by their places (key, doc_id, version, at), with a signature at the first of each key in a batch, so that one scan gives both."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = similar.signature_tables(BANDS * ROWS, SEED)
         for batch in batches:
-            first = dict(zip(reversed(batch.column(0).to_pylist()), reversed(batch.column(1).to_pylist()), strict=True))
-            found = [similar.short_form(similar.extremes(s, a, b, largest=False)).tobytes() for s in shingles(list(first.values()))]
-            yield pa.RecordBatch.from_arrays([pa.array(first.keys(), pa.int64()), pa.array(found, pa.binary())], names=["key", "signature"])
+            keys, texts, firsts = batch.column(0).to_pylist(), batch.column(4).to_pylist(), {}
+            for i, key in enumerate(keys):
+                firsts.setdefault(key, i)
+            found: list[bytes | None] = [None] * len(keys)
+            for i, s in zip(firsts.values(), shingles([texts[i] for i in firsts.values()]), strict=True):
+                found[i] = similar.short_form(similar.extremes(s, a, b, largest=False)).tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], names=["key", "doc_id", "version", "at", "signature"])
 
-    return lines.select("key", "line").mapInArrow(rows, "key long, signature binary")
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    return lines.select("key", "doc_id", "version", "at", "line").mapInArrow(rows, f"key long, doc_id {kind}, version long, at int, signature binary")
 
 
 def _bucket_rows(signatures: DataFrame) -> DataFrame:
@@ -82,10 +87,14 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, version, n_lines, gone): per distinct text with its id, positions of lines that go, sorted; texts without lines are left out."""
     spark = docs.sparkSession
     lines = lines_of(docs).withColumn("key", F.xxhash64("line"))
-    signatures = common.written(_signatures(lines).groupBy("key").agg(F.first("signature").alias("signature")), "lines")
+    signed = common.written(_signed(lines), "places")
+    places = signed.drop("signature")
+    signatures = signed.where("signature is not null").groupBy("key").agg(F.first("signature").alias("signature"))
+    signatures = common.written(signatures, "lines")
+    common.release(spark)
 
     def sets(needed: DataFrame) -> DataFrame:
-        rows = lines.select("key", "line").join(common.small(needed), "key", "left_semi")
+        rows = lines.select("key", "line").join(common.small(needed, common.BROADCAST_KEYS), "key", "left_semi")
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -99,7 +108,6 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = found.select(F.col("node").alias("key"), "component")
     common.release(spark)
 
-    places = common.written(lines.select("key", "doc_id", "version", "at"), "places")
     place = F.struct("doc_id", "version", "at")
     firsts = places.groupBy("key").agg(F.min(place).alias("first"))  # combined on the map side, so hot lines cost a row a task
     firsts = firsts.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -110,7 +118,9 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     same = texts["doc_id"].eqNullSafe(stays["doc_id"]) & texts["version"].eqNullSafe(stays["version"])
     stay = F.coalesce(stays["stay"], F.array().cast("array<int>"))
     out = texts.join(stays, same, "left").select(texts["doc_id"], texts["version"], F.size("all").alias("n_lines"), F.array_except("all", stay).alias("gone"))
-    return common.written(out, "gone-lines")
+    out = common.written(out, "gone-lines")
+    common.release(spark)
+    return out
 
 
 def _without(text: Column, gone: Column) -> Column:

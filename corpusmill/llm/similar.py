@@ -197,6 +197,7 @@ def components(rows: DataFrame, signatures: DataFrame, sets: Callable[[DataFrame
     buckets = buckets.where("n_members > 1")
     buckets = buckets.groupBy("n_members", "mixed", "pivot", "last").agg(F.min(F.struct("band", "bucket")).alias("at"))  # the same items meet in many bands
     buckets = common.written(buckets.select("at.*", "n_members", "pivot", "last"), "buckets")
+    common.release(rows.sparkSession)
     pairs = buckets.where("n_members = 2").select("bucket", "band", "n_members", "pivot", F.inline(F.array("pivot", "last")))
     more = buckets.where("n_members > 2").select("bucket", "n_members", "pivot")
     more = rows.join(common.small(more), "bucket").select("bucket", "band", "n_members", "pivot", "key", "n")
@@ -206,6 +207,7 @@ def components(rows: DataFrame, signatures: DataFrame, sets: Callable[[DataFrame
     stars = common.written(members.where(near).select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     links = _confirmed(stars, sets, percent)
     found = common.written(graph.components(links), "components")
+    common.release(rows.sparkSession)
 
     of = found.withColumnRenamed("node", "key")
     placed = members.where("n_members > 2").drop("pivot").join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
