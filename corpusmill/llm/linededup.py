@@ -52,6 +52,11 @@ def shingles(lines: list[str]) -> Iterator[np.ndarray]:
         yield whole[a : b - SHINGLE + 1] if b - a >= SHINGLE else mixed(joined[a:b], b - a)
 
 
+def line_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct shingles of lines; the text is an eighth of their size, so it is what travels."""
+    return [np.unique(s) for s in shingles([x.decode() for x in lines])]
+
+
 def _signed(lines: DataFrame) -> DataFrame:
     """lines by their places (key, doc_id, version, at), with a signature at the first of each key in a batch, so that one scan gives both."""
 
@@ -95,16 +100,9 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     def sets(needed: DataFrame) -> DataFrame:
         rows = lines.select("key", "line").join(common.small(needed, common.BROADCAST_KEYS), "key", "left_semi")
+        return rows.groupBy("key").agg(F.first("line").alias("line")).select("key", F.encode("line", "UTF-8").alias("members"))
 
-        def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                first = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-                found = [np.unique(s).tobytes() for s in shingles(list(first.values()))]
-                yield pa.RecordBatch.from_arrays([pa.array(first.keys(), pa.int64()), pa.array(found, pa.binary())], names=["key", "members"])
-
-        return rows.mapInArrow(collect, "key long, members binary").groupBy("key").agg(F.first("members").alias("members"))
-
-    _, found = similar.components(_bucket_rows(signatures), signatures, sets, percent, BANDS * ROWS, ROWS)
+    _, found = similar.components(_bucket_rows(signatures), signatures, sets, percent, BANDS * ROWS, ROWS, line_sets)
     found = found.select(F.col("node").alias("key"), "component")
     common.release(spark)
 

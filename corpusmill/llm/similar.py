@@ -29,6 +29,8 @@ BLOCK, SMALL, PACK = 512, 32, 4096
 #: Standard errors that an estimate may lie under the threshold.
 SLACK = 6.0
 
+Unpack = Callable[[list[bytes]], list[np.ndarray]]
+
 
 def signature_tables(permutations: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd multipliers and offsets of x -> a * x + b modulo 2**32."""
@@ -76,7 +78,12 @@ def _estimate_floor(values: int, percent: int) -> float:
     return p - SLACK * math.sqrt(p * (1 - p) / values)
 
 
-def _confirmed(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def packed_sets(members: list[bytes]) -> list[np.ndarray]:
+    """Sets that were stored as their sorted 64-bit numbers."""
+    return [np.frombuffer(x, "<u8") for x in members]
+
+
+def _confirmed(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], unpack: Unpack, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
     needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     members = common.written(sets(common.written(needed, "needed")), "sets")
@@ -85,8 +92,10 @@ def _confirmed(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            keep = [_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(t["left"], t["right"], strict=True)]
-            yield t.loc[keep, ["a", "b"]]
+            for i in range(0, len(t), 256):
+                part = t.iloc[i : i + 256]
+                keep = [_similar(x, y, percent) for x, y in zip(unpack(list(part["left"])), unpack(list(part["right"])), strict=True)]
+                yield part.loc[keep, ["a", "b"]]
 
     return common.written(pairs.join(left, "a").join(right, "b").mapInPandas(compare, pairs.select("a", "b").schema), "links")
 
@@ -127,7 +136,7 @@ def _pairs(t: pd.DataFrame, floor: float, percent: int, rows: int) -> Iterator[t
             yield i, js
 
 
-def _within_cells(members: DataFrame, sets: Callable[[DataFrame], DataFrame], floor: float, percent: int, rows: int) -> DataFrame:
+def _within_cells(members: DataFrame, sets: Callable[[DataFrame], DataFrame], unpack: Unpack, floor: float, percent: int, rows: int) -> DataFrame:
     """Confirmed links between different components, over all pairs of every bucket, as far as they join something.
 
     First the signatures alone tell which members have a pair to be looked at;
@@ -154,7 +163,7 @@ def _within_cells(members: DataFrame, sets: Callable[[DataFrame], DataFrame], fl
     def confirm(t: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, b in t.groupby("bucket", sort=False):
-            whole = [np.frombuffer(x, "<u8") for x in b["members"]]
+            whole = unpack(list(b["members"]))
             keys, top = b["key"].to_numpy(), {c: c for c in b["component"]}
 
             def root(c):
@@ -181,14 +190,15 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def components(rows: DataFrame, signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, values: int, width: int) -> tuple[DataFrame, DataFrame]:
+def components(rows: DataFrame, signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, values: int, width: int, unpack: Unpack = packed_sets) -> tuple[DataFrame, DataFrame]:
     """Links of at least `percent` Jaccard similarity, and components.
 
     rows: bucket (long), band (int, from 0), key (orderable), n (size of the
     set, or one number for all if sizes aren't known); keys are distinct in a bucket.
     signatures: key and signature (binary, `values` 16-bit numbers, `width` to
     a band), a row for each key.
-    sets: (key) rows to (key, members: sorted 64-bit numbers as binary).
+    sets: (key) rows to (key, members: binary). unpack: members to sorted
+    distinct numbers; by default they are 64-bit ones as they stand.
     Returns the links found (a, b; enough of them for the components) and
     (node, component) for keys that have a link.
     """
@@ -205,7 +215,7 @@ def components(rows: DataFrame, signatures: DataFrame, sets: Callable[[DataFrame
 
     near = (F.col("key") != F.col("pivot.key")) & _near_size(F.col("n"), F.col("pivot.n"), percent)
     stars = common.written(members.where(near).select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    links = _confirmed(stars, sets, percent)
+    links = _confirmed(stars, sets, unpack, percent)
     found = common.written(graph.components(links), "components")
     common.release(rows.sparkSession)
 
@@ -215,5 +225,5 @@ def components(rows: DataFrame, signatures: DataFrame, sets: Callable[[DataFrame
     rest = common.written(placed.join(mixed, "bucket", "left_semi").join(signatures.select("key", "signature"), "key"), "rest")
     if rest.isEmpty():
         return links, found
-    links = common.written(links.unionByName(_within_cells(rest, sets, _estimate_floor(values, percent), percent, width)), "links")
+    links = common.written(links.unionByName(_within_cells(rest, sets, unpack, _estimate_floor(values, percent), percent, width)), "links")
     return links, common.written(graph.components(links), "components")
