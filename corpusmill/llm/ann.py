@@ -184,7 +184,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     classes = common.written(classes.withColumn("low", F.element_at("ids", 1)), "classes")
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("embedding").collect()  # at most SAMPLE vectors
-    router = fit(np.array([r[0] for r in sample]).reshape(len(sample), -1), n, k, recall)
+    router = fit(np.array([r[0] for r in sample]), n, k, recall) if sample else None
     parts = len(router.b2) if router else 1
 
     def routed(width: int):
@@ -214,27 +214,39 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     right = indexed.join(sizes, "part").withColumn("block", block).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
 
     def rerank(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        """A row for each query of the cell, with its nearest there as arrays."""
+        out: dict[str, list] = {"query": [], "part": [], "keys": [], "lows": [], "scores": []}
         if not len(q) or not len(c):
-            return pd.DataFrame({"query": [], "key": [], "low": [], "score": []})
+            return pd.DataFrame(out)
         a, b = np.stack(q["embedding"].to_numpy()), np.stack(c["embedding"].to_numpy())
-        low, out = c["low"].to_numpy(), []
+        low, key, most = c["low"].to_numpy(), c["key"].to_numpy(), min(k + 1, len(c))
         for i in range(0, len(a), 512):
             s = a[i : i + 512] @ b.T
-            most = min(k + 1, len(b))
             edge = -np.partition(-s, most - 1, axis=1)[:, most - 1]
             rows, columns = np.nonzero(s >= (edge - 1e-12 * np.abs(edge))[:, None])
             exact = _sequential(a[i + rows], b[columns])
             order = np.lexsort((low[columns], -exact, rows))
             rows, columns, exact = rows[order], columns[order], exact[order]
-            starts = np.searchsorted(rows, rows)
-            keep = np.arange(len(rows)) - starts < most
-            out.append(pd.DataFrame({"query": q["key"].to_numpy()[i + rows[keep]], "key": c["key"].to_numpy()[columns[keep]], "low": low[columns[keep]], "score": exact[keep]}))
-        return pd.concat(out)
+            first = np.searchsorted(rows, np.arange(len(s)))
+            for n, at in enumerate(first):
+                out["query"].append(q["key"].iloc[i + n])
+                out["part"].append(q["part"].iloc[0])
+                out["keys"].append(key[columns[at : at + most]])
+                out["lows"].append(low[columns[at : at + most]])
+                out["scores"].append(exact[at : at + most])
+        return pd.DataFrame(out)
 
     cells = ["part", "block", "group"]
-    found = left.select("key", "embedding", *cells).groupBy(*cells).cogroup(right.select("key", "low", "embedding", *cells).groupBy(*cells)).applyInPandas(rerank, "query string, key string, low long, score double")
-    nearest = Window.partitionBy("query").orderBy(F.desc("score"), "low")
-    found = found.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k + 1).select("query", "key", "score")
+    found = left.select("key", "embedding", *cells).groupBy(*cells).cogroup(right.select("key", "low", "embedding", *cells).groupBy(*cells))
+    found = found.applyInPandas(rerank, "query string, part int, keys array<string>, lows array<long>, scores array<double>")
+    hits = F.transform(F.arrays_zip("scores", "lows", "keys"), lambda h: F.struct((-h["scores"]).alias("minus"), h["lows"].alias("low"), h["keys"].alias("key")))
+    found = found.select("query", "part", hits.alias("hits"))
+
+    def nearest(by: list[str]) -> DataFrame:
+        return found.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k + 1).alias("hits"))
+
+    found = nearest(["query", "part"])  # the blocks of a part first, so that no list grows with the corpus
+    found = nearest(["query"]).select("query", F.inline("hits")).select("query", "key", (-F.col("minus")).alias("score"))
 
     # Classes to rows: k + 1 classes hold more than k other ids, so a query's list stays short.
     listed = found.join(classes.select("key", "ids"), "key")
