@@ -96,7 +96,7 @@ def test_base_spans_equal_the_patterns():
 def test_pii_report(spark):
     rows = [(1, "mail a.b@c.org now"), (2, None), (3, ""), (None, "ip 1.2.3.4"), (4, 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" x')] + [(10 + i, f'key "{i:02d}eb58b8af68854f0e01b4ad40cdbb6ae7f57890"') for i in range(20)]
     got = {r["doc_id"]: r for r in pii.report(docs(spark, rows)).collect()}
-    assert got[1]["spans"] == "email:5:12" and got[1]["n_email"] == 1
+    assert got[1]["spans"] == "email:5:14" and got[1]["n_email"] == 1
     assert got[2]["base_sha256"] == got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert got[None]["n_ip"] == 1 and got[4]["spans"].startswith("secret:9:")
     assert pii.redact("mail a.b@c.org now", got[1]["spans"]) == "mail [email] now"
