@@ -2,62 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
+from corpusmill.shared import drop, new_path, shared_dir, written
+
+__all__ = ["drop", "new_path", "shared_dir", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of this application's own."""
-    if named := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the driver ends, or by drop()."""
-    path = f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):  # the session may be gone
-            if spark._jsc is not None and spark.sparkContext._jsc is not None:
-                drop(spark, path)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows, of at most about 200 bytes each, up to which a table is broadcast.
 BROADCAST_ROWS = 200_000
 

@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm import common, graph
+from corpusmill.llm import common
+from corpusmill.operators.components import components as connected
 
 #: Items of a block in a large bucket; of a bucket that is packed with others; of such a pack.
 BLOCK, SMALL, PACK = 512, 32, 4096
@@ -216,7 +217,7 @@ def components(rows: DataFrame, signatures: DataFrame, sets: Callable[[DataFrame
     near = (F.col("key") != F.col("pivot.key")) & _near_size(F.col("n"), F.col("pivot.n"), percent)
     stars = common.written(members.where(near).select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     links = _confirmed(stars, sets, unpack, percent)
-    found = common.written(graph.components(links), "components")
+    found = common.written(connected(links), "components")
     common.release(rows.sparkSession)
 
     of = found.withColumnRenamed("node", "key")
@@ -226,4 +227,4 @@ def components(rows: DataFrame, signatures: DataFrame, sets: Callable[[DataFrame
     if rest.isEmpty():
         return links, found
     links = common.written(links.unionByName(_within_cells(rest, sets, unpack, _estimate_floor(values, percent), percent, width)), "links")
-    return links, common.written(graph.components(links), "components")
+    return links, common.written(connected(links), "components")
