@@ -4,7 +4,7 @@ Lines that are equal after trimming and lower-casing are one class, by a 64-bit
 hash. Each class has SHINGLE-character shingles (a shorter
 line is one shingle); links of at least 0.8 Jaccard similarity between classes
 are proposed by BANDS bands of ROWS MinHash values (a pair at 0.8 is missed
-with probability (1 - 0.8**4)**12, or 0.2 %) and confirmed on whole sets. Of
+with probability (1 - 0.8**4)**30, or 1.4e-7) and confirmed on whole sets. Of
 each component of links one line stays: the first by doc_id, then position.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import common, similar
 
-SHINGLE, BANDS, ROWS, SEED = 7, 12, 4, 31
+SHINGLE, BANDS, ROWS, SEED = 7, 30, 4, 31
 
 
 def normal(line: Column) -> Column:

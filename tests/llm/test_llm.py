@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusmill.llm import ann, bpe, decontam, linededup, neardup, pii, quality, quotes, tokenbin, toxicity
+from corpusmill.llm import ann, bpe, decontam, linededup, neardup, pii, quality, quotes, similar, tokenbin, toxicity
 
 DOCS = "doc_id long, text string, n long, key string, words string, score double"
 
@@ -168,6 +168,21 @@ def test_fuzzy_lines(spark):
     assert linededup.report(docs(spark, [])).count() == 0
 
 
+def test_lines_at_the_threshold_share_a_band():
+    """4,000 pairs of sets of exactly 0.8 Jaccard similarity: 72 of 90 numbers are in both."""
+    rng = np.random.default_rng(6)
+    a, b = similar.signature_tables(linededup.BANDS * linededup.ROWS, linededup.SEED)
+
+    def keys(s):
+        return similar.band_keys(similar.short_form(similar.extremes(s, a, b, largest=False)), linededup.ROWS)
+
+    missed = 0
+    for _ in range(4000):
+        s = rng.integers(0, 2**64, 90, dtype=np.uint64)
+        missed += not (keys(s[:81]) == keys(s[9:])).any()
+    assert missed == 0
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 8)).astype(np.float32)
