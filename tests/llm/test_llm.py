@@ -168,6 +168,14 @@ def test_fuzzy_lines(spark):
     assert linededup.report(docs(spark, [])).count() == 0
 
 
+def test_lines_that_differ_in_inner_blanks(spark):
+    a = "The quick brown fox jumps over the lazy dog near the river bank today"
+    wide = a.replace(" ", "   ")
+    rows = [(1, a), (2, f"{wide}\nits own line"), (3, a.replace(" ", "\t")), (4, a.replace(" ", " \t ", 3).replace("river ", "river  \f") + "\t\r"), (5, f"Table\tof   values\n{wide}"), (6, "table of values")]
+    got = {r["doc_id"]: r["text"] for r in linededup.without_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: a, 2: "its own line", 3: "", 4: "", 5: "Table\tof   values", 6: ""}
+
+
 def test_lines_at_the_threshold_share_a_band():
     """4,000 pairs of sets of exactly 0.8 Jaccard similarity: 72 of 90 numbers are in both."""
     rng = np.random.default_rng(6)
