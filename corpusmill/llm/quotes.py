@@ -21,6 +21,8 @@ MARKERS = r"^(?:[ \t]?>)+"
 INTRODUCES = r"(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
 #: Characters of a normalised passage below which it is too common to tell its origin.
 LEAST = 8
+#: Owners up to which a passage is joined with each of them; beyond that owners with the same common passages are one class.
+RARE = 16
 
 
 def level(line: Column) -> Column:
@@ -75,29 +77,103 @@ def passages(messages: DataFrame) -> DataFrame:
     return parts.select("message", "conv_id", "turn", "level", F.md5("part").alias("passage"), F.length("part").alias("weight"))
 
 
+def _owners_by_class(owners: DataFrame, place: Column) -> tuple[DataFrame, DataFrame]:
+    """Owners that have the same common keys are one class: (owner, class, place), and (class, key) of the keys of each class."""
+    sets = owners.groupBy("owner").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.first(place).alias("place"))  # one message's passages
+    sets = common.written(sets.withColumn("class", F.md5(F.array_join("keys", ","))), "classes")
+    return sets.select("owner", "class", "place"), sets.select("class", "keys").distinct().select("class", F.explode("keys").alias("key"))
+
+
+def _latest(wanted: DataFrame, classed: DataFrame) -> DataFrame:
+    """(class, turn, place): for each (class, turn) wanted the latest place of the class before that turn, if there is one.
+
+    Running maxima over a sort of all rows, carried from partition to partition, so no class is gathered in one task.
+    """
+    none = F.lit(None).cast(classed.schema["place"].dataType)
+    rows = classed.groupBy("class", F.col("place.turn").alias("turn")).agg(F.max("place").alias("place")).withColumn("probe", F.lit(1))
+    rows = wanted.distinct().select("class", "turn", none.alias("place"), F.lit(0).alias("probe")).unionByName(rows)  # a probe precedes the places of its own turn
+    order = ["class", "turn", "probe"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id())
+    rows = common.written(rows.withColumn("part", F.shiftright("_n", 33)), "sorted-places")
+    inside = Window.partitionBy("class", "part").orderBy("turn", "probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition that a class reaches
+    carried = rows.groupBy("class", "part").agg(F.max("place").alias("place")).select("class", "part", F.max("place").over(before).alias("carried"))
+    found = rows.withColumn("place", F.max("place").over(inside)).where("probe = 0").join(carried, ["class", "part"])
+    return found.select("class", "turn", F.coalesce("place", "carried").alias("place")).where("place is not null")
+
+
+def _first_two(classed: DataFrame) -> DataFrame:
+    """(class, first, second): the smallest place of a class, and the smallest in another conversation than that."""
+    each = classed.groupBy("class", F.col("place.conv_id").alias("conv_id")).agg(F.min("place").alias("place"))
+    each = common.written(each, "places")
+    firsts = each.groupBy("class").agg(F.min("place").alias("first"))
+    rest = each.join(common.small(firsts), "class").where(~F.col("place.conv_id").eqNullSafe(F.col("first.conv_id")))
+    return firsts.join(rest.groupBy("class").agg(F.min("place").alias("second")), "class", "left")
+
+
+def _best(units: DataFrame, owners: DataFrame, *, near: bool) -> DataFrame:
+    """(message, level, parent, weight): the owner that shares most with each unit, by the lengths of all passages in both.
+
+    units: message, level, conv_id, turn, key, weight. owners: owner, conv_id,
+    turn, key. near: keys are of one conversation, owners must be of an earlier
+    turn, and the latest wins a tie; else owners must be of another
+    conversation, and the smallest (conv_id, turn, message) wins.
+
+    Keys with at most RARE owners are joined as they are. Owners that meet a
+    unit only in other keys differ in nothing but their place if they have the
+    same ones, so of each such class one owner is scored: the one that would
+    win. So every owner takes part, and a common key costs a row for each class.
+    """
+    unit = ["message", "level"]
+    owners = common.written(owners.join(units.select("key").distinct(), "key", "left_semi"), "owners")
+    often = common.written(owners.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > RARE).select("key"), "common-keys")
+    often = common.small(often)
+    place = F.struct("turn", "owner") if near else F.struct("conv_id", "turn", "owner")
+    classed, keys = _owners_by_class(owners.join(often, "key", "left_semi"), place)
+    shared = units.join(common.small(common.written(keys, "class-keys")), "key").groupBy(*unit, "conv_id", "turn", "class").agg(F.sum("weight").alias("weight"))
+    shared = common.written(shared, "shared")
+
+    if near:
+        by_class = shared.join(_latest(shared.select("class", "turn"), classed), ["class", "turn"])
+    else:
+        ends = shared.join(_first_two(classed), "class")
+        by_class = ends.withColumn("place", F.when(F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("second")).otherwise(F.col("first"))).where("place is not null")
+    by_class = by_class.select(*unit, "weight", "place")
+
+    rare = owners.join(often, "key", "left_anti").select("key", "owner", place.alias("place"))
+    pairs = units.join(rare, "key")
+    pairs = pairs.where(F.col("place.turn") < F.col("turn")) if near else pairs.where(~F.col("place.conv_id").eqNullSafe(F.col("conv_id")))
+    pairs = common.written(pairs.groupBy(*unit, "place").agg(F.sum("weight").alias("own")), "rare-pairs")
+    pairs = pairs.withColumn("owner", F.col("place.owner")).join(classed.select("owner", "class"), "owner", "left")
+    pairs = pairs.join(shared.select(*unit, "class", F.col("weight").alias("more")), [*unit, "class"], "left")
+    pairs = pairs.select(*unit, (F.col("own") + F.coalesce("more", F.lit(0))).alias("weight"), "place")
+
+    scores = by_class.unionByName(pairs).groupBy(*unit)
+    best = F.max(F.struct("weight", "place")) if near else F.min(F.struct((-F.col("weight")).alias("minus"), "place"))
+    best = scores.agg(best.alias("best"), F.max("weight").alias("weight"))
+    return common.written(best.select(*unit, F.col("best.place.owner").alias("parent"), "weight"), "best")
+
+
 def links(messages: DataFrame) -> DataFrame:
     """(message, parent, n_quotes): the quoting messages, and the message they reply to, null if it isn't found.
 
-    A passage is looked up among its earliest owner in the same conversation,
-    and, where that comes to nothing, its earliest owner anywhere else; both
-    are one row for each passage, so a passage that many messages share costs
-    one match.
+    That is the message that shares most with the quotes, by the lengths of all
+    passages in both: of those before it in its conversation, on ties the
+    latest, and where none of them shares anything, of those in other
+    conversations, on ties the smallest by conv_id and turn.
     """
     quoted = common.written(passages(messages), "quotes")
     if quoted.isEmpty():
         return quoted.select("message", F.col("message").alias("parent"), F.lit(0).cast("long").alias("n_quotes"))
-    sources = _sources(messages)
-    place = F.struct("turn", "message")
-    near = sources.groupBy("conv_id", "passage").agg(F.min(place).alias("here"))
-    far = sources.groupBy("passage").agg(F.min(F.struct("conv_id", "turn", "message")).alias("there"))
-    same = quoted["conv_id"].eqNullSafe(near["conv_id"]) & (quoted["passage"] == near["passage"])
-    found = quoted.join(near, same & (near["here.turn"] < quoted["turn"]), "left").select(quoted["*"], near["here"])
-    found = found.join(far, "passage", "left")
-    elsewhere = F.when(~F.col("there.conv_id").eqNullSafe(F.col("conv_id")), F.col("there.message"))
-    found = found.withColumn("local", F.col("here").isNotNull())
-    found = found.withColumn("parent", F.coalesce("here.message", elsewhere)).withColumn("at", F.when(F.col("local"), F.col("here.turn")).otherwise(F.col("there.turn")))
-    scores = found.where("level = 1 and parent is not null").groupBy("message", "parent", "local").agg(F.sum("weight").alias("weight"), F.max("at").alias("at"))
-    best = scores.groupBy("message").agg(F.max_by("parent", F.struct("local", "weight", "at", "parent")).alias("parent"))
+    sources = _sources(messages).withColumnRenamed("message", "owner")
+    sources = common.written(sources.join(quoted.select("passage").distinct(), "passage", "left_semi"), "sources")
+    units = quoted.where("level = 1").groupBy("message", "level", "conv_id", "turn", "passage").agg(F.sum("weight").alias("weight"))
+    units = common.written(units, "units")
+    own_key = F.md5(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")), F.lit("\0"), F.col("passage")))
+    near = _best(units.withColumn("key", own_key), sources.where("turn is not null").withColumn("key", own_key), near=True)
+    left = units.join(near, ["message", "level"], "left_anti")
+    far = _best(common.written(left.withColumnRenamed("passage", "key"), "far-units"), sources.withColumnRenamed("passage", "key"), near=False)
+    best = near.unionByName(far).select("message", "parent")
     n = quoted.groupBy("message").agg(F.count("*").alias("n_quotes"))
     return n.join(best, "message", "left").select("message", "parent", "n_quotes")
 

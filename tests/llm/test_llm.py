@@ -238,6 +238,61 @@ def test_quotes(spark):
     assert [by[2, i]["text"] for i in (1, 2)] == ["", "x > y is not a quote"]
 
 
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def parents(spark, rows):
+    got = quotes.conversations(spark.createDataFrame(rows, TURNS)).collect()
+    return {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in got}
+
+
+def test_quotes_go_to_the_message_that_shares_most(spark):
+    rows = [
+        (5, 0, "user", "A passage that two conversations share."),
+        (6, 0, "user", "> A passage that two conversations share.\nAsked in another one."),
+        (6, 1, "user", "A passage that two conversations share."),
+        (4, 0, "user", "> Quoted before it is said.\nx"),
+        (4, 1, "user", "Quoted before it is said."),
+        (9, 7, "user", "Quoted before it is said."),
+        (7, 0, "user", "Regards, the whole team of the workshop\nshort line one"),
+        (7, 1, "assistant", "The carburettor leaks.\nRegards, the whole team of the workshop"),
+        (7, 2, "user", "> The carburettor leaks.\n> Regards, the whole team of the workshop\nWhere?"),
+        (8, 0, "user", "Is it done yet, please?"),
+        (8, 1, "user", "Is it done yet, please?"),
+        (8, 2, "assistant", "> Is it done yet, please?\nYes."),
+    ]
+    got = parents(spark, rows)
+    assert got[6, 0] == (5, 0) and got[4, 0] == (9, 7)  # its own conversation's owner comes later, so another's counts
+    assert got[7, 2] == (7, 1)  # both passages against one
+    assert got[8, 2] == (8, 1)  # the latest
+
+
+def test_quotes_of_common_passages(spark):
+    """A passage with more owners than RARE, alone and with others, against brute force."""
+    rng, rows, sign = random.Random(11), [], ["Kind regards from all of us", "Sent from the old machine", "This mail may be secret"]
+    for c in range(4):
+        said = []
+        for t in range(60):
+            lines = [f"Message {rng.randrange(25)} says something new"] + rng.sample(sign, rng.randint(0, 3))
+            quoted = rng.sample(rng.choice(said or [lines]), 1) + rng.sample(sign, rng.randint(0, 2)) if t % 2 else []
+            said.append(lines)
+            rows.append((c, t, "user", "\n".join([f"> {x}\n" for x in dict.fromkeys(quoted)] + lines)))
+    got = parents(spark, rows)
+
+    def own(text):
+        return {x.lower() for x in text.split("\n") if x and x[0] != ">"}
+
+    for c, t, _, text in rows:
+        q = {x[2:].lower() for x in text.split("\n") if x.startswith(">")}
+        scores = [(sum(map(len, q & own(x))), u) for d, u, _, x in rows if d == c and u < t]
+        best = max([x for x in scores if x[0]], default=None)
+        if best:
+            assert got[c, t] == (c, best[1])
+        else:
+            far = min([(-sum(map(len, q & own(x))), d, u) for d, u, _, x in rows if d != c], default=None)
+            assert got[c, t] == ((far[1], far[2]) if far[0] else (None, None))
+
+
 def labelled(spark, label):
     rng, rows, labels = random.Random(9), [], []
     for i in range(600):
