@@ -4,7 +4,8 @@ Lines that begin with ">" are quotes, by the number of markers. Stretches of
 equal level are normalised and hashed, as a whole and line by line, and joined
 with the hashes of the messages' own text, paragraphs and lines. A message
 replies to the message that most of its first-level quotes come from: one
-before it in the same conversation, else one of another conversation. Quotes
+before it in the same conversation, else one of another conversation; deeper
+levels count where the first finds none. Quotes
 and the lines that introduce them are taken out, and a conversation's messages
 are put in the order of their threads.
 """
@@ -19,7 +20,7 @@ from corpusmill.llm import common
 MARKERS = r"^(?:[ \t]?>)+"
 #: A line that only introduces a quote, such as "On ... wrote:".
 INTRODUCES = r"(?i)^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
-#: Characters of a normalised passage below which it is too common to tell its origin.
+#: Characters of a normalised passage below which it is too common to tell its origin in another conversation.
 LEAST = 8
 #: Owners up to which a passage is joined with each of them; beyond that owners with the same common passages are one class.
 RARE = 16
@@ -58,7 +59,7 @@ def _sources(messages: DataFrame) -> DataFrame:
     """(message, conv_id, turn, passage): hashes of each message's own text, its paragraphs and its lines."""
     own = F.col("own")
     parts = F.flatten(F.array(F.array(own), F.split(own, r"\n[ \t]*\n"), F.split(own, "\n")))
-    parts = F.filter(F.transform(parts, normal), lambda p: F.length(p) >= LEAST)
+    parts = F.filter(F.transform(parts, normal), lambda p: p != "")
     return messages.select("message", "conv_id", "turn", F.explode(F.array_distinct(F.transform(parts, lambda p: F.md5(p)))).alias("passage"))
 
 
@@ -73,7 +74,7 @@ def passages(messages: DataFrame) -> DataFrame:
     runs = rows.groupBy("message", "conv_id", "turn", "run", "level").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
     whole = F.array_join("lines.line", "\n")
     parts = F.array_distinct(F.transform(F.flatten(F.array(F.array(whole), F.split(whole, r"\n[ \t]*\n"), F.col("lines.line"))), normal))
-    parts = runs.select("message", "conv_id", "turn", "level", F.explode(F.filter(parts, lambda p: F.length(p) >= LEAST)).alias("part"))
+    parts = runs.select("message", "conv_id", "turn", "level", F.explode(F.filter(parts, lambda p: p != "")).alias("part"))
     return parts.select("message", "conv_id", "turn", "level", F.md5("part").alias("passage"), F.length("part").alias("weight"))
 
 
@@ -157,23 +158,26 @@ def _best(units: DataFrame, owners: DataFrame, *, near: bool) -> DataFrame:
 def links(messages: DataFrame) -> DataFrame:
     """(message, parent, n_quotes): the quoting messages, and the message they reply to, null if it isn't found.
 
-    That is the message that shares most with the quotes, by the lengths of all
-    passages in both: of those before it in its conversation, on ties the
-    latest, and where none of them shares anything, of those in other
-    conversations, on ties the smallest by conv_id and turn.
+    That is the message that shares most with the first-level quotes, by the
+    lengths of all passages in both: of those before it in its conversation, on
+    ties the latest, and where none of them shares LEAST characters, of those
+    in other conversations, on ties the smallest by conv_id and turn. Passages
+    of less than LEAST characters count inside the conversation only. Where a
+    level finds no message, the next deeper one counts.
     """
     quoted = common.written(passages(messages), "quotes")
     if quoted.isEmpty():
         return quoted.select("message", F.col("message").alias("parent"), F.lit(0).cast("long").alias("n_quotes"))
     sources = _sources(messages).withColumnRenamed("message", "owner")
     sources = common.written(sources.join(quoted.select("passage").distinct(), "passage", "left_semi"), "sources")
-    units = quoted.where("level = 1").groupBy("message", "level", "conv_id", "turn", "passage").agg(F.sum("weight").alias("weight"))
+    units = quoted.groupBy("message", "level", "conv_id", "turn", "passage").agg(F.sum("weight").alias("weight"), F.max("weight").alias("length"))
     units = common.written(units, "units")
     own_key = F.md5(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")), F.lit("\0"), F.col("passage")))
     near = _best(units.withColumn("key", own_key), sources.where("turn is not null").withColumn("key", own_key), near=True)
-    left = units.join(near, ["message", "level"], "left_anti")
+    left = units.where(F.col("length") >= LEAST).join(near.where(F.col("weight") >= LEAST), ["message", "level"], "left_anti")
     far = _best(common.written(left.withColumnRenamed("passage", "key"), "far-units"), sources.withColumnRenamed("passage", "key"), near=False)
-    best = near.unionByName(far).select("message", "parent")
+    both = near.withColumn("sure", F.col("weight") >= LEAST).unionByName(far.withColumn("sure", F.lit(True)))
+    best = both.groupBy("message").agg(F.min_by("parent", F.struct("level", ~F.col("sure"))).alias("parent"))
     n = quoted.groupBy("message").agg(F.count("*").alias("n_quotes"))
     return n.join(best, "message", "left").select("message", "parent", "n_quotes")
 

@@ -267,6 +267,30 @@ def test_quotes_go_to_the_message_that_shares_most(spark):
     assert got[8, 2] == (8, 1)  # the latest
 
 
+def test_short_and_deeper_quotes(spark):
+    rows = [
+        (1, 0, "user", "Thanks!"),
+        (1, 1, "user", "ok"),
+        (1, 2, "user", "> Thanks!\nWelcome."),
+        (1, 3, "user", "> ok\nGood."),
+        (2, 0, "user", "> Thanks!\nShort ones are no links across conversations."),
+        (3, 0, "user", "The original statement of it all."),
+        (3, 1, "user", "yes"),
+        (3, 2, "user", ">> The original statement of it all.\nBare."),
+        (3, 3, "user", "> Somebody's words that are in no table.\n>> The original statement of it all.\nBelow."),
+        (3, 4, "user", "> yes\n>> The original statement of it all.\nFirst level first."),
+        (4, 0, "user", "yes"),
+        (4, 1, "user", "> yes\n>> ok\n> The original statement of it all.\nA long one elsewhere before a short one here."),
+    ]
+    got = quotes.conversations(spark.createDataFrame(rows, TURNS)).collect()
+    by = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"], r["n_quotes"]) for r in got}
+    assert by[1, 2] == (1, 0, 1) and by[1, 3] == (1, 1, 1)
+    assert by[2, 0] == (None, None, 1)
+    assert by[3, 2] == (3, 0, 1) and by[3, 3] == (3, 0, 2) and by[3, 4] == (3, 1, 2)
+    assert by[4, 1] == (3, 0, 3)
+    assert {(r["conv_id"], r["turn"]): r["thread"] for r in got}[3, 2] == 0
+
+
 def test_quotes_of_common_passages(spark):
     """A passage with more owners than RARE, alone and with others, against brute force."""
     rng, rows, sign = random.Random(11), [], ["Kind regards from all of us", "Sent from the old machine", "This mail may be secret"]
