@@ -20,7 +20,7 @@ from corpusmill.llm import common, similar
 
 PERMUTATIONS, ROWS, SEED = 100, 5, 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = "doc_id long, n long, key binary, bands array<long>, signature binary"
+FEATURES = "doc_id long, version long, n long, key binary, bands array<long>, signature binary"
 SETS = "key binary, members binary"
 
 
@@ -53,14 +53,22 @@ def _key(members: np.ndarray) -> bytes:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+
+
+def _same(a: DataFrame, b: DataFrame, doc_id: str, version: str) -> Column:
+    return a["doc_id"].eqNullSafe(b[doc_id]) & (a["version"] == b[version])
+
+
 def features(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (size of the shingle set), key (128-bit digest of the set), bands, signature. Empty sets have a null key."""
+    """doc_id, version (a hash of the text), n (size of the shingle set), key (128-bit digest of the set), bands, signature. Empty sets have a null key."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = similar.signature_tables(PERMUTATIONS, SEED)
         for batch in batches:
             n, key, bands, signature = [], [], [], []
-            for s in shingle_sets(batch.column(1), size):
+            for s in shingle_sets(batch.column(2), size):
                 n.append(len(s))
                 if len(s):
                     values = similar.short_form(similar.extremes(s, a, b, largest=True))
@@ -70,29 +78,33 @@ def features(docs: DataFrame, size: int) -> DataFrame:
                 else:
                     key.append(None), bands.append(None), signature.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.binary())],
-                names=["doc_id", "n", "key", "bands", "signature"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.binary())],
+                names=["doc_id", "version", "n", "key", "bands", "signature"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("w")).mapInArrow(rows, FEATURES)
+    return _named(docs).select("doc_id", "version", word_hashes(F.col("text")).alias("w")).mapInArrow(rows, FEATURES)
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id) for every row of docs with an id.
+    """(doc_id, version, key, n_shingles, component_id, stays) for every row of docs.
 
+    stays: of the texts that links reach it is the first by doc_id, then by the
+    hash of the text; null ids come last.
     component_id: the smallest doc_id that links reach. Documents with equal
     shingle sets are one class, by their set's 128-bit digest, and only classes
     are compared. Empty sets are linked with nothing.
     """
-    made = common.written(features(docs.where(F.col("doc_id").isNotNull()), size), "features")
-    classes = made.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first"))
-    classes = common.written(classes, "classes")
-    same = (made["doc_id"] == classes["first"]) & (made["key"] == classes["key"])
+    made = common.written(features(docs, size), "features")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")
+    classes = made.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(place).alias("first"))
+    classes = common.written(classes.select("key", "first", F.col("first.doc_id").alias("_id"), F.col("first.version").alias("_version")), "classes")
+    same = _same(made, classes, "_id", "_version") & (made["key"] == classes["key"])
     items = common.written(made.join(classes, same, "left_semi").select("key", "n", "bands", "signature").dropDuplicates(["key"]), "items")
 
     def sets(needed: DataFrame) -> DataFrame:
-        ids = needed.join(classes, "key").select(F.col("first").alias("doc_id")).distinct()
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+        ids = needed.join(classes, "key").select("_id", "_version").distinct()
+        rows = _named(docs)
+        rows = rows.join(ids, _same(rows, ids, "_id", "_version"), "left_semi")
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -106,10 +118,12 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     _, found = similar.components(rows, items, sets, percent, 2 * PERMUTATIONS, ROWS)
     found = found.select(F.col("node").alias("key"), "component")
     placed = classes.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    placed = placed.join(least, "component").select("key", "component_id")
-    out = made.select("doc_id", "key", F.col("n").alias("n_shingles")).join(placed, "key", "left")
-    return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    least = placed.groupBy("component").agg(F.min("first").alias("least"))
+    placed = placed.join(least, "component").select("key", "least")
+    out = made.select("doc_id", "version", "key", F.col("n").alias("n_shingles")).join(placed, "key", "left")
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("version") == F.col("least.version"))
+    out = out.withColumn("component_id", F.coalesce("least.doc_id", "doc_id")).withColumn("stays", F.col("least").isNull() | first)
+    return out.drop("least")
 
 
 def report(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -120,7 +134,7 @@ def report(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     one row each. Rows with a null id have no id to report and are left out.
     Extra columns are ignored; an empty table gives an empty result.
     """
-    found = groups(docs.select("doc_id", "text"), size, percent)
+    found = groups(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), size, percent)
     found = found.dropDuplicates(["doc_id", "key"]) if _repeats(found) else found
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
@@ -130,7 +144,20 @@ def _repeats(found: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with their own columns, that are the first of their group; rows with a null id stay."""
-    found = groups(docs.select("doc_id", "text"), size, percent)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of docs, with their own columns, that are the first of their group.
+
+    Rows are told apart by doc_id and text: another text of the same id stays
+    or goes by its own group, of rows that repeat both one stays, and rows with
+    a null id are in the groups too, after those with an id.
+    """
+    found = groups(docs.select("doc_id", "text"), size, percent).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "stays")
+    found = common.written(found, "stays")
+    rows = docs.withColumn("_own", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_version"))
+    rows = rows.join(found.where(~F.col("stays")).select("_id", "_version"), same, "left_anti")
+    again = found.where("stays").groupBy("_id", "_version").count().where("count > 1").drop("count")
+    again = common.written(again, "repeats")
+    if not again.isEmpty():
+        again = common.small(again)
+        rows = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "_own"]))
+    return rows.drop("_own")

@@ -158,6 +158,18 @@ def test_near_duplicates(spark):
     assert neardup.report(docs(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(8)
+    a, b, c, d = (words(rng, 40) for _ in range(4))
+    near = a + " end"
+    rows = [(1, a), (2, near), (2, b), (3, c), (3, c), (None, c), (None, d), (None, d + " end"), (None, d), (4, ""), (5, None), (6, a.upper())]
+    got = sorted(((r["doc_id"], r["text"]) for r in neardup.keep_one(docs(spark, rows)).collect()), key=str)
+    of_d = [x for x in got if x[0] is None]
+    assert [x for x in got if x[0] is not None] == sorted([(1, a), (2, b), (3, c), (4, ""), (5, None)], key=str)
+    assert len(of_d) == 1 and of_d[0][1].startswith(d)
+    assert neardup.keep_one(docs(spark, rows)).columns == docs(spark, rows).columns
+
+
 def test_fuzzy_lines(spark):
     a, b = "The quick brown fox jumps over the lazy dog near the river bank today", "Another quite different line that says something else entirely here"
     near = a.replace("today", "todayy")
