@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import is_blank, normalized
+from corpusmill.functions.text import collapse_whitespace, is_blank, normalized_all
 
 #: Names that sources give to the three roles.
 ROLES = {"user": ("user", "human", "prompter"), "assistant": ("assistant", "gpt", "model", "bot"), "system": ("system",)}
@@ -43,16 +43,20 @@ def is_valid(messages: Column) -> Column:
     return whole & (F.size(turns) >= 2) & (F.size(turns) % 2 == 0) & F.forall(expected, lambda ok: ok)
 
 
+def _contents(messages: Column) -> Column:
+    return normalized_all(F.transform(messages, lambda m: m["content"]))
+
+
 def identity(messages: Column) -> Column:
     """SHA-256 of the compact JSON of the normalised messages, keys in order."""
-    rows = F.transform(messages, lambda m: F.struct(normalized(m["content"], compatibility=False).alias("content"), m["role"].alias("role")))
+    rows = F.transform(_contents(messages), lambda text, i: F.struct(text.alias("content"), F.get(messages, i)["role"].alias("role")))
     return F.sha2(F.to_json(F.struct(rows.alias("messages"))), 256)
 
 
 def overlap_hashes(messages: Column) -> Column:
     """SHA-256 of every message but system ones, normalised, and of all of them joined by blanks."""
-    spoken = F.transform(F.filter(messages, lambda m: m["role"] != "system"), lambda m: normalized(m["content"], compatibility=False))
-    joined = normalized(F.array_join(spoken, " "), compatibility=False)
+    spoken = _contents(F.filter(messages, lambda m: m["role"] != "system"))
+    joined = collapse_whitespace(F.array_join(spoken, " "))  # composed parts stay so across a blank
     return F.array_distinct(F.transform(F.array_append(spoken, joined), lambda t: F.sha2(t, 256)))
 
 

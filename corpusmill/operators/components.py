@@ -1,4 +1,4 @@
-"""Families of records: connected components over shared keys."""
+"""Families of records: connected components over shared keys."""
 
 from __future__ import annotations
 
@@ -48,3 +48,9 @@ def components(edges: DataFrame) -> DataFrame:
         drop(spark, path)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def fixed_conflicts(families: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(component, partitions): families (node, component) that hold nodes fixed to different partitions; fixed: (node, partition), nulls are free."""
+    rows = families.join(fixed.where("partition is not null"), "node").groupBy("component").agg(F.array_sort(F.collect_set("partition")).alias("partitions"))
+    return rows.where("size(partitions) > 1")

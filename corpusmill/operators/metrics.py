@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators.sequences import running_total
+
 
 def log_sum_exp(logits: Column) -> Column:
     """Stable: the largest logit is taken out before the exponentials."""
@@ -28,17 +30,38 @@ def greedy(logits: Column) -> Column:
 
 
 def nucleus(logits: Column, top_k: int, top_p: float) -> Column:
-    """array<struct<id, p>>: the top_k likeliest ids, of those the fewest that reach top_p, renormalised; ties go to smaller ids."""
-    top = F.array_max(logits)
+    """array<struct<id, p>>: the top_k likeliest ids, of those the fewest that reach top_p, renormalised; ties go to smaller ids.
+
+    Each step hands its sums on as a lambda variable, so nothing is computed twice.
+    """
+    item = "array<struct<id:int,w:double,before:double>>"
     ranked = F.array_sort(F.transform(logits, lambda x, i: F.struct((-x).alias("minus"), i.alias("id"))))
-    kept = F.slice(ranked, 1, top_k)
-    weights = F.transform(kept, lambda r: F.struct(r["id"].alias("id"), F.exp(-r["minus"] - top).alias("w")))
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, r: acc + r["w"])
-    shares = F.transform(weights, lambda r: F.struct(r["id"].alias("id"), (r["w"] / total).alias("p")))
-    before = F.transform(shares, lambda r, i: F.struct(r["id"].alias("id"), r["p"].alias("p"), F.aggregate(F.slice(shares, F.lit(1), i), F.lit(0.0), lambda acc, x: acc + x["p"]).alias("before")))
-    few = F.filter(before, lambda r: r["before"] < top_p)
-    rest = F.aggregate(few, F.lit(0.0), lambda acc, r: acc + r["p"])
-    return F.transform(few, lambda r: F.struct(r["id"].alias("id"), (r["p"] / rest).alias("p")))
+
+    def weighed(acc: Column, r: Column) -> Column:
+        w = F.exp(acc["least"] - r["minus"])
+        one = F.array(F.struct(r["id"].alias("id"), w.alias("w"), acc["sum"].alias("before")))
+        return F.struct(acc["least"].alias("least"), (acc["sum"] + w).alias("sum"), F.concat(acc["items"], one).alias("items"))
+
+    def shares(few: Column) -> Column:
+        total = F.aggregate(few, F.lit(0.0), lambda acc, r: acc + r["w"])
+        return F.aggregate(F.array(total), F.array().cast("array<struct<id:int,p:double>>"), lambda _, t: F.transform(few, lambda r: F.struct(r["id"].alias("id"), (r["w"] / t).alias("p"))))
+
+    def fewest(acc: Column) -> Column:
+        return shares(F.filter(acc["items"], lambda r: r["before"] < top_p * acc["sum"]))
+
+    start = F.struct((-F.array_max(logits)).alias("least"), F.lit(0.0).alias("sum"), F.array().cast(item).alias("items"))
+    return F.aggregate(F.slice(ranked, 1, top_k), start, weighed, fewest)
+
+
+def draw(shares: Column, at: Column) -> Column:
+    """The id of array<struct<id, p>> at a place in [0, 1) of its cumulative shares; rounding past the end gives the last id."""
+    def step(acc: Column, r: Column) -> Column:
+        total = acc["sum"] + r["p"]
+        hit = acc["id"].isNull() & (total > at)
+        return F.struct(total.alias("sum"), F.when(hit, r["id"]).otherwise(acc["id"]).alias("id"))
+
+    last = F.get(F.filter(shares, lambda r: r["p"] > 0), F.size(F.filter(shares, lambda r: r["p"] > 0)) - 1)["id"]
+    return F.aggregate(shares, F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("id")), step, lambda acc: F.coalesce(acc["id"], last))
 
 
 def midpoint_plan(spark: SparkSession, batches: int, samples: int) -> DataFrame:
@@ -85,6 +108,43 @@ def latest_checkpoint(entries: DataFrame) -> DataFrame:
 
 
 def running_targets(updates: DataFrame) -> DataFrame:
-    """(epoch, update, targets_so_far): prefix sums inside each epoch, for resuming."""
-    over = Window.partitionBy("epoch").orderBy("update").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return updates.select("epoch", "update", F.sum("targets").over(over).alias("targets_so_far"))
+    """(epoch, update, targets_so_far): prefix sums inside each epoch, for resuming; from a range sort, not a window of a whole epoch."""
+    rows = updates.select(F.struct("epoch", "update").alias("at"), F.col("targets").cast("long").alias("targets"))
+    totals = running_total(rows, "at", "targets").select("at.*", "targets", "before")
+    first = totals.groupBy("epoch").agg(F.min("before").alias("first")).withColumnRenamed("epoch", "_epoch")
+    totals = totals.join(first, F.col("epoch") == F.col("_epoch"))
+    return totals.select("epoch", "update", (F.col("before") - F.col("first") + F.col("targets")).alias("targets_so_far"))
+
+
+def resume_at(updates: DataFrame, targets: int) -> DataFrame:
+    """(epoch, update): per epoch the first update of running_targets() that passes so many targets."""
+    return running_targets(updates).where(F.col("targets_so_far") > targets).groupBy("epoch").agg(F.min("update").alias("update"))
+
+
+def global_norm(rows: DataFrame, vector: str) -> DataFrame:
+    """(norm, finite): the L2 norm over all components of all rows, and whether each of them is finite."""
+    squares = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    good = ~F.exists(vector, not_finite)
+    return rows.agg(F.sqrt(F.sum(squares)).alias("norm"), F.bool_and(good).alias("finite"))
+
+
+def not_finite(x: Column) -> Column:
+    return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+
+
+def epoch_loss(updates: DataFrame) -> DataFrame:
+    """(epoch, targets, loss): the target-weighted loss before each update of (epoch, update, loss, targets) (A12). A loss that isn't finite is an error."""
+    bad = updates.where(not_finite(F.col("loss").cast("double")) | F.col("targets").isNull()).select("epoch", "update").limit(3).collect()
+    if bad:
+        raise ValueError(f"no finite loss at (epoch, update) {[tuple(r) for r in bad]}")
+    return updates.groupBy("epoch").agg(F.sum("targets").alias("targets"), (F.sum(F.col("loss").cast("double") * F.col("targets")) / F.sum("targets")).alias("loss"))
+
+
+def target_rate(timed: DataFrame) -> DataFrame:
+    """(targets_per_second) of measured batches (targets, seconds)."""
+    return timed.agg((F.sum("targets") / F.sum("seconds")).alias("targets_per_second"))
+
+
+def sample_summary(samples: DataFrame, group: str, value: str) -> DataFrame:
+    """Per group: n, low, high, median (mean of the middle two) and upper_median (the upper of them) (A20). A group's samples of a benchmark are few and are listed."""
+    return samples.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.median(value).alias("median"), upper_median(F.collect_list(value)).alias("upper_median"))

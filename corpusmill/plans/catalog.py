@@ -117,11 +117,10 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retained(spark, sf_dir).select(partition("digest").alias("partition")).groupBy("partition").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN length(norm) = 0 THEN 'blank' WHEN length(norm) < 2 THEN 'too_short' END AS reason FROM (SELECT doc_id, trim(regexp_replace(substr(text, 1, doc_id % 3), '\\s+', ' ', 'g')) AS norm FROM documents) WHERE length(norm) < 2")
+@query(f"SELECT doc_id, CASE WHEN length(norm) = 0 THEN 'blank' WHEN length(norm) < 2 THEN 'too_short' ELSE 'usable' END AS reason FROM (SELECT doc_id, coalesce({NORM}, '') AS norm FROM documents)")
 def short_text_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reject reasons of texts cut to 0, 1 or 2 characters, so that every reason occurs."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("substring(text, 1, cast(doc_id % 3 as int))").alias("text"))
-    return docs.select("doc_id", audit.reject_reason(F.col("text")).alias("reason")).where("reason is not null")
+    """Each whole document's reject reason, or usable."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(audit.reject_reason(F.col("text")), F.lit("usable")).alias("reason"))
 
 
 @query("SELECT doc_id, '[\"' || source || '\",\"string:' || lang || '\"]' AS key FROM documents")
@@ -273,16 +272,24 @@ def partition_zero_filled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(n, ["stage", "partition"], "left").select("stage", "partition", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"WITH RECURSIVE {FAMILIES} SELECT component, count(DISTINCT substr(node, 1, 4)) AS n_fixed FROM families GROUP BY component HAVING count(DISTINCT substr(node, 1, 4)) > 1")
+FIXED = "CASE WHEN right(source, 1) IN ('1', '3', '5', '7', '9') THEN 'test' ELSE 'train' END"
+
+
+@query(
+    f"WITH RECURSIVE {FAMILIES}, fixed AS (SELECT format('base-{{:012d}}', doc_id) AS node, {FIXED} AS partition FROM documents UNION ALL SELECT DISTINCT format('chat-{{:012d}}', conv_id), 'train' FROM conversations) "
+    "SELECT component, count(DISTINCT partition) AS n_fixed, min(partition) || ',' || max(partition) AS partitions FROM families JOIN fixed USING (node) GROUP BY component HAVING count(DISTINCT partition) > 1"
+)
 def fixed_partition_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families that would hold both sides if base were fixed to train and chat to test."""
-    stage = F.substring("node", 1, 4)
-    return families(spark, sf_dir).groupBy("component").agg(F.count_distinct(stage).alias("n_fixed")).where("n_fixed > 1")
+    """Families that would lie in two partitions if odd sources were fixed to test, even ones and chats to train."""
+    odd = F.substring("source", -1, 1).isin("1", "3", "5", "7", "9")
+    base = table(spark, sf_dir, "documents").select(F.format_string("base-%012d", "doc_id").alias("node"), F.when(odd, "test").otherwise("train").alias("partition"))
+    chats = table(spark, sf_dir, "conversations").select(F.format_string("chat-%012d", "conv_id").alias("node"), F.lit("train").alias("partition")).distinct()
+    return components.fixed_conflicts(families(spark, sf_dir), base.unionByName(chats)).select("component", F.size("partitions").cast("long").alias("n_fixed"), F.array_join("partitions", ",").alias("partitions"))
 
 
 # Audits
 
-UNITS = "units AS (SELECT 'd' || doc_id AS id, text, 'train' AS partition FROM documents WHERE length(text) <= 2000 UNION ALL SELECT 'b' || item_id, text, 'test' FROM benchmark)"
+UNITS = "units AS (SELECT 'd' || doc_id AS id, text, 'train' AS partition FROM documents UNION ALL SELECT 'b' || item_id, text, 'test' FROM benchmark)"
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,16 +297,13 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text", F.lit("test").alias("partition")))
 
 
-ALL_UNITS = UNITS.replace(" WHERE length(text) <= 2000", "")
-
-
-@query(f"WITH {ALL_UNITS} SELECT sha256({NORM}) AS digest, count(*) AS n, count(DISTINCT partition) AS n_partitions FROM units GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {UNITS} SELECT sha256({NORM}) AS digest, count(*) AS n, count(DISTINCT partition) AS n_partitions FROM units GROUP BY 1 HAVING count(*) > 1")
 def cross_split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.exact_overlaps(units(spark, sf_dir))
 
 
 CONTAINED = (
-    f"{ALL_UNITS}, w AS (SELECT id, sha256(lower({NORM})) AS digest, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+') AS w FROM units), "
+    f"{UNITS}, w AS (SELECT id, sha256({NORM}) AS digest, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+') AS w FROM units), "
     "s AS (SELECT id, digest, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0), "
     "x AS (SELECT id, digest, len(s) AS n, unnest(s) AS h FROM s), "
     "pairs AS (SELECT l.id AS left_id, r.id AS right_id, count(*) AS shared, min(least(l.n, r.n)) AS smaller FROM x l JOIN x r ON l.h = r.h AND l.id < r.id AND l.digest <> r.digest GROUP BY 1, 2)"
@@ -331,6 +335,10 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(F.btrim("text"), r"\s+"), lambda w: F.length(w)).alias("tokens"))
 
 
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_tokens(spark, sf_dir).select("doc_id", F.size("tokens").alias("n_tokens"))
+
+
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.numbered_examples(word_tokens(spark, sf_dir), CONTEXT)
 
@@ -343,7 +351,7 @@ def word_token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EXAMPLES} SELECT doc_id, min(example_index) AS first, max(example_index) AS last, CAST(sum(len(ids) - 1) AS BIGINT) AS targets FROM examples GROUP BY doc_id")
 def example_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return examples(spark, sf_dir).groupBy("doc_id").agg(F.min("example_index").alias("first"), F.max("example_index").alias("last"), F.sum(F.size("ids") - 1).alias("targets"))
+    return sequences.example_ranges(word_counts(spark, sf_dir), CONTEXT)
 
 
 @query(
@@ -351,8 +359,8 @@ def example_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT count(*) AS batches, CAST(sum(inputs) AS BIGINT) AS inputs, CAST(sum(padded) AS BIGINT) AS padded FROM b"
 )
 def batch_padding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.size("ids") - 1
-    b = examples(spark, sf_dir).groupBy(F.floor(F.col("example_index") / 8).alias("batch")).agg((F.max(n) * F.count("*")).alias("padded"), F.sum(n).alias("inputs"))
+    rows = sequences.numbered_lengths(word_counts(spark, sf_dir), CONTEXT).withColumn("n", F.col("n") - 1)
+    b = rows.groupBy(F.floor(F.col("example_index") / 8).alias("batch")).agg((F.max("n") * F.count("*")).alias("padded"), F.sum("n").alias("inputs"))
     return b.agg(F.count("*").alias("batches"), F.sum("inputs").alias("inputs"), F.sum("padded").alias("padded"))
 
 
@@ -366,42 +374,78 @@ def collated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("batch_id", "row_in_batch", F.array_join("inputs", ",").alias("inputs"), F.array_join("targets", ",").alias("targets"), F.size(F.filter("valid", lambda v: v)).cast("long").alias("n_valid"))
 
 
-@query()
+# The seeded generator in SQL: unsigned 64-bit numbers, multiplied as 128-bit ones.
+
+
+def times_sql(x: str, factor: int) -> str:
+    return f"CAST((CAST({x} AS UHUGEINT) * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+
+
+def plus_sql(x: str, y: str) -> str:
+    return f"CAST((CAST({x} AS UHUGEINT) + CAST({y} AS UHUGEINT)) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+
+
+def mix_sql(name: str, rows: str, x: str) -> str:
+    """Tables that end in `name`, which is `rows` with z: the mixed x."""
+    a = f"{name}_a AS (SELECT *, {times_sql(f'xor({x}, {x} >> 30)', sequences.FIRST_FACTOR)} AS z_a FROM {rows})"
+    b = f"{name}_b AS (SELECT *, {times_sql('xor(z_a, z_a >> 27)', sequences.SECOND_FACTOR)} AS z_b FROM {name}_a)"
+    return f"{a}, {b}, {name} AS (SELECT * EXCLUDE (z_a, z_b), xor(z_b, z_b >> 31) AS z FROM {name}_b)"
+
+
+def stream_sql(name: str, rows: str, epoch: int) -> str:
+    """`rows` (with step, from 1) and z: the generator's value after so many steps."""
+    state, step = sequences.epoch_state(SEED, epoch), times_sql("step", sequences.STEP)
+    return f"{name}_s AS (SELECT *, {plus_sql(f'{state}::UBIGINT', step)} AS s FROM {rows}), {mix_sql(name, f'{name}_s', 's')}"
+
+
+FNV = f"list_reduce(list_prepend({sequences.FNV_START}::UBIGINT, list_transform(string_split(doc_id || '/', ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda h, b: {times_sql('xor(h, b)', sequences.FNV_PRIME)})"
+RANKED = f"fnv AS (SELECT doc_id, {plus_sql(f'xor({FNV}, {SEED}::UBIGINT)', f'{sequences.STEP}::UBIGINT')} AS x FROM documents), {mix_sql('ranked', 'fnv', 'x')}"
+DRAWN = f"draws AS (SELECT i AS draw_pos, 2 * i + 1 AS step FROM range(1000) r(i)), {stream_sql('first', 'draws', 2)}, members AS (SELECT draw_pos, z % 4 AS g, step + 1 AS step FROM first), {stream_sql('second', 'members', 2)}"
+
+
+@query(f"WITH {RANKED} SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY z, CAST(doc_id AS VARCHAR)) <= 50 THEN 'validation' ELSE 'train' END AS partition FROM ranked")
 def doc_rank_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 documents of the smallest seeded rank are held out."""
     return sequences.validation_split(table(spark, sf_dir, "documents").select("doc_id"), 50, SEED)
 
 
-@query()
+@query(f"WITH {EXAMPLES}, steps AS (SELECT example_index, example_index + 1 AS step FROM examples), {stream_sql('mixed', 'steps', 0)} SELECT example_index, row_number() OVER (ORDER BY z) - 1 AS draw_pos FROM mixed")
 def shuffle_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.scalable_order(examples(spark, sf_dir).select("example_index"), 0, SEED)
+    return sequences.scalable_order(sequences.numbered_lengths(word_counts(spark, sf_dir), CONTEXT).select("example_index"), 0, SEED)
 
 
-@query()
+@query(f"WITH {DRAWN} SELECT draw_pos, CAST(CASE WHEN g < 1 THEN z % 2 ELSE 2 + z % 3 END AS BIGINT) AS example_index FROM second")
 def weighted_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.weighted_draws(spark, [([0, 1], 1), ([2, 3, 4], 3)], 1000, 2, SEED)
 
 
+@query(f"WITH {EXAMPLES}, {DRAWN}, d AS (SELECT draw_pos, CAST(CASE WHEN g < 1 THEN z % 2 ELSE 2 + z % 3 END AS BIGINT) AS example_index FROM second) SELECT draw_pos, example_index, doc_id, len(ids) AS n_ids FROM d JOIN examples USING (example_index)")
+def drawn_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The examples that an epoch draws, by place."""
+    rows = sequences.numbered_lengths(word_counts(spark, sf_dir), CONTEXT).select("example_index", "doc_id", F.col("n").cast("long").alias("n_ids"))
+    return sequences.drawn(weighted_epoch(spark, sf_dir), rows).select("draw_pos", "example_index", "doc_id", "n_ids")
+
+
 # Token statistics
 
 
-@query("SELECT w1, w2, count(*) AS n FROM (SELECT unnest(w[:-2]) AS w1, unnest(w[2:]) AS w2 FROM (SELECT string_split_regex(lower(trim(text)), '\\s+') AS w FROM documents) WHERE len(w) > 1) GROUP BY 1, 2 HAVING count(*) >= 20")
+@query("SELECT w1, w2, count(*) AS n FROM (SELECT unnest(w[:-2]) AS w1, unnest(w[2:]) AS w2 FROM (SELECT string_split_regex(lower(trim(text)), '\\s+') AS w FROM documents) WHERE len(w) > 1) GROUP BY 1, 2")
 def word_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring words that meet at least 20 times."""
+    """All neighbouring words, with how often they meet."""
     w = table(spark, sf_dir, "documents").select(F.split(F.lower(F.btrim("text")), r"\s+").alias("w")).where("size(w) > 1")
     pairs = w.select(F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("w1"), F.expr("slice(w, 2, size(w) - 1)").alias("w2"))).alias("p"))
-    return pairs.groupBy("p.w1", "p.w2").agg(F.count("*").alias("n")).where("n >= 20")
+    return pairs.groupBy("p.w1", "p.w2").agg(F.count("*").alias("n"))
 
 
 @query(
-    "WITH v AS (SELECT w FROM (SELECT unnest(string_split_regex(lower(trim(text)), '\\s+')) AS w FROM documents WHERE doc_id % 2 = 0) GROUP BY w HAVING count(*) >= 5), "
+    "WITH v AS (SELECT w FROM (SELECT unnest(string_split_regex(lower(trim(text)), '\\s+')) AS w FROM documents) GROUP BY w HAVING count(*) >= 5), "
     "t AS (SELECT doc_id, unnest(string_split_regex(lower(trim(text)), '\\s+')) AS w FROM documents) "
     "SELECT doc_id, count(*) AS token_count, count(*) FILTER (v.w IS NULL) AS unknown_count, count(*) FILTER (v.w IS NULL) / count(*) AS unknown_rate FROM t LEFT JOIN v ON t.w = v.w GROUP BY doc_id"
 )
 def byte_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of all documents by the words that even-numbered ones hold five times."""
+    """Coverage of all documents by a vocabulary: the words that all of them hold five times, the vocabulary's minimum frequency."""
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower(F.btrim("text")), r"\s+")).alias("w"))
-    known = words.where("doc_id % 2 = 0").groupBy("w").agg(F.count("*").alias("n")).where("n >= 5").select("w", F.lit(True).alias("known"))
+    known = words.groupBy("w").agg(F.count("*").alias("n")).where("n >= 5").select("w", F.lit(True).alias("known"))
     counted = words.groupBy("doc_id", "w").agg(F.count("*").alias("n")).join(known, "w", "left")
     unknown = F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0))
     return counted.groupBy("doc_id").agg(F.sum("n").alias("token_count"), unknown.alias("unknown_count"), (unknown / F.sum("n")).alias("unknown_rate"))
@@ -411,27 +455,40 @@ def byte_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH l AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE)) AS v, label % 16 AS t FROM embeddings), "
+    "WITH l AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, label AS t FROM embeddings), "
     "e AS (SELECT vec_id, list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) - v[t + 1] AS nll FROM l) "
     "SELECT count(*) AS targets, round(sum(nll) / count(*), 9) AS mean_loss, round(exp(sum(nll) / count(*)), 9) AS perplexity FROM e"
 )
 def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target-weighted loss with vectors as logits and labels as targets."""
-    rows = table(spark, sf_dir, "embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("v"), (F.col("label") % 16).alias("t"))
+    """Target-weighted loss with whole vectors as logits and labels as targets."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("t"))
     out = metrics.target_weighted(rows.select(metrics.cross_entropy(F.col("v"), F.col("t")).alias("loss"), F.lit(1).alias("n")), "loss", "n")
     return out.select("targets", F.round("mean_loss", 9).alias("mean_loss"), F.round("perplexity", 9).alias("perplexity"))
 
 
-@query(
-    "WITH l AS (SELECT vec_id, unnest(range(16)) AS id, unnest(list_transform(embedding[1:16], lambda x: 4 * CAST(x AS DOUBLE))) AS v FROM embeddings), "
+NUCLEUS = (
+    "l AS (SELECT vec_id, unnest(range(len(embedding))) AS id, unnest(list_transform(embedding, lambda x: 4 * CAST(x AS DOUBLE))) AS v FROM embeddings), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, id) AS k FROM l), "
     "p AS (SELECT vec_id, id, k, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM r WHERE k <= 8), "
-    "c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) "
-    "SELECT vec_id, CAST(id AS INTEGER) AS id, round(p / sum(p) OVER (PARTITION BY vec_id), 9) AS p FROM c WHERE before < 0.6"
+    "c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p), "
+    "n AS (SELECT vec_id, id, k, p / sum(p) OVER (PARTITION BY vec_id) AS p FROM c WHERE before < 0.6)"
 )
+
+
+def likeliest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: 4 * x).alias("v"))
+    return rows.select("vec_id", metrics.nucleus(F.col("v"), 8, 0.6).alias("shares"))
+
+
+@query(f"WITH {NUCLEUS} SELECT vec_id, CAST(id AS INTEGER) AS id, round(p, 9) AS p FROM n")
 def topk_topp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 16), lambda x: 4 * x).alias("v"))
-    return rows.select("vec_id", F.inline(metrics.nucleus(F.col("v"), 8, 0.6))).select("vec_id", "id", F.round("p", 9).alias("p"))
+    return likeliest(spark, sf_dir).select("vec_id", F.inline("shares")).select("vec_id", "id", F.round("p", 9).alias("p"))
+
+
+@query(f"WITH {NUCLEUS}, u AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY k) AS upto FROM n) SELECT vec_id, CAST(coalesce(arg_min(id, k) FILTER (upto > (vec_id * 37 % 100) / 100.0), arg_max(id, k)) AS INTEGER) AS id FROM u GROUP BY vec_id")
+def inverse_cdf_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One id of each row's nucleus, at a place that its number gives."""
+    return likeliest(spark, sf_dir).select("vec_id", metrics.draw(F.col("shares"), (F.col("vec_id") * 37 % 100) / 100.0).alias("id"))
 
 
 @query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS id FROM embeddings")
@@ -445,6 +502,28 @@ def gradient_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(squares), 9).alias("norm"))
 
 
+@query("SELECT round(sqrt(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)))), 6) AS norm, true AS finite FROM embeddings")
+def global_gradient_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.global_norm(table(spark, sf_dir, "embeddings"), "embedding").select(F.round("norm", 6).alias("norm"), "finite")
+
+
+@query("SELECT doc_id % 4 AS epoch, CAST(sum(n_chars) AS BIGINT) AS targets, sum(doc_id / 7.0 * n_chars) / sum(n_chars) AS loss FROM documents GROUP BY 1")
+def epoch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target-weighted loss of each epoch, with documents as updates."""
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("epoch"), F.col("doc_id").alias("update"), (F.col("doc_id") / 7.0).alias("loss"), F.col("n_chars").alias("targets"))
+    return metrics.epoch_loss(rows)
+
+
+@query("SELECT CAST(sum(n_chars) AS BIGINT) / sum(doc_id + 0.5) AS targets_per_second FROM documents")
+def target_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.target_rate(table(spark, sf_dir, "documents").select(F.col("n_chars").alias("targets"), (F.col("doc_id") + F.lit(0.5)).alias("seconds")))
+
+
+@query("SELECT source, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high, median(n_chars) AS median, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median FROM documents GROUP BY 1")
+def sample_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.sample_summary(table(spark, sf_dir, "documents"), "source", "n_chars")
+
+
 @query("WITH p AS (SELECT i AS sample, i * 7 // 3 AS low, (i + 1) * 7 // 3 AS high FROM range(3) r(i)) SELECT sample, low + (high - low) // 2 AS batch_index, high - low AS represented FROM p")
 def midpoint_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.midpoint_plan(spark, 7, 3)

@@ -14,9 +14,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of this application's own."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs in this process, as in tests, one of this application's own."""
     if named := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
