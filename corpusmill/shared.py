@@ -46,9 +46,23 @@ def _drop_all() -> None:
             drop(spark, path)
 
 
+#: Has Spark remove a query's shuffle files when it ends, and not at some later garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of a table from written() that has been read for the last time."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop(df.sparkSession, path)
