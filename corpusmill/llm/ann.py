@@ -58,7 +58,7 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, rng: np.random.G
     first, to the part that holds most of their neighbours, while there is room.
     """
     n = len(x)
-    room = int(np.ceil(1.1 * n / parts))
+    room = -(-11 * n // (10 * parts))
     centres = x[rng.choice(n, parts, replace=False)]
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
 

@@ -26,8 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the memos of a Python worker, which are emptied when full.
-PIECES, PAIRS = 700_000, 500_000
+#: Entries of the memos of a Python worker, which are emptied when full, and the longest text that is a key.
+PIECES, PAIRS, KEY = 700_000, 500_000, 64
 WIDE = re.compile(r"\s\s\s").search
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -39,9 +39,11 @@ class Memo(dict):
         self.make, self.bound = make, bound
 
     def __missing__(self, key):
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if not isinstance(key, str) or len(key) <= KEY:
+            if len(self) >= self.bound:
+                self.clear()
+            self[key] = value
         return value
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.shared import drop, new_path, shared_dir, written
+from corpusmill.shared import drop, forget, new_path, shared_dir, written
 
-__all__ = ["drop", "new_path", "shared_dir", "written"]
+__all__ = ["drop", "forget", "new_path", "shared_dir", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +31,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def release(spark: SparkSession) -> None:
-    """Has shuffle files of finished steps removed now rather than at some later garbage collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+def apart(docs: DataFrame, *names: str | Column) -> DataFrame:
+    """The named columns, and _row: whole rows of docs, so that no column of an operator's own can clash with another of docs."""
+    return docs.select(F.struct("*").alias("_row"), *names)
+
+
+def own_columns(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of docs out of _row, in order, with some replaced."""
+    return [changed[c].alias(c) if c in changed else F.col("_row").getField(c).alias(c) for c in docs.columns]
 
 
 def id_text(doc_id: Column) -> Column:

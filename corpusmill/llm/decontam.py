@@ -83,7 +83,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         each = each.join(own, each["doc_id"].eqNullSafe(own["_id"]) & each["_version"].eqNullSafe(own["_v"]), "left")
         each = each.withColumn("_start", F.explode(_starts(-1)))
         each = each.where((F.col("_start") < 0) | F.array_contains("_shared", _kept(F.col("_start"))))
-    window = F.when(F.col("_start") >= 0, _text(F.col("words"), F.col("_start"), WINDOW))
+    # No window equals what stands in for one in the row -1: each text's own, so that they aren't one hot key of the join below.
+    own = F.concat(F.lit("\0"), F.hex(F.xxhash64("doc_id", "_version")))
+    window = F.when(F.col("_start") >= 0, _text(F.col("words"), F.col("_start"), WINDOW)).otherwise(own)
     rows = each.select("doc_id", "_version", "n_words", "_start", F.lit(WINDOW).alias("n"), window.alias("window"))
 
     # Items of fewer words, by their first word and then all of them.
@@ -135,9 +137,13 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with their own columns, that aren't contaminated."""
+    """The rows of docs, with their own columns, whatever their names, that aren't contaminated.
+
+    Null and empty texts stay; rows that repeat stay or go together; texts of
+    one id are judged one by one. An empty table gives an empty result.
+    """
     found = matches(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
     bad = found.where(contaminated()).select(F.col("doc_id").alias("_bad_id"), F.col("_version").alias("_bad_version"))
-    marked = docs.withColumn("_version", F.xxhash64("text"))
+    marked = common.apart(docs, "doc_id", F.xxhash64("text").alias("_version"))
     same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & F.col("_version").eqNullSafe(F.col("_bad_version"))
-    return marked.join(bad, same, "left_anti").select(*docs.columns)
+    return marked.join(bad, same, "left_anti").select(*common.own_columns(docs))

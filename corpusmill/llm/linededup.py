@@ -1,11 +1,12 @@
 """Fuzzy line dedup: character-shingle MinHash, banding, exact Jaccard, union-find over lines.
 
 Lines that are equal after trimming, lower-casing and collapsing blanks are one
-class, by a 64-bit hash. Each class has SHINGLE-character shingles (a shorter
-line is one shingle); links of at least 0.8 Jaccard similarity between classes
-are proposed by BANDS bands of ROWS MinHash values (a pair at 0.8 is missed
-with probability (1 - 0.8**4)**30, or 1.4e-7) and confirmed on whole sets. Of
-each component of links one line stays: the first by doc_id, then position.
+class, by two 64-bit hashes, key and check. Each class has SHINGLE-character
+shingles (a shorter line is one shingle); links of at least 0.8 Jaccard
+similarity between classes are proposed by BANDS bands of ROWS MinHash values
+(a pair at 0.8 is missed with probability (1 - 0.8**4)**30, or 1.4e-7) and
+confirmed on whole sets. Of each component of links one line stays: the first
+by doc_id, then position.
 """
 
 from __future__ import annotations
@@ -20,104 +21,130 @@ from pyspark.sql import functions as F
 from corpusmill.llm import common, similar
 
 SHINGLE, BANDS, ROWS, SEED = 7, 30, 4, 31
+#: Letters of the lines that are compared at a time.
+LETTERS = 1 << 22
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.btrim(F.regexp_replace(line, r"[ \t\r\x0B\f]+", " ")))
+    return F.lower(F.btrim(F.regexp_replace(line, r"[ \t\r\x0B\f]{2,}|[\t\r\x0B\f]", " ")))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, at, line): the lines of (doc_id, text) that aren't blank, normalised. version: a hash of the text."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    return rows.withColumn("line", normal(F.col("line"))).where("line != ''")
+def _parts(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def shingles(lines: list[str]) -> Iterator[np.ndarray]:
-    """Hashes of each line's shingles, in order; with repeats."""
-    joined = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = np.array([len(x) for x in lines], np.int64)
-    ends = np.cumsum(n)
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, at, line, key, check): the lines of (doc_id, text) that aren't blank, normalised. version: a hash of the text."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(_parts(F.col("text"))).alias("at", "line"))
+    rows = rows.withColumn("line", normal(F.col("line"))).where("line != ''")
+    return rows.withColumn("key", F.xxhash64("line")).withColumn("check", F.xxhash64(F.lit(1), "line"))
 
-    def mixed(part: np.ndarray, k: int) -> np.ndarray:
-        m = max(len(part) - k + 1, 0)
-        h = np.full(m, k, np.uint64)
-        for j in range(k):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + part[j : j + m]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(29))
 
-    whole = mixed(joined, SHINGLE)
-    for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
-        yield whole[a : b - SHINGLE + 1] if b - a >= SHINGLE else mixed(joined[a:b], b - a)
+def _mixed(letters: np.ndarray | _Windows) -> np.ndarray:
+    """A hash of each column of letters."""
+    k = letters.shape[0]
+    h = np.full(letters.shape[1], k, np.uint64)
+    for row in letters:
+        h = h * np.uint64(0x9E3779B97F4A7C15) + row
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
-def line_sets(lines: list[bytes]) -> list[np.ndarray]:
-    """Sorted distinct shingles of lines; the text is an eighth of their size, so it is what travels."""
-    return [np.unique(s) for s in shingles([x.decode() for x in lines])]
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines' shingles, in order and with repeats, one line after the other, and how many each has. No line is empty."""
+    joined = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = np.array([len(x) for x in lines], np.int64)
+    starts, inside = np.cumsum(n) - n, np.ones(len(joined), bool)
+    values, most = np.zeros(len(joined), np.uint64), len(joined) - SHINGLE + 1
+    if most > 0:
+        values[:most] = _mixed(_Windows(joined, most))
+    for j in range(1, SHINGLE):  # what begins in a line's last few letters runs into the next line
+        inside[(starts + n - j)[n >= j]] = False
+    for k in range(1, SHINGLE):
+        at = starts[n == k]
+        if len(at):
+            values[at] = _mixed(joined[at[None, :] + np.arange(k)[:, None]])
+            inside[at] = True
+    return values[inside], np.maximum(n - SHINGLE + 1, 1)
+
+
+class _Windows:
+    """Rows of letters, each a place on, as views of a whole text."""
+
+    def __init__(self, letters: np.ndarray, width: int):
+        self.letters, self.shape = letters, (SHINGLE, width)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self.letters[j : j + self.shape[1]] for j in range(SHINGLE))
+
+
+def similar_lines(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of lines have shingle sets of at least `percent` Jaccard similarity; all in one go, long ones in several."""
+    if len(left) > 1 and sum(map(len, left)) + sum(map(len, right)) > LETTERS:
+        half = len(left) // 2
+        return np.concatenate([similar_lines(left[:half], right[:half], percent), similar_lines(left[half:], right[half:], percent)])
+    m = len(left)
+    if not m:
+        return np.zeros(0, bool)
+    values, sizes = shingles([x.decode() for x in (*left, *right)])
+    pair = np.repeat(np.arange(2 * m) % m, sizes)
+    values = (values + pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)  # a pair's own
+    values ^= values >> np.uint64(31)
+    cut = int(sizes[:m].sum())
+    a, at = np.unique(values[:cut], return_index=True)
+    b, bt = np.unique(values[cut:], return_index=True)
+    n_a, n_b = np.bincount(pair[:cut][at], minlength=m), np.bincount(pair[cut:][bt], minlength=m)
+    both = np.bincount(pair[:cut][at][np.isin(a, b, assume_unique=True)], minlength=m)
+    return 100 * both >= percent * (n_a + n_b - both)
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """lines by their places (key, doc_id, version, at), with a signature at the first of each key in a batch, so that one scan gives both."""
+    """lines by their places (key, check, doc_id, version, at), with a signature at the first of each key in a batch, so that one scan gives both."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = similar.signature_tables(BANDS * ROWS, SEED)
         for batch in batches:
-            keys, texts, firsts = batch.column(0).to_pylist(), batch.column(4).to_pylist(), {}
-            for i, key in enumerate(keys):
-                firsts.setdefault(key, i)
-            found: list[bytes | None] = [None] * len(keys)
-            for i, s in zip(firsts.values(), shingles([texts[i] for i in firsts.values()]), strict=True):
-                found[i] = similar.short_form(similar.extremes(s, a, b, largest=False)).tobytes()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], names=["key", "doc_id", "version", "at", "signature"])
+            _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            found = np.full(batch.num_rows, None, object)
+            if len(first):
+                texts = batch.column(5).take(pa.array(first)).to_pylist()
+                values = similar.short_form(similar.many_minima(*shingles(texts), a, b))
+                found[first] = [v.tobytes() for v in values]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.binary())], names=["key", "check", "doc_id", "version", "at", "signature"])
 
     kind = lines.schema["doc_id"].dataType.simpleString()
-    return lines.select("key", "doc_id", "version", "at", "line").mapInArrow(rows, f"key long, doc_id {kind}, version long, at int, signature binary")
-
-
-def _bucket_rows(signatures: DataFrame) -> DataFrame:
-    """(bucket, band, key, n) of each band of each key; the bucket is a hash of the band's number and 16-bit values."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
-            keys = similar.many_band_keys(values, ROWS)
-            band = np.tile(np.arange(BANDS, dtype=np.int32), len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1), pa.int64()), pa.array(band), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS), pa.int64())], names=["bucket", "band", "key"])
+    return lines.select("key", "check", "doc_id", "version", "at", "line").mapInArrow(rows, f"key long, check long, doc_id {kind}, version long, at int, signature binary")
 
-    return signatures.select("key", "signature").mapInArrow(rows, "bucket long, band int, key long").withColumn("n", F.lit(1))
 
-
-def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, version, n_lines, gone): per distinct text with its id, positions of lines that go, sorted; texts without lines are left out."""
-    spark = docs.sparkSession
-    lines = lines_of(docs).withColumn("key", F.xxhash64("line"))
-    signed = common.written(_signed(lines), "places")
-    places = signed.drop("signature")
-    signatures = signed.where("signature is not null").groupBy("key").agg(F.first("signature").alias("signature"))
-    signatures = common.written(signatures, "lines")
-    common.release(spark)
+def duplicate_lines(docs: DataFrame, percent: int = 80, slack: float | None = similar.SLACK) -> DataFrame:
+    """(doc_id, version, gone): positions of the lines that go, a set, per distinct text with its id that has any. slack: of similar.components()."""
+    lines = lines_of(docs)
+    places = common.written(_signed(lines), "places")
+    chosen: list[DataFrame] = []
 
     def sets(needed: DataFrame) -> DataFrame:
-        rows = lines.select("key", "line").join(common.small(needed, common.BROADCAST_KEYS), "key", "left_semi")
-        return rows.groupBy("key").agg(F.first("line").alias("line")).select("key", F.encode("line", "UTF-8").alias("members"))
+        """The text travels, which is an eighth of the size of its hashed set. Of two lines with one key, should there be any, one is linked."""
+        rows = lines.select("key", "check", "line").join(common.small(needed, common.BROADCAST_KEYS), "key", "left_semi")
+        rows = rows.groupBy("key").agg(F.min(F.struct("check", "line")).alias("line"))
+        chosen.append(common.written(rows.select("key", "line.check", F.encode("line.line", "UTF-8").alias("members")), "lines"))
+        return chosen[0]
 
-    _, found = similar.components(_bucket_rows(signatures), signatures, sets, percent, BANDS * ROWS, ROWS, line_sets)
-    found = found.select(F.col("node").alias("key"), "component")
-    common.release(spark)
+    _, found = similar.components(places.where("signature is not null"), sets, percent, BANDS * ROWS, ROWS, similar_lines, slack)
+    found = common.written(found.select(F.col("node").alias("key"), "component").join(chosen[0].select("key", "check"), "key"), "found")
+    common.forget(chosen[0])
 
+    # Lines that occur once and have no link stay, and aren't looked at again.
     place = F.struct("doc_id", "version", "at")
-    firsts = places.groupBy("key").agg(F.min(place).alias("first"))  # combined on the map side, so hot lines cost a row a task
-    firsts = firsts.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    best = firsts.groupBy("component").agg(F.min("first").alias("stays"))
-    stays = common.written(best.select("stays.*"), "stays")
-    stays = stays.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("at")).alias("stay"))
-    texts = places.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("at")).alias("all"))
-    same = texts["doc_id"].eqNullSafe(stays["doc_id"]) & texts["version"].eqNullSafe(stays["version"])
-    stay = F.coalesce(stays["stay"], F.array().cast("array<int>"))
-    out = texts.join(stays, same, "left").select(texts["doc_id"], texts["version"], F.size("all").alias("n_lines"), F.array_except("all", stay).alias("gone"))
-    out = common.written(out, "gone-lines")
-    common.release(spark)
+    classes = places.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(place).alias("first"))  # combined on the map side, so hot lines cost a row a task
+    classes = classes.join(found, ["key", "check"], "left").where("n > 1 or component is not null")
+    classes = common.written(classes.select("key", "check", "n", "first", F.coalesce("component", "key").alias("component"), F.when(F.col("component").isNull(), F.col("check")).alias("alone")), "classes")
+    best = classes.groupBy("component", "alone").agg(F.min("first").alias("stays")).withColumnsRenamed({"component": "_component", "alone": "_alone"})
+    same = (classes["component"] == best["_component"]) & classes["alone"].eqNullSafe(best["_alone"])
+    classes = common.written(classes.join(best, same).select("key", "check", "stays"), "stays")
+    gone = places.select("key", "check", place.alias("place")).join(common.small(classes), ["key", "check"]).where("place != stays").select("place.*")
+    out = common.written(gone.groupBy("doc_id", "version").agg(F.collect_set("at").alias("gone")), "gone-lines")
+    common.forget(places)
     return out
 
 
@@ -126,35 +153,51 @@ def _without(text: Column, gone: Column) -> Column:
     return F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(gone, i)), "\n")
 
 
+def _rewritten(docs: DataFrame, percent: int) -> DataFrame:
+    """_row of docs, and text, n_lines and n_kept as they are without its duplicate lines."""
+    found = duplicate_lines(docs.select("doc_id", "text"), percent)
+    few = common.is_small(found.select(F.explode("gone")), common.BROADCAST_KEYS)  # its size is that of the lists
+    found = found.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "gone")
+    rows = common.apart(docs, "doc_id", "text", F.xxhash64("text").alias("_own"))
+    rows = rows.join(F.broadcast(found) if few else found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_version")), "left")
+    gone = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
+    lines = F.size(F.filter(_parts(F.col("text")), lambda x: x.rlike(r"[^ \t\r\x0B\f]")))
+    text = F.when(gone > 0, _without(F.col("text"), F.col("gone"))).otherwise(F.col("text"))
+    return rows.select("_row", text.alias("text"), lines.cast("long").alias("n_lines"), (lines - gone).cast("long").alias("n_kept"))
+
+
 def without_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with text, n_lines and n_kept, its duplicate lines taken out.
+    """docs with text, n_lines and n_kept (lines that aren't blank), its duplicate lines taken out.
 
     Texts without duplicates are unchanged, byte for byte; blank lines stay.
     Null and empty texts have no lines. Rows that repeat doc_id and text are
-    one document and keep the same lines; a null id sorts first. Extra columns
-    stay as they are; an empty table gives an empty result.
+    one document and keep the same lines; a null id sorts first. Other columns
+    stay as they are, but columns named n_lines and n_kept are replaced; an
+    empty table gives an empty result.
     """
-    found = duplicate_lines(docs.select("doc_id", "text"), percent)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "n_lines", "gone")
-    marked = docs.drop("n_lines", "gone").withColumn("_own", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_version"))
-    out = marked.join(found, same, "left")
-    gone = F.coalesce(F.size("gone"), F.lit(0))
-    gone = F.greatest(gone, F.lit(0))
-    text = F.when(gone > 0, _without(F.col("text"), F.col("gone"))).otherwise(F.col("text"))
-    lines = F.coalesce("n_lines", F.lit(0)).cast("long")
-    return out.withColumn("text", text).withColumn("n_kept", (lines - gone).cast("long")).withColumn("n_lines", lines).drop("_own", "_id", "_version", "gone")
+    out, extra = _rewritten(docs, percent), ["n_lines", "n_kept"]
+    own = [F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in extra]
+    return out.select(*own, *extra)
 
 
 def clean(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The columns of docs, with new text and n_chars; documents whose lines are all repeats of kept ones go."""
-    out = without_duplicates(docs, percent).where("n_lines = 0 or n_kept > 0").drop("n_lines", "n_kept")
+    """The columns of docs, whatever their names, with new text and n_chars; documents whose lines are all repeats of kept ones go.
+
+    Texts without a line, null and empty ones too, stay; rows that repeat stay
+    or go together, and an empty table gives an empty result.
+    """
+    out = _rewritten(docs, percent).where("n_lines = 0 or n_kept > 0")
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*common.own_columns(docs, **changed))
 
 
 def report(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Per row of docs: doc_id, n_lines, n_kept (lines that aren't blank) and text_sha256 of what stays (of "" for null)."""
+    """Per row of docs: doc_id, n_lines, n_kept (lines that aren't blank) and text_sha256 of what stays (of "" for null).
+
+    Repeated rows give repeated results, null and empty texts have no lines,
+    extra columns are ignored, and an empty table gives an empty result.
+    """
     out = without_duplicates(docs.select("doc_id", "text"), percent)
     return out.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -20,8 +20,8 @@ from corpusmill.llm import common, similar
 
 PERMUTATIONS, ROWS, SEED = 100, 5, 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = "doc_id long, version long, n long, key binary, bands array<long>, signature binary"
-SETS = "key binary, members binary"
+FEATURES = "doc_id long, version long, n long, key binary, signature binary"
+SETS = "digest binary, members binary"
 
 
 def word_hashes(text: Column) -> Column:
@@ -62,30 +62,29 @@ def _same(a: DataFrame, b: DataFrame, doc_id: str, version: str) -> Column:
 
 
 def features(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, version (a hash of the text), n (size of the shingle set), key (128-bit digest of the set), bands, signature. Empty sets have a null key."""
+    """doc_id, version (a hash of the text), n (size of the shingle set), key (128-bit digest of the set), signature. Empty sets have a null key."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = similar.signature_tables(PERMUTATIONS, SEED)
         for batch in batches:
-            n, key, bands, signature = [], [], [], []
+            n, key, signature = [], [], []
             for s in shingle_sets(batch.column(2), size):
                 n.append(len(s))
                 if len(s):
                     values = similar.short_form(similar.extremes(s, a, b, largest=True))
                     key.append(_key(s))
-                    bands.append(similar.band_keys(values, ROWS))
                     signature.append(values.tobytes())
                 else:
-                    key.append(None), bands.append(None), signature.append(None)
+                    key.append(None), signature.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.binary())],
-                names=["doc_id", "version", "n", "key", "bands", "signature"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(signature, pa.binary())],
+                names=["doc_id", "version", "n", "key", "signature"],
             )
 
     return _named(docs).select("doc_id", "version", word_hashes(F.col("text")).alias("w")).mapInArrow(rows, FEATURES)
 
 
-def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def groups(docs: DataFrame, size: int = 5, percent: int = 80, slack: float | None = similar.SLACK) -> DataFrame:
     """(doc_id, version, key, n_shingles, component_id, stays) for every row of docs.
 
     stays: of the texts that links reach it is the first by doc_id, then by the
@@ -99,25 +98,29 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     classes = made.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(place).alias("first"))
     classes = common.written(classes.select("key", "first", F.col("first.doc_id").alias("_id"), F.col("first.version").alias("_version")), "classes")
     same = _same(made, classes, "_id", "_version") & (made["key"] == classes["key"])
-    items = common.written(made.join(classes, same, "left_semi").select("key", "n", "bands", "signature").dropDuplicates(["key"]), "items")
+    items = made.join(classes, same, "left_semi").select("key", "signature").dropDuplicates(["key"])
+    items = common.written(items.withColumnRenamed("key", "digest").withColumn("key", F.monotonically_increasing_id()), "items")
+    made = made.drop("signature")
 
     def sets(needed: DataFrame) -> DataFrame:
-        ids = needed.join(classes, "key").select("_id", "_version").distinct()
+        wanted = items.join(common.small(needed, common.BROADCAST_KEYS), "key", "left_semi").select("key", "digest")
+        wanted = common.written(wanted.join(classes.withColumnRenamed("key", "digest"), "digest").select("key", "digest", "_id", "_version"), "wanted")
         rows = _named(docs)
+        ids = common.small(wanted.select("_id", "_version").distinct())
         rows = rows.join(ids, _same(rows, ids, "_id", "_version"), "left_semi")
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [s for s in shingle_sets(batch.column(0), size) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["digest", "members"])
 
         found = rows.select(word_hashes(F.col("text")).alias("w")).mapInArrow(collect, SETS)
-        return found.join(needed, "key", "left_semi").dropDuplicates(["key"])
+        return common.written(found.join(wanted.select("key", "digest"), "digest").dropDuplicates(["key"]), "sets")
 
-    rows = items.select(F.posexplode("bands").alias("band", "bucket"), "key", "n")
-    _, found = similar.components(rows, items, sets, percent, 2 * PERMUTATIONS, ROWS)
-    found = found.select(F.col("node").alias("key"), "component")
-    placed = classes.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    _, found = similar.components(items, sets, percent, 2 * PERMUTATIONS, ROWS, slack=slack)
+    digests = items.select("key", "digest")
+    found = found.join(digests, found["node"] == digests["key"]).select(F.col("digest").alias("key"), "component")
+    placed = classes.join(found, "key", "left").withColumn("component", F.coalesce(F.col("component").cast("string").cast("binary"), "key"))
     least = placed.groupBy("component").agg(F.min("first").alias("least"))
     placed = placed.join(least, "component").select("key", "least")
     out = made.select("doc_id", "version", "key", F.col("n").alias("n_shingles")).join(placed, "key", "left")
@@ -144,15 +147,16 @@ def _repeats(found: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with their own columns, that are the first of their group.
+    """The rows of docs, with their own columns, whatever their names, that are the first of their group.
 
     Rows are told apart by doc_id and text: another text of the same id stays
     or goes by its own group, of rows that repeat both one stays, and rows with
-    a null id are in the groups too, after those with an id.
+    a null id are in the groups too, after those with an id. Null and empty
+    texts are in no group; an empty table gives an empty result.
     """
     found = groups(docs.select("doc_id", "text"), size, percent).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "stays")
     found = common.written(found, "stays")
-    rows = docs.withColumn("_own", F.xxhash64("text"))
+    rows = common.apart(docs, "doc_id", F.xxhash64("text").alias("_own"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_version"))
     rows = rows.join(found.where(~F.col("stays")).select("_id", "_version"), same, "left_anti")
     again = found.where("stays").groupBy("_id", "_version").count().where("count > 1").drop("count")
@@ -160,4 +164,4 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     if not again.isEmpty():
         again = common.small(again)
         rows = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "_own"]))
-    return rows.drop("_own")
+    return rows.select(*common.own_columns(docs))

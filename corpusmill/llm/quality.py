@@ -193,10 +193,16 @@ def score(docs: DataFrame, rules: Rules) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = SAMPLE) -> DataFrame:
-    """The rows whose score reaches the threshold, with their own columns only."""
-    columns = docs.columns
-    scored = with_statistics(docs).withColumn("_score", fit(docs, labels, bound).column())
-    return scored.where(F.col("_score") >= threshold).select(*columns)
+    """The rows whose score reaches the threshold, with their own columns, whatever their names.
+
+    Null and empty texts are scored by all-zero statistics; rows that repeat
+    stay or go together; a score at the threshold stays. Without usable labels
+    all rows have one score, the share of good ones that is taken for granted,
+    which is a half. An empty table gives an empty result.
+    """
+    rules = fit(docs, labels, bound)
+    scored = with_statistics(common.apart(docs, "text")).where(rules.column() >= threshold)
+    return scored.select(*common.own_columns(docs))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = SAMPLE) -> DataFrame:

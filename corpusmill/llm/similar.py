@@ -1,15 +1,22 @@
 """Links between sets of at least a given Jaccard similarity, and their components.
 
-Both near-duplicate operators use this: items are shingle sets, one for each
-distinct set, with LSH band keys and a signature. Buckets of equal band keys
-propose pairs, exact Jaccard similarity on whole sets confirms them.
-
-In a bucket each item is first held against one pivot. Only pairs that are
-still in different components are looked at further: all of them, inside cells
-of bounded size, by an estimate from the signatures and then on whole sets. A
-cell gives back only links that join something. So a large group of copies
-costs a pair for each member, pairs are never listed, and no link between
-different components is lost for the size of a bucket.
+Both near-duplicate operators use this: items are shingle sets with a long key
+and a MinHash signature. Equal bands of signatures propose pairs, exact Jaccard
+similarity on whole sets confirms them.
+
+Buckets. A band of an item gives an entry of two longs. Tasks sort their
+entries and send them on in blocks, a block for each range of bucket hashes;
+a reducer merges the blocks of its range and keeps buckets of two or more. So a
+shuffled entry costs 16 bytes, and bands go through in rounds, whose shuffle
+files are gone before the next. A bucket that is large in one task or in its
+reducer isn't listed there; its members are found by another scan.
+
+Links. In a bucket each item is first held against one pivot. Only pairs that
+are still in different components are looked at further: all of them, inside
+cells of bounded size, by an estimate from the signatures and then on whole
+sets. A cell gives back only links that join something. So a large group of
+copies costs a pair for each member, pairs are never listed, and no link
+between different components is lost for the size of a bucket.
 """
 
 from __future__ import annotations
@@ -19,18 +26,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import common
 from corpusmill.operators.components import components as connected
 
-#: Items of a block in a large bucket; of a bucket that is packed with others; of such a pack.
-BLOCK, SMALL, PACK = 512, 32, 4096
+#: Entries that a task sorts at a time; entries of a reducer's range on average; bands of a round.
+SORTED, REDUCED, ROUND = 1 << 21, 1 << 21, 10
+#: Members of a bucket in one task's sort, and in a reducer, beyond which the bucket is large.
+HOT, LARGE = 64, 4096
+#: Members of a block of a large bucket; of a pack of other buckets, on average; pairs compared at a time.
+BLOCK, PACK, AT_ONCE = 512, 4096, 1 << 16
 #: Standard errors that an estimate may lie under the threshold.
 SLACK = 6.0
 
-Unpack = Callable[[list[bytes]], list[np.ndarray]]
+#: Left and right sets as stored, and percent: which pairs are similar.
+Compare = Callable[[list[bytes], list[bytes], int], np.ndarray]
+BUCKETS = "bucket long, band int, n int, pivot long, last long, mixed long, members array<long>"
 
 
 def signature_tables(permutations: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,9 +53,13 @@ def signature_tables(permutations: int, seed: int) -> tuple[np.ndarray, np.ndarr
     return (rng.integers(0, 2**31, permutations, dtype=np.uint32) << np.uint32(1)) | np.uint32(1), rng.integers(0, 2**32, permutations, dtype=np.uint32)
 
 
+def folded(values: np.ndarray) -> np.ndarray:
+    return (values ^ (values >> np.uint64(32))).astype(np.uint32)
+
+
 def extremes(values: np.ndarray, a: np.ndarray, b: np.ndarray, *, largest: bool, chunk: int = 4096) -> np.ndarray:
     """The least (and, if asked, after them the largest) hash of a set under each permutation."""
-    x = (values ^ (values >> np.uint64(32))).astype(np.uint32)
+    x = folded(values)
     low, high = np.full(len(a), 2**32 - 1, np.uint32), np.zeros(len(a), np.uint32)
     for i in range(0, len(x), chunk):
         h = a[:, None] * x[None, i : i + chunk] + b[:, None]
@@ -51,14 +69,31 @@ def extremes(values: np.ndarray, a: np.ndarray, b: np.ndarray, *, largest: bool,
     return np.concatenate([low, high]) if largest else low
 
 
-def many_band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit key for each band of `rows` values of each signature."""
+def many_minima(values: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    """extremes() of many sets that aren't empty, one after the other in values: a row for each, of the least hashes."""
+    x, ends = folded(values), np.cumsum(sizes)
+    starts, out, i = ends - sizes, np.empty((len(a), len(sizes)), np.uint32), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + chunk, side="right")))
+        if j == i + 1:  # perhaps a very long one
+            out[:, i] = extremes(values[starts[i] : ends[i]], a, b, largest=False)
+        else:
+            h = a[:, None] * x[None, starts[i] : ends[j - 1]]
+            h += b[:, None]
+            np.minimum.reduceat(h, starts[i:j] - starts[i], axis=1, out=out[:, i:j])
+        i = j
+    return np.ascontiguousarray(out.T)
+
+
+def many_band_keys(signatures: np.ndarray, rows: int, first: int = 0) -> np.ndarray:
+    """A 64-bit key for each band of `rows` values of each signature; the band's number, counted from `first`, is its low six bits."""
     bands = signatures.reshape(len(signatures), -1, rows).astype(np.uint64)
-    key = np.tile(np.arange(1, bands.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(bands), 1))
+    number = np.arange(first, first + bands.shape[1], dtype=np.uint64)
+    key = np.tile((number + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), (len(bands), 1))
     for j in range(rows):
         key = (key ^ bands[:, :, j]) * np.uint64(0xBF58476D1CE4E5B9)
         key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+    return (key & ~np.uint64(63)) | number
 
 
 def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
@@ -70,161 +105,328 @@ def short_form(signature: np.ndarray) -> np.ndarray:
     return (signature ^ (signature >> np.uint32(16))).astype(np.uint16)
 
 
-def _near_size(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+# Comparing whole sets
 
 
-def _estimate_floor(values: int, percent: int) -> float:
-    p = percent / 100
-    return p - SLACK * math.sqrt(p * (1 - p) / values)
+def packed_sets(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
+    """Compares sets that were stored as their sorted distinct 64-bit numbers."""
+    pairs = zip(left, right, strict=True)
+    return np.array([_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in pairs], bool)
 
 
-def packed_sets(members: list[bytes]) -> list[np.ndarray]:
-    """Sets that were stored as their sorted 64-bit numbers."""
-    return [np.frombuffer(x, "<u8") for x in members]
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _confirmed(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], unpack: Unpack, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    members = common.written(sets(common.written(needed, "needed")), "sets")
-    left = members.select(F.col("key").alias("a"), F.col("members").alias("left"))
+def _confirmed(stars: DataFrame, members: DataFrame, compare: Compare, percent: int) -> DataFrame:
+    """The pairs (a, b) of stars (a, b, n: at most so many have this a) whose whole sets reach the similarity. members: (key, members).
+
+    Pairs of one pivot are dealt over tasks, each of which gets the pivot's set.
+    """
+    salted = stars.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)))
+    left = salted.select("a", "salt").distinct().join(members.select(F.col("key").alias("a"), F.col("members").alias("left")), "a")
     right = members.select(F.col("key").alias("b"), F.col("members").alias("right"))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             for i in range(0, len(t), 256):
                 part = t.iloc[i : i + 256]
-                keep = [_similar(x, y, percent) for x, y in zip(unpack(list(part["left"])), unpack(list(part["right"])), strict=True)]
-                yield part.loc[keep, ["a", "b"]]
-
-    return common.written(pairs.join(left, "a").join(right, "b").mapInPandas(compare, pairs.select("a", "b").schema), "links")
-
-
-def _cells(members: DataFrame) -> DataFrame:
-    """members by cell: a pair of blocks of a large bucket, or a pack of small buckets. Every pair of a bucket meets in one cell."""
-    small = members.where(F.col("n_members") <= SMALL)
-    packs = F.lit(max(1, math.ceil(small.count() / PACK)))
-    small = small.withColumn("cell", F.pmod(F.xxhash64("bucket"), packs))
-    small = small.withColumn("own", F.lit(0)).withColumn("first", F.lit(0)).withColumn("second", F.lit(-1))
-    large = members.where(F.col("n_members") > SMALL).withColumn("cell", F.col("bucket"))
-    blocks = F.ceil(F.col("n_members") / F.lit(BLOCK)).cast("int")
-    large = large.withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = large.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other")).drop("other")
-    return small.unionByName(large)
-
-
-def _pairs(t: pd.DataFrame, floor: float, percent: int, rows: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows i of a bucket's cell, and rows js with which i makes pairs to be looked at.
-
-    Those are of different components and near sizes, pass the estimate, meet
-    in no earlier band, and are of the two blocks where the cell has two.
+                yield part.loc[compare(list(part["left"]), list(part["right"]), percent), ["a", "b"]]
+
+    pairs = salted.select("a", "b", "salt").join(left, ["a", "salt"]).join(right, "b")
+    return common.written(pairs.mapInPandas(similar, "a long, b long"), "links")
+
+
+# Buckets
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the stretches of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(values)))
+
+
+def _entries(batch: pa.RecordBatch, width: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and keys of the bands from first to last - 1 of a batch (key, signature)."""
+    signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+    buckets = many_band_keys(signatures[:, first * width : last * width], width, first)
+    return buckets.reshape(-1), np.repeat(batch.column(0).to_numpy().view(np.uint64), last - first)
+
+
+def _round(signatures: DataFrame, width: int, first: int, last: int, ranges: int) -> DataFrame:
+    """BUCKETS rows of the buckets with two or more members in some bands; large ones with n = 0 and without members."""
+    shift = np.uint64(64 - int(ranges).bit_length() + 1)
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sent() -> pa.RecordBatch:
+            bucket, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(bucket)
+            bucket, key = bucket[order], key[order]
+            starts, sizes = _runs(bucket)
+            hot = np.repeat(sizes > HOT, sizes)
+            large, pivot = bucket[starts[sizes > HOT]], np.array([key[i : i + n].min() for i, n in zip(starts[sizes > HOT], sizes[sizes > HOT], strict=True)], np.uint64)
+            bucket, key = bucket[~hot], key[~hot]
+            part = np.arange(ranges + 1, dtype=np.uint64) << shift if ranges > 1 else np.zeros(1, np.uint64)
+            at, large_at = (np.append(np.searchsorted(x, part[:ranges]), len(x)) for x in (bucket, large))
+            cut = [[x[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)] for x, ends in ((bucket, at), (key, at), (large, large_at), (pivot, large_at))]
+            full = [r for r in range(ranges) if cut[0][r] or cut[2][r]]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([c[r] for r in full], pa.binary()) for c in cut)], names=["range", "buckets", "keys", "large", "pivots"])
+
+        n = 0
+        for batch in batches:
+            held.append(_entries(batch, width, first, last))
+            n += len(held[-1][0])
+            if n >= SORTED:
+                yield sent()
+                held, n = [], 0
+        if n:
+            yield sent()
+
+    def merge(t: pa.Table) -> pa.Table:
+        bucket, key, large, pivot = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64) for c in ("buckets", "keys", "large", "pivots"))
+        order = np.argsort(bucket)
+        ordered = bucket[order]
+        same = ordered[1:] == ordered[:-1]
+        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
+        bucket, key = bucket[order], key[order]
+        order = np.lexsort((key, bucket))
+        bucket, key = bucket[order], key[order]
+        new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])]) if len(bucket) else np.zeros(0, bool)
+        new &= ~np.isin(bucket, large)  # those are listed by another scan
+        bucket, key = bucket[new], key[new]
+        starts, sizes = _runs(bucket)
+        many = sizes > LARGE
+        large, pivot = np.concatenate([large, bucket[starts[many]]]), np.concatenate([pivot, key[starts[many]]])
+        large, first_of = np.unique(large, return_index=True)
+        keep = (sizes > 1) & ~many
+        member = np.repeat(keep, sizes)
+        bucket, key = bucket[member], key[member]
+        starts, sizes = _runs(bucket)
+        mixed = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        sums = np.add.reduceat(mixed, starts) if len(starts) else np.zeros(0, np.uint64)
+        zeros = np.zeros(len(large), np.uint64)
+        columns = {
+            "bucket": np.concatenate([bucket[starts], large]),
+            "band": np.concatenate([bucket[starts], large]) & np.uint64(63),
+            "n": np.concatenate([sizes, zeros]),
+            "pivot": np.concatenate([key[starts], pivot[first_of]]),
+            "last": np.concatenate([key[starts + sizes - 1] if len(starts) else key[:0], zeros]),
+            "mixed": np.concatenate([sums, zeros]),
+        }
+        small = {"band": np.int32, "n": np.int32}
+        arrays = {c: pa.array(v.astype(small[c]) if c in small else v.astype(np.uint64).view(np.int64)) for c, v in columns.items()}
+        ends = np.concatenate([[0], np.cumsum(sizes), np.full(len(large), len(key))]).astype(np.int32)
+        return pa.table(arrays | {"members": pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))})
+
+    blocks = signatures.select("key", "signature").mapInArrow(sort, "range int, buckets binary, keys binary, large binary, pivots binary")
+    return common.written(blocks.groupBy("range").applyInArrow(merge, BUCKETS), "buckets")
+
+
+def _large_members(signatures: DataFrame, large: DataFrame, width: int, bands: int) -> DataFrame:
+    """(bucket, key) of the buckets `large` (bucket)."""
+    few = common.is_small(large)
+    wanted = np.sort(np.array([r["bucket"] for r in large.collect()], np.int64).view(np.uint64)) if few else None  # at most BROADCAST_ROWS
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, key = _entries(batch, width, 0, bands)
+            if wanted is not None:
+                hit = wanted[np.minimum(np.searchsorted(wanted, bucket), len(wanted) - 1)] == bucket
+                bucket, key = bucket[hit], key[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(key.view(np.int64))], names=["bucket", "key"])
+
+    found = signatures.select("key", "signature").mapInArrow(rows, "bucket long, key long")
+    found = found if few else found.join(large, "bucket", "left_semi")
+    return common.written(found.distinct(), "large")
+
+
+def buckets(signatures: DataFrame, values: int, width: int) -> tuple[DataFrame, DataFrame | None]:
+    """Buckets of two or more keys of signatures (key, signature); rows may repeat a key.
+
+    Of buckets with the same members the one of the earliest band is kept.
+    Returns (bucket, band, pivot, n, members) and, for large buckets, a row for
+    each member: (bucket, band, pivot, n, key), or None if there are none.
+    """
+    bands = values // width
+    ranges = 1 << max(3, math.ceil(math.log2(max(1, signatures.count() * min(ROUND, bands) / REDUCED))))
+    rounds = [_round(signatures, width, i, min(i + ROUND, bands), ranges) for i in range(0, bands, ROUND)]
+    found = rounds[0]
+    for r in rounds[1:]:
+        found = found.unionByName(r)
+    small = found.where("n > 0").groupBy("n", "mixed", "pivot", "last").agg(F.min(F.struct("band", "bucket")).alias("at"), F.any_value("members").alias("members"))
+    small = common.written(small.select("at.*", "pivot", "n", "members"), "buckets")
+    large = common.written(found.where("n = 0").select("bucket").distinct(), "large-buckets")
+    for r in rounds:
+        common.forget(r)
+    if large.isEmpty():
+        return small, None
+    members = _large_members(signatures, large, width, bands)
+    named = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("pivot"), F.max("key").alias("last"), F.bit_xor(F.xxhash64("key")).alias("mixed"))
+    named = named.withColumn("band", F.col("bucket").bitwiseAND(F.lit(63)).cast("int")).where("n > 1")
+    named = named.groupBy("n", "mixed", "pivot", "last").agg(F.min(F.struct("band", "bucket")).alias("at")).select("at.*", "pivot", "n")
+    return small, common.written(members.join(common.small(named), "bucket"), "large")
+
+
+# Pairs between components
+
+
+def _pairs(t: pd.DataFrame, floor: float | None, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i and j of a cell that make pairs to be looked at, some at a time.
+
+    Those are of one bucket and of different components, pass the estimate and
+    meet in no earlier band; in a cell of two blocks i is of the first.
     """
-    own, component, n = t["own"].to_numpy(), pd.factorize(t["component"])[0], t["n"].to_numpy(np.int64)
-    one_block = bool(t["second"].iloc[0] < 0 or t["first"].iloc[0] == t["second"].iloc[0])
+    t_side, bucket = t["side"].to_numpy(), t["bucket"].to_numpy()
+    component, key, band = pd.factorize(t["component"])[0], t["key"].to_numpy(), t["band"].to_numpy()
     signature = np.frombuffer(b"".join(t["signature"]), np.uint16).reshape(len(t), -1)
-    band = int(t["band"].iloc[0])
-    order = np.arange(len(t))
-    right = order if one_block else np.flatnonzero(own == t["second"].iloc[0])
-    for i in order if one_block else np.flatnonzero(own == t["first"].iloc[0]):
-        js = right[right > i] if one_block else right
-        js = js[(component[js] != component[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
-        if len(js):
-            same = signature[js] == signature[i]
-            js, same = js[same.mean(axis=1) >= floor], same[same.mean(axis=1) >= floor]
-            js = js[same.reshape(len(js), -1, rows).all(axis=2).argmax(axis=1) == band] if len(js) else js
-        if len(js):
-            yield i, js
-
-
-def _within_cells(members: DataFrame, sets: Callable[[DataFrame], DataFrame], unpack: Unpack, floor: float, percent: int, rows: int) -> DataFrame:
+    if t_side[0] < 0:  # a pack: each row with those after it in its bucket
+        _, sizes = _runs(bucket)
+        low = np.arange(1, len(t) + 1)
+        high = np.repeat(np.cumsum(sizes), sizes)
+        rows = np.arange(len(t))
+    else:  # sides come sorted
+        rows = np.flatnonzero(t_side == 0)
+        low, high = np.full(len(t), len(rows)), np.full(len(t), len(t))
+    counts = np.maximum(high[rows] - low[rows], 0)
+    ends, at = np.cumsum(counts), 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+        part, n = rows[at:to], counts[at:to]
+        i = np.repeat(part, n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + low[i]
+        at = to
+        ok = (component[i] != component[j]) & (key[i] != key[j])
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        same = signature[i] == signature[j]
+        if floor is not None:
+            ok = same.mean(axis=1) >= floor
+            i, j, same = i[ok], j[ok], same[ok]
+        if len(i):
+            ok = same.reshape(len(i), -1, width).all(axis=2).argmax(axis=1) == band[i]
+            yield i[ok], j[ok]
+
+
+def _cells(small: DataFrame, large: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(cell, first, second, side, bucket, band, key, component): members of buckets that hold several components.
+
+    Buckets are packed whole into cells. Of a large one those that aren't of
+    its commonest component, in blocks, meet all, in blocks.
+    """
+    of = found.withColumnRenamed("node", "key")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+    rows = placed(small.where("n > 2").select("bucket", "band", F.explode("members").alias("key")))
+    several = rows.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("bucket")
+    rows = common.written(rows.join(several, "bucket", "left_semi"), "mixed")
+    packs = max(1, math.ceil(rows.count() / PACK))
+    columns = ["cell", "first", "second", "side", "bucket", "band", "key", "component"]
+    out = rows.withColumn("cell", F.pmod(F.xxhash64("bucket"), F.lit(packs))).withColumn("first", F.lit(0)).withColumn("second", F.lit(0)).withColumn("side", F.lit(-1)).select(columns)
+    if large is None:
+        return out
+    rows = common.written(placed(large.select("bucket", "band", "key")), "large-placed")
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("common"))
+    sizes = sizes.where("common.n < n").select("bucket", F.col("common.component").alias("common"), F.ceil((F.col("n") - F.col("common.n")) / BLOCK).cast("int").alias("firsts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("seconds"))
+    rows = rows.join(common.small(sizes), "bucket")
+    mixed = F.xxhash64("key", F.lit(1))
+    one = rows.where("component != common").withColumn("first", F.pmod(mixed, "firsts").cast("int")).withColumn("second", F.explode(F.sequence(F.lit(0), F.col("seconds") - 1))).withColumn("side", F.lit(0))
+    other = rows.withColumn("second", F.pmod(mixed, "seconds").cast("int")).withColumn("first", F.explode(F.sequence(F.lit(0), F.col("firsts") - 1))).withColumn("side", F.lit(1))
+    return out.unionByName(one.unionByName(other).withColumn("cell", F.col("bucket")).select(columns))
+
+
+def _within_cells(cells: DataFrame, signatures: DataFrame, members: DataFrame, compare: Compare, floor: float | None, percent: int, width: int) -> DataFrame:
     """Confirmed links between different components, over all pairs of every bucket, as far as they join something.
 
     First the signatures alone tell which members have a pair to be looked at;
     then only those meet again, with their whole sets, each once for its cell
     and not once for each pair.
     """
-    cells, cell = _cells(members), ["cell", "first", "second"]
+    cell = ["cell", "first", "second"]
+    needed = cells.select("key").distinct()
+    own = signatures.join(common.small(needed, common.BROADCAST_KEYS), "key", "left_semi").groupBy("key").agg(F.any_value("signature").alias("signature"))
+    cells = cells.join(own, "key")
+
+    def ordered(t: pd.DataFrame) -> pd.DataFrame:
+        return t.sort_values(["side", "bucket", "key"], kind="stable", ignore_index=True)
 
     def likely(t: pd.DataFrame) -> pd.DataFrame:
-        keep = []
-        for _, b in t.groupby("bucket", sort=False):
-            at = set()
-            for i, js in _pairs(b, floor, percent, rows):
-                at.add(i)
-                at.update(js.tolist())
-            keep.append(b.iloc[sorted(at)])
-        return pd.concat(keep) if keep else t.iloc[:0]
+        t, at = ordered(t), np.zeros(len(t), bool)
+        for i, j in _pairs(t, floor, width):
+            at[i] = at[j] = True
+        return t[at]
 
     found = common.written(cells.groupBy(*cell).applyInPandas(likely, cells.schema), "likely")
-    needed = common.written(found.select("key").distinct(), "needed")
-    found = found.join(sets(needed), "key")
-    kind = members.schema["key"].dataType.simpleString()
+    found = found.join(members, "key")
 
     def confirm(t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, b in t.groupby("bucket", sort=False):
-            whole = unpack(list(b["members"]))
-            keys, top = b["key"].to_numpy(), {c: c for c in b["component"]}
-
-            def root(c):
-                while top[c] != c:
-                    c = top[c]
-                return c
-
-            component = b["component"].to_numpy()
-            for i, js in _pairs(b, floor, percent, rows):
-                for j in js:
-                    x, y = root(component[i]), root(component[j])
-                    if x != y and _similar(whole[i], whole[j], percent):
-                        top[max(x, y)] = min(x, y)
-                        out.append((keys[i], keys[j]))
+        t, out = ordered(t), []
+        whole, keys, component = t["members"].to_numpy(), t["key"].to_numpy(), t["component"].to_numpy()
+        top = {c: c for c in component.tolist()}
+
+        def root(c):
+            while top[c] != c:
+                c = top[c]
+            return c
+
+        for i, j in _pairs(t, floor, width):
+            for at in range(0, len(i), 64):  # few at a time, since each link makes others needless
+                open_ = [(x, y) for x, y in zip(i[at : at + 64].tolist(), j[at : at + 64].tolist(), strict=True) if root(component[x]) != root(component[y])]
+                if not open_:
+                    continue
+                ok = compare([whole[x] for x, _ in open_], [whole[y] for _, y in open_], percent)
+                for (x, y), same in zip(open_, ok, strict=True):
+                    a, b = root(component[x]), root(component[y])
+                    if same and a != b:
+                        top[max(a, b)] = min(a, b)
+                        out.append((keys[x], keys[y]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return common.written(found.groupBy(*cell).applyInPandas(confirm, f"a {kind}, b {kind}"), "links")
+    return common.written(found.groupBy(*cell).applyInPandas(confirm, "a long, b long"), "links")
 
 
-def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    if len(x) > len(y):
-        x, y = y, x
-    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def _estimate_floor(values: int, percent: int, slack: float | None) -> float | None:
+    p = percent / 100
+    return None if slack is None else p - slack * math.sqrt(p * (1 - p) / values)
 
 
-def components(rows: DataFrame, signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, values: int, width: int, unpack: Unpack = packed_sets) -> tuple[DataFrame, DataFrame]:
+def components(signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, values: int, width: int, compare: Compare = packed_sets, slack: float | None = SLACK) -> tuple[DataFrame, DataFrame]:
     """Links of at least `percent` Jaccard similarity, and components.
 
-    rows: bucket (long), band (int, from 0), key (orderable), n (size of the
-    set, or one number for all if sizes aren't known); keys are distinct in a bucket.
-    signatures: key and signature (binary, `values` 16-bit numbers, `width` to
-    a band), a row for each key.
-    sets: (key) rows to (key, members: binary). unpack: members to sorted
-    distinct numbers; by default they are 64-bit ones as they stand.
+    signatures: key (long) and signature (binary, `values` 16-bit numbers,
+    `width` to a band); rows may repeat a key.
+    sets: (key) rows to a written table (key, members: binary, ...), a row for
+    each. compare: which pairs of members are similar; by default they are
+    sorted 64-bit numbers. slack: standard errors that an estimate may lie
+    under the threshold; None leaves estimates out, so that every pair of a
+    bucket that could join something is confirmed on whole sets.
     Returns the links found (a, b; enough of them for the components) and
     (node, component) for keys that have a link.
     """
-    item = F.struct("key", "n")
-    buckets = rows.groupBy("bucket").agg(F.min("band").alias("band"), F.count("*").alias("n_members"), F.bit_xor(F.xxhash64("key")).alias("mixed"), F.min(item).alias("pivot"), F.max(item).alias("last"))
-    buckets = buckets.where("n_members > 1")
-    buckets = buckets.groupBy("n_members", "mixed", "pivot", "last").agg(F.min(F.struct("band", "bucket")).alias("at"))  # the same items meet in many bands
-    buckets = common.written(buckets.select("at.*", "n_members", "pivot", "last"), "buckets")
-    common.release(rows.sparkSession)
-    pairs = buckets.where("n_members = 2").select("bucket", "band", "n_members", "pivot", F.inline(F.array("pivot", "last")))
-    more = buckets.where("n_members > 2").select("bucket", "n_members", "pivot")
-    more = rows.join(common.small(more), "bucket").select("bucket", "band", "n_members", "pivot", "key", "n")
-    members = common.written(pairs.unionByName(more), "members")
-
-    near = (F.col("key") != F.col("pivot.key")) & _near_size(F.col("n"), F.col("pivot.n"), percent)
-    stars = common.written(members.where(near).select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    links = _confirmed(stars, sets, unpack, percent)
+    small, large = buckets(signatures, values, width)
+    stars = small.select("n", F.col("pivot").alias("a"), F.explode("members").alias("b"))
+    if large is not None:
+        stars = stars.unionByName(large.select("n", F.col("pivot").alias("a"), F.col("key").alias("b")))
+    stars = common.written(stars.where("a != b").groupBy("a", "b").agg(F.max("n").alias("n")), "stars")
+    needed = stars.select(F.col("a").alias("key")).unionByName(stars.select(F.col("b").alias("key"))).distinct()
+    members = sets(common.written(needed, "needed")).select("key", "members")
+    links = _confirmed(stars, members, compare, percent)
     found = common.written(connected(links), "components")
-    common.release(rows.sparkSession)
-
-    of = found.withColumnRenamed("node", "key")
-    placed = members.where("n_members > 2").drop("pivot").join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = placed.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-    rest = common.written(placed.join(mixed, "bucket", "left_semi").join(signatures.select("key", "signature"), "key"), "rest")
-    if rest.isEmpty():
+    cells = common.written(_cells(small, large, found), "cells")
+    if cells.isEmpty():
+        return links, found
+    more = _within_cells(cells, signatures, members, compare, _estimate_floor(values, percent, slack), percent, width)
+    if more.isEmpty():
         return links, found
-    links = common.written(links.unionByName(_within_cells(rest, sets, unpack, _estimate_floor(values, percent), percent, width)), "links")
+    links = common.written(links.unionByName(more), "links")
     return links, common.written(connected(links), "components")

@@ -29,10 +29,10 @@ from tokenizers import Tokenizer
 
 from corpusmill.llm import common
 
-#: Longest code in bits, ids of a block, ids encoded at a time, and ids after which an image is closed.
+#: Longest code in bits (more if there are more ids than such codes), ids of a block, ids encoded at a time, and ids after which an image is closed.
 LIMIT, BLOCK, CHUNK, IMAGE = 16, 512, 1 << 18, 1 << 19
-#: Words whose ids a Python worker keeps; it starts anew when full.
-WORDS = 500_000
+#: Words whose ids a Python worker keeps, which starts anew when full, and the longest word of them.
+WORDS, KEY = 500_000, 64
 MAGIC, HEAD = b"CMTB\x01\0\0\0", struct.Struct("<8sQQQQQ")
 #: Special tokens, and white space on which the tokenizer and str.split may differ: such texts are encoded whole.
 _ODD = "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, 0x3000, 0xFEFF)))
@@ -44,15 +44,14 @@ PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Lengths (0 for ids that don't occur) of an optimal prefix code of at most `limit` bits, by package-merge."""
+    """Lengths (0 for ids that don't occur) of an optimal prefix code of at most `limit` bits, or as many as the number of ids takes, by package-merge."""
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
     if len(used) == 1:
         lengths[used] = 1
     if len(used) < 2:
         return lengths
-    if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} ids can't have codes of {limit} bits")
+    limit = max(limit, int(len(used) - 1).bit_length())
     used = used[np.argsort(counts[used], kind="stable")]
     weights = [int(x) for x in counts[used]]
     # Each level keeps, for every package in order of weight, how many single ids come before it.
@@ -76,7 +75,7 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes in order of length, then id."""
     codes, code, before = np.zeros(len(lengths), np.uint64), 0, 0
-    for n in range(1, LIMIT + 1):
+    for n in range(1, int(lengths.max(initial=0)) + 1):
         code <<= n - before
         before = n
         ids = np.flatnonzero(lengths == n)
@@ -87,12 +86,13 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(maxsize=2)
 def decoding_table(lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Id and length for each LIMIT bits to come."""
+    """Id and length for as many bits to come as the longest code has."""
     n = np.frombuffer(lengths, np.uint8)
+    most = int(n.max(initial=1))
     ids = np.flatnonzero(n)
     ids = ids[np.lexsort((ids, n[ids]))]
-    repeats = 1 << (LIMIT - n[ids].astype(np.int64))
-    symbols, width = np.zeros(1 << LIMIT, np.uint32), np.ones(1 << LIMIT, np.int64)
+    repeats = 1 << (most - n[ids].astype(np.int64))
+    symbols, width = np.zeros(1 << most, np.uint32), np.ones(1 << most, np.int64)
     symbols[: repeats.sum()], width[: repeats.sum()] = np.repeat(ids, repeats), np.repeat(n[ids], repeats)
     return symbols, width
 
@@ -133,16 +133,16 @@ def from_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise ValueError("not a token file")
     at = HEAD.size
     symbols, width = decoding_table(zlib.decompress(image[at : at + n_table]))
-    at += n_table
+    at, most = at + n_table, len(symbols).bit_length() - 1
     doc_ids = np.frombuffer(image, "<i8", n_docs, at)
     sizes = np.frombuffer(image, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
     bits = np.frombuffer(image, "<u8", n_blocks, at + 16 * n_docs).astype(np.int64)
     words = np.frombuffer(image, ">u4", n_bytes // 4, at + 16 * n_docs + 8 * n_blocks).astype(np.uint64)
-    words = np.concatenate([words, np.zeros(BLOCK * LIMIT // 32 + 2, np.uint64)])  # the last block runs on over padding
+    words = np.concatenate([words, np.zeros(BLOCK * most // 32 + 2, np.uint64)])  # the last block runs on over padding
     pairs = (words[:-1] << np.uint64(32)) | words[1:]
     out = np.empty((BLOCK, n_blocks), np.uint32)
     for i in range(BLOCK):
-        peek = (pairs[bits >> 5] >> (64 - LIMIT - (bits & 31)).astype(np.uint64)) & np.uint64((1 << LIMIT) - 1)
+        peek = (pairs[bits >> 5] >> (64 - most - (bits & 31)).astype(np.uint64)) & np.uint64((1 << most) - 1)
         out[i] = symbols[peek]
         bits = bits + width[peek]
     return doc_ids, sizes, out.T.reshape(-1)[:n_ids]
@@ -178,16 +178,17 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
         letters = word.rstrip(PUNCTUATION)
-        if not letters.isalpha():
+        if not (letters.isalpha() and letters.lower().isalpha()):  # a small İ is i and a dot above, which is no letter
             out = self.raw(word)
         elif letters == word:
             out = self.letters(word)
         else:  # the tokenizer parts letters from signs
             out = self[letters] + self[word[len(letters) :]]
-        self[word] = out
+        if len(word) <= KEY:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = out
         return out
 
     def text(self, text: str) -> bytes:
