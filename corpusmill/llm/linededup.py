@@ -1,7 +1,7 @@
 """Fuzzy line dedup: character-shingle MinHash, banding, exact Jaccard, union-find over lines.
 
 Lines that are equal after trimming, lower-casing and collapsing blanks are one
-class, by two 64-bit hashes, key and check. Each class has SHINGLE-character
+class, by a 128-bit hash, whose halves are key and check. Each class has SHINGLE-character
 shingles (a shorter line is one shingle); links of at least 0.8 Jaccard
 similarity between classes are proposed by BANDS bands of ROWS MinHash values
 (a pair at 0.8 is missed with probability (1 - 0.8**4)**30, or 1.4e-7) and
@@ -11,33 +11,53 @@ by doc_id, then position.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import common, similar
 
 SHINGLE, BANDS, ROWS, SEED = 7, 30, 4, 31
-#: Letters of the lines that are compared at a time.
-LETTERS = 1 << 22
-
-
-def normal(line: Column) -> Column:
-    return F.lower(F.btrim(F.regexp_replace(line, r"[ \t\r\x0B\f]{2,}|[\t\r\x0B\f]", " ")))
-
-
-def _parts(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, at, line, key, check): the lines of (doc_id, text) that aren't blank, normalised. version: a hash of the text."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(_parts(F.col("text"))).alias("at", "line"))
-    rows = rows.withColumn("line", normal(F.col("line"))).where("line != ''")
-    return rows.withColumn("key", F.xxhash64("line")).withColumn("check", F.xxhash64(F.lit(1), "line"))
+#: Letters of the lines that are looked at together.
+LETTERS = 1 << 20
+ODD, ODD_SUB = re.compile(r"[\t\r\x0B\f]").search, re.compile(r"[\t\r\x0B\f]").sub
+
+
+def normal(text: str) -> list[str]:
+    """The lines of a text, lower-cased and trimmed, their inner blanks and tabs collapsed; by position, so with the blank ones."""
+    text = text.lower()
+    if ODD(text):
+        text = ODD_SUB(" ", text)
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return [x.strip(" ") for x in text.split("\n")]
+
+
+def hashes(lines: list[bytes]) -> np.ndarray:
+    """Two 64-bit hashes of each line, key and check, as columns."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), ">i8").astype(np.int64).reshape(-1, 2)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[int], list[str]]]:
+    """Of batches (..., text) the lines that aren't blank, some LETTERS at a time: the batch, their rows in it, positions and normal forms."""
+    for batch in batches:
+        rows, at, lines, letters = [], [], [], 0
+        for r, text in enumerate(batch.column(batch.num_columns - 1)):
+            text = text.as_py()
+            for i, line in enumerate(normal(text) if text else ()):
+                if line:
+                    rows.append(r), at.append(i), lines.append(line)
+                    letters += len(line)
+                    if letters >= LETTERS:
+                        yield batch, rows, at, lines
+                        rows, at, lines, letters = [], [], [], 0
+        if lines:
+            yield batch, rows, at, lines
 
 
 def _mixed(letters: np.ndarray | _Windows) -> np.ndarray:
@@ -79,70 +99,72 @@ class _Windows:
         return (self.letters[j : j + self.shape[1]] for j in range(SHINGLE))
 
 
-def similar_lines(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
-    """Which pairs of lines have shingle sets of at least `percent` Jaccard similarity; all in one go, long ones in several."""
-    if len(left) > 1 and sum(map(len, left)) + sum(map(len, right)) > LETTERS:
-        half = len(left) // 2
-        return np.concatenate([similar_lines(left[:half], right[:half], percent), similar_lines(left[half:], right[half:], percent)])
-    m = len(left)
-    if not m:
-        return np.zeros(0, bool)
-    values, sizes = shingles([x.decode() for x in (*left, *right)])
-    pair = np.repeat(np.arange(2 * m) % m, sizes)
-    values = (values + pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)  # a pair's own
-    values ^= values >> np.uint64(31)
-    cut = int(sizes[:m].sum())
-    a, at = np.unique(values[:cut], return_index=True)
-    b, bt = np.unique(values[cut:], return_index=True)
-    n_a, n_b = np.bincount(pair[:cut][at], minlength=m), np.bincount(pair[cut:][bt], minlength=m)
-    both = np.bincount(pair[:cut][at][np.isin(a, b, assume_unique=True)], minlength=m)
-    return 100 * both >= percent * (n_a + n_b - both)
-
-
-def _signed(lines: DataFrame) -> DataFrame:
-    """lines by their places (key, check, doc_id, version, at), with a signature at the first of each key in a batch, so that one scan gives both."""
+def line_sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return shingles([x.decode() for x in lines])
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """(key, check, doc_id, version, at, signature): the lines of docs; a signature at the first of each key in a block, so that one scan gives both. version: a hash of the text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = similar.signature_tables(BANDS * ROWS, SEED)
-        for batch in batches:
-            _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-            found = np.full(batch.num_rows, None, object)
-            if len(first):
-                texts = batch.column(5).take(pa.array(first)).to_pylist()
-                values = similar.short_form(similar.many_minima(*shingles(texts), a, b))
-                found[first] = [v.tobytes() for v in values]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.binary())], names=["key", "check", "doc_id", "version", "at", "signature"])
+        for batch, row, at, lines in _blocks(batches):
+            digest, found = hashes([x.encode("utf-8", "surrogatepass") for x in lines]), np.full(len(lines), None, object)
+            _, first = np.unique(digest[:, 0], return_index=True)
+            values = similar.short_form(similar.many_minima(*shingles([lines[i] for i in first]), a, b))
+            found[first] = [v.tobytes() for v in values]
+            of = pa.array(row)
+            columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), batch.column(0).take(of), batch.column(1).take(of), pa.array(at, pa.int32()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "check", "doc_id", "version", "at", "signature"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(rows, f"key long, check long, doc_id {kind}, version long, at int, signature binary")
+
 
-    kind = lines.schema["doc_id"].dataType.simpleString()
-    return lines.select("key", "check", "doc_id", "version", "at", "line").mapInArrow(rows, f"key long, check long, doc_id {kind}, version long, at int, signature binary")
+def _lines(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(key, check, members): the normal forms of the lines whose keys are needed. Of two lines with one key, should there be any, one is taken."""
+    few = common.is_small(needed, common.BROADCAST_KEYS)
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(needed.toPandas()["key"].to_numpy(np.int64))) if few else None  # BROADCAST_KEYS at most
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, lines in _blocks(batches):
+            texts = [x.encode("utf-8", "surrogatepass") for x in lines]
+            digest = hashes(texts)
+            key, first = np.unique(digest[:, 0], return_index=True)
+            if wanted is not None:
+                at = np.searchsorted(wanted.value, key)
+                hit = np.append(wanted.value, 0)[at] == key
+                hit &= at < len(wanted.value)
+                key, first = key[hit], first[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(digest[first, 1]), pa.array([texts[i] for i in first], pa.binary())], names=["key", "check", "members"])
+
+    found = docs.select("text").mapInArrow(rows, "key long, check long, members binary")
+    found = found if few else found.join(needed, "key", "left_semi")
+    found = found.groupBy("key").agg(F.min(F.struct("check", "members")).alias("line"))
+    return common.written(found.select("key", "line.check", "line.members"), "lines")
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80, slack: float | None = similar.SLACK) -> DataFrame:
     """(doc_id, version, gone): positions of the lines that go, a set, per distinct text with its id that has any. slack: of similar.components()."""
-    lines = lines_of(docs)
-    places = common.written(_signed(lines), "places")
+    places = common.written(_places(docs), "places")
     chosen: list[DataFrame] = []
 
-    def sets(needed: DataFrame) -> DataFrame:
-        """The text travels, which is an eighth of the size of its hashed set. Of two lines with one key, should there be any, one is linked."""
-        rows = lines.select("key", "check", "line").join(common.small(needed, common.BROADCAST_KEYS), "key", "left_semi")
-        rows = rows.groupBy("key").agg(F.min(F.struct("check", "line")).alias("line"))
-        chosen.append(common.written(rows.select("key", "line.check", F.encode("line.line", "UTF-8").alias("members")), "lines"))
+    def sets(needed: DataFrame) -> DataFrame:  # as text, which is an eighth of the size of its hashed set
+        chosen.append(_lines(docs, needed))
         return chosen[0]
 
-    _, found = similar.components(places.where("signature is not null"), sets, percent, BANDS * ROWS, ROWS, similar_lines, slack)
+    _, found = similar.components(places.where("signature is not null"), sets, percent, BANDS * ROWS, ROWS, line_sets, slack)
     found = common.written(found.select(F.col("node").alias("key"), "component").join(chosen[0].select("key", "check"), "key"), "found")
     common.forget(chosen[0])
 
     # Lines that occur once and have no link stay, and aren't looked at again.
-    place = F.struct("doc_id", "version", "at")
-    classes = places.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(place).alias("first"))  # combined on the map side, so hot lines cost a row a task
-    classes = classes.join(found, ["key", "check"], "left").where("n > 1 or component is not null")
-    classes = common.written(classes.select("key", "check", "n", "first", F.coalesce("component", "key").alias("component"), F.when(F.col("component").isNull(), F.col("check")).alias("alone")), "classes")
-    best = classes.groupBy("component", "alone").agg(F.min("first").alias("stays")).withColumnsRenamed({"component": "_component", "alone": "_alone"})
-    same = (classes["component"] == best["_component"]) & classes["alone"].eqNullSafe(best["_alone"])
-    classes = common.written(classes.join(best, same).select("key", "check", "stays"), "stays")
-    gone = places.select("key", "check", place.alias("place")).join(common.small(classes), ["key", "check"]).where("place != stays").select("place.*")
+    counts = places.groupBy("key", "check").agg(F.count("*").alias("n")).join(found, ["key", "check"], "left").where("n > 1 or component is not null")
+    group = F.struct(F.coalesce("component", "key").alias("component"), F.when(F.col("component").isNull(), F.col("check")).alias("alone"))
+    touched = common.written(counts.select("key", "check", group.alias("group")), "touched")
+    rows = places.select("key", "check", F.struct("doc_id", "version", "at").alias("place")).join(common.small(touched), ["key", "check"])
+    rows = common.written(rows.select("group", "place"), "touched-places")
+    best = rows.groupBy("group").agg(F.min("place").alias("stays"))  # combined on the map side, so hot lines cost a row a task
+    gone = rows.join(common.small(best), "group").where("place != stays").select("place.*")
     out = common.written(gone.groupBy("doc_id", "version").agg(F.collect_set("at").alias("gone")), "gone-lines")
     common.forget(places)
     return out
@@ -153,6 +175,10 @@ def _without(text: Column, gone: Column) -> Column:
     return F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(gone, i)), "\n")
 
 
+def _parts(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
 def _rewritten(docs: DataFrame, percent: int) -> DataFrame:
     """_row of docs, and text, n_lines and n_kept as they are without its duplicate lines."""
     found = duplicate_lines(docs.select("doc_id", "text"), percent)

@@ -39,11 +39,13 @@ SORTED, REDUCED, ROUND = 1 << 21, 1 << 21, 10
 HOT, LARGE = 64, 4096
 #: Members of a block of a large bucket; of a pack of other buckets, on average; pairs compared at a time.
 BLOCK, PACK, AT_ONCE = 512, 4096, 1 << 16
+#: Pairs that a cell confirms at a time; elements of sets, and bytes of them as stored, that are compared at a time.
+SOME, ELEMENTS, BYTES = 4096, 1 << 20, 1 << 21
 #: Standard errors that an estimate may lie under the threshold.
 SLACK = 6.0
 
-#: Left and right sets as stored, and percent: which pairs are similar.
-Compare = Callable[[list[bytes], list[bytes], int], np.ndarray]
+#: Sets as stored to their numbers, one set after the other, and sizes; numbers may repeat and be in any order.
+Unpack = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 BUCKETS = "bucket long, band int, n int, pivot long, last long, mixed long, members array<long>"
 
 
@@ -108,22 +110,44 @@ def short_form(signature: np.ndarray) -> np.ndarray:
 # Comparing whole sets
 
 
-def packed_sets(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
-    """Compares sets that were stored as their sorted distinct 64-bit numbers."""
-    pairs = zip(left, right, strict=True)
-    return np.array([_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in pairs], bool)
-
-
-def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    if len(x) > len(y):
-        x, y = y, x
-    if 100 * len(x) < percent * len(y):
-        return False
-    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def packed_sets(members: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and sizes of sets that were stored as their 64-bit numbers."""
+    return np.frombuffer(b"".join(members), "<u8"), np.array([len(x) // 8 for x in members], np.int64)
+
+
+class Sets:
+    """Some sets side by side, as small numbers: those of a set follow each other, sorted and distinct."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        kinds, number = np.unique(values, return_inverse=True)
+        self.kinds = max(1, len(kinds))
+        codes = np.repeat(np.arange(len(sizes)) * self.kinds, sizes) + number
+        codes = np.unique(codes)
+        self.sizes = np.bincount(codes // self.kinds, minlength=len(sizes))
+        self.starts, self.numbers = np.cumsum(self.sizes) - self.sizes, codes % self.kinds
+
+    def _coded(self, rows: np.ndarray) -> np.ndarray:
+        """The sets of the rows, one after the other, each number with its place among them; so they are sorted."""
+        n = self.sizes[rows]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return self.numbers[np.repeat(self.starts[rows], n) + inside] + np.repeat(np.arange(len(rows)) * self.kinds, n)
+
+    def similar(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of rows reach the similarity."""
+        out, total = np.zeros(len(i), bool), self.sizes[i] + self.sizes[j]
+        near = np.flatnonzero(100 * np.minimum(self.sizes[i], self.sizes[j]) >= percent * np.maximum(self.sizes[i], self.sizes[j]))
+        ends, at = np.cumsum(total[near]), 0
+        while at < len(near):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ELEMENTS, side="right")))
+            part = near[at:to]
+            codes = np.sort(np.concatenate([self._coded(i[part]), self._coded(j[part])]), kind="stable")  # merges two sorted runs
+            both = np.bincount(codes[1:][codes[1:] == codes[:-1]] // self.kinds, minlength=len(part))
+            out[part] = 100 * both >= percent * (total[part] - both)
+            at = to
+        return out
 
 
-def _confirmed(stars: DataFrame, members: DataFrame, compare: Compare, percent: int) -> DataFrame:
+def _confirmed(stars: DataFrame, members: DataFrame, unpack: Unpack, percent: int) -> DataFrame:
     """The pairs (a, b) of stars (a, b, n: at most so many have this a) whose whole sets reach the similarity. members: (key, members).
 
     Pairs of one pivot are dealt over tasks, each of which gets the pivot's set.
@@ -134,9 +158,16 @@ def _confirmed(stars: DataFrame, members: DataFrame, compare: Compare, percent:
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            for i in range(0, len(t), 256):
-                part = t.iloc[i : i + 256]
-                yield part.loc[compare(list(part["left"]), list(part["right"]), percent), ["a", "b"]]
+            stored = [*t["left"], *t["right"]]
+            keys = np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()])
+            ends, at = np.cumsum([len(x) + len(y) for x, y in zip(t["left"], t["right"], strict=True)]), 0
+            while at < len(t):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, side="right")))
+                rows = np.concatenate([np.arange(at, to), np.arange(at, to) + len(t)])
+                _, first, inverse = np.unique(keys[rows], return_index=True, return_inverse=True)
+                ok = Sets(*unpack([stored[r] for r in rows[first]])).similar(inverse[: to - at], inverse[to - at :], percent)
+                yield t.iloc[at:to].loc[ok, ["a", "b"]]
+                at = to
 
     pairs = salted.select("a", "b", "salt").join(left, ["a", "salt"]).join(right, "b")
     return common.written(pairs.mapInPandas(similar, "a long, b long"), "links")
@@ -345,7 +376,7 @@ def _cells(small: DataFrame, large: DataFrame | None, found: DataFrame) -> DataF
     return out.unionByName(one.unionByName(other).withColumn("cell", F.col("bucket")).select(columns))
 
 
-def _within_cells(cells: DataFrame, signatures: DataFrame, members: DataFrame, compare: Compare, floor: float | None, percent: int, width: int) -> DataFrame:
+def _within_cells(cells: DataFrame, signatures: DataFrame, members: DataFrame, unpack: Unpack, floor: float | None, percent: int, width: int) -> DataFrame:
     """Confirmed links between different components, over all pairs of every bucket, as far as they join something.
 
     First the signatures alone tell which members have a pair to be looked at;
@@ -371,25 +402,29 @@ def _within_cells(cells: DataFrame, signatures: DataFrame, members: DataFrame, c
 
     def confirm(t: pd.DataFrame) -> pd.DataFrame:
         t, out = ordered(t), []
-        whole, keys, component = t["members"].to_numpy(), t["key"].to_numpy(), t["component"].to_numpy()
-        top = {c: c for c in component.tolist()}
+        if not len(t):
+            return pd.DataFrame(out, columns=["a", "b"])
+        keys, component = t["key"].to_numpy(), pd.factorize(t["component"])[0]
+        whole, top = Sets(*unpack(list(t["members"]))), np.arange(len(t))
 
-        def root(c):
-            while top[c] != c:
-                c = top[c]
-            return c
+        def roots(x: np.ndarray) -> np.ndarray:
+            while (top[x] != x).any():
+                x = top[x]
+            return x
 
         for i, j in _pairs(t, floor, width):
-            for at in range(0, len(i), 64):  # few at a time, since each link makes others needless
-                open_ = [(x, y) for x, y in zip(i[at : at + 64].tolist(), j[at : at + 64].tolist(), strict=True) if root(component[x]) != root(component[y])]
-                if not open_:
-                    continue
-                ok = compare([whole[x] for x, _ in open_], [whole[y] for _, y in open_], percent)
-                for (x, y), same in zip(open_, ok, strict=True):
-                    a, b = root(component[x]), root(component[y])
-                    if same and a != b:
+            at = 0
+            while at < len(i):
+                to = at + SOME
+                x, y = i[at:to], j[at:to]
+                apart = roots(component[x]) != roots(component[y])  # what is joined by now needs no further link
+                x, y, at = x[apart], y[apart], to
+                same = whole.similar(x, y, percent)
+                for r, q in zip(x[same].tolist(), y[same].tolist(), strict=True):
+                    a, b = (int(roots(component[[z]])[0]) for z in (r, q))
+                    if a != b:
                         top[max(a, b)] = min(a, b)
-                        out.append((keys[x], keys[y]))
+                        out.append((keys[r], keys[q]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return common.written(found.groupBy(*cell).applyInPandas(confirm, "a long, b long"), "links")
@@ -400,14 +435,14 @@ def _estimate_floor(values: int, percent: int, slack: float | None) -> float | N
     return None if slack is None else p - slack * math.sqrt(p * (1 - p) / values)
 
 
-def components(signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, values: int, width: int, compare: Compare = packed_sets, slack: float | None = SLACK) -> tuple[DataFrame, DataFrame]:
+def components(signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, values: int, width: int, unpack: Unpack = packed_sets, slack: float | None = SLACK) -> tuple[DataFrame, DataFrame]:
     """Links of at least `percent` Jaccard similarity, and components.
 
     signatures: key (long) and signature (binary, `values` 16-bit numbers,
     `width` to a band); rows may repeat a key.
     sets: (key) rows to a written table (key, members: binary, ...), a row for
-    each. compare: which pairs of members are similar; by default they are
-    sorted 64-bit numbers. slack: standard errors that an estimate may lie
+    each. unpack: members to the numbers of the sets; by default they are
+    64-bit ones as they stand. slack: standard errors that an estimate may lie
     under the threshold; None leaves estimates out, so that every pair of a
     bucket that could join something is confirmed on whole sets.
     Returns the links found (a, b; enough of them for the components) and
@@ -420,12 +455,12 @@ def components(signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], pe
     stars = common.written(stars.where("a != b").groupBy("a", "b").agg(F.max("n").alias("n")), "stars")
     needed = stars.select(F.col("a").alias("key")).unionByName(stars.select(F.col("b").alias("key"))).distinct()
     members = sets(common.written(needed, "needed")).select("key", "members")
-    links = _confirmed(stars, members, compare, percent)
+    links = _confirmed(stars, members, unpack, percent)
     found = common.written(connected(links), "components")
     cells = common.written(_cells(small, large, found), "cells")
     if cells.isEmpty():
         return links, found
-    more = _within_cells(cells, signatures, members, compare, _estimate_floor(values, percent, slack), percent, width)
+    more = _within_cells(cells, signatures, members, unpack, _estimate_floor(values, percent, slack), percent, width)
     if more.isEmpty():
         return links, found
     links = common.written(links.unionByName(more), "links")
