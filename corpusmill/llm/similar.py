@@ -71,18 +71,21 @@ def extremes(values: np.ndarray, a: np.ndarray, b: np.ndarray, *, largest: bool,
     return np.concatenate([low, high]) if largest else low
 
 
-def many_minima(values: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 4096) -> np.ndarray:
+def many_minima(values: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
     """extremes() of many sets that aren't empty, one after the other in values: a row for each, of the least hashes."""
     x, ends = folded(values), np.cumsum(sizes)
-    starts, out, i = ends - sizes, np.empty((len(a), len(sizes)), np.uint32), 0
+    starts, out, hashed, i = ends - sizes, np.empty((len(a), len(sizes)), np.uint32), np.empty(chunk, np.uint32), 0
     while i < len(sizes):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + chunk, side="right")))
-        if j == i + 1:  # perhaps a very long one
+        if ends[j - 1] - starts[i] > chunk:  # one that is very long
             out[:, i] = extremes(values[starts[i] : ends[i]], a, b, largest=False)
         else:
-            h = a[:, None] * x[None, starts[i] : ends[j - 1]]
-            h += b[:, None]
-            np.minimum.reduceat(h, starts[i:j] - starts[i], axis=1, out=out[:, i:j])
+            part, at = x[starts[i] : ends[j - 1]], starts[i:j] - starts[i]
+            h = hashed[: len(part)]
+            for k in range(len(a)):  # a permutation of some sets at a time, which stay in the cache
+                np.multiply(part, a[k], out=h)
+                np.add(h, b[k], out=h)
+                np.minimum.reduceat(h, at, out=out[k, i:j])
         i = j
     return np.ascontiguousarray(out.T)
 
@@ -121,8 +124,8 @@ class Sets:
     def __init__(self, values: np.ndarray, sizes: np.ndarray):
         kinds, number = np.unique(values, return_inverse=True)
         self.kinds = max(1, len(kinds))
-        codes = np.repeat(np.arange(len(sizes)) * self.kinds, sizes) + number
-        codes = np.unique(codes)
+        codes = np.sort(np.repeat(np.arange(len(sizes)) * self.kinds, sizes) + number)
+        codes = codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes
         self.sizes = np.bincount(codes // self.kinds, minlength=len(sizes))
         self.starts, self.numbers = np.cumsum(self.sizes) - self.sizes, codes % self.kinds
 
