@@ -65,15 +65,17 @@ def _mixed(letters: np.ndarray | _Windows) -> np.ndarray:
     k = letters.shape[0]
     h = np.full(letters.shape[1], k, np.uint64)
     for row in letters:
-        h = h * np.uint64(0x9E3779B97F4A7C15) + row
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += row
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lines' shingles, in order and with repeats, one line after the other, and how many each has. No line is empty."""
-    joined = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    joined = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     n = np.array([len(x) for x in lines], np.int64)
     starts, inside = np.cumsum(n) - n, np.ones(len(joined), bool)
     values, most = np.zeros(len(joined), np.uint64), len(joined) - SHINGLE + 1

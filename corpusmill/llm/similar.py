@@ -34,7 +34,7 @@ from corpusmill.llm import common
 from corpusmill.operators.components import components as connected
 
 #: Entries that a task sorts at a time; entries of a reducer's range on average; bands of a round.
-SORTED, REDUCED, ROUND = 1 << 21, 1 << 21, 10
+SORTED, REDUCED, ROUND = 1 << 21, 1 << 21, 15
 #: Members of a bucket in one task's sort, and in a reducer, beyond which the bucket is large.
 HOT, LARGE = 64, 4096
 #: Members of a block of a large bucket; of a pack of other buckets, on average; pairs compared at a time.
@@ -119,21 +119,28 @@ def packed_sets(members: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sets:
-    """Some sets side by side, as small numbers: those of a set follow each other, sorted and distinct."""
+    """Some sets side by side: the numbers of a set follow each other, sorted and distinct.
+
+    Of a 64-bit number the bits that are left beside the set's own place are
+    used, 44 at least, so that a sort of plain numbers does all the work.
+    """
 
     def __init__(self, values: np.ndarray, sizes: np.ndarray):
-        kinds, number = np.unique(values, return_inverse=True)
-        self.kinds = max(1, len(kinds))
-        codes = np.sort(np.repeat(np.arange(len(sizes)) * self.kinds, sizes) + number)
+        bits = max(12, int(len(sizes)).bit_length())
+        self.most, self.low = 1 << bits, np.uint64(64 - bits)
+        codes = np.repeat(np.arange(len(sizes), dtype=np.uint64) << self.low, sizes)
+        codes |= values >> np.uint64(bits)
+        codes.sort()
         codes = codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes
-        self.sizes = np.bincount(codes // self.kinds, minlength=len(sizes))
-        self.starts, self.numbers = np.cumsum(self.sizes) - self.sizes, codes % self.kinds
+        self.sizes = np.bincount((codes >> self.low).astype(np.int64), minlength=len(sizes))
+        self.starts, self.numbers = np.cumsum(self.sizes) - self.sizes, codes & np.uint64((1 << int(self.low)) - 1)
 
     def _coded(self, rows: np.ndarray) -> np.ndarray:
-        """The sets of the rows, one after the other, each number with its place among them; so they are sorted."""
+        """The sets of the rows, one after the other, each number with its set's place among them."""
         n = self.sizes[rows]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return self.numbers[np.repeat(self.starts[rows], n) + inside] + np.repeat(np.arange(len(rows)) * self.kinds, n)
+        at = np.repeat(self.starts[rows] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return self.numbers[at] | np.repeat(np.arange(len(rows), dtype=np.uint64) << self.low, n)
 
     def similar(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
         """Which pairs of rows reach the similarity."""
@@ -142,11 +149,12 @@ class Sets:
         ends, at = np.cumsum(total[near]), 0
         while at < len(near):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ELEMENTS, side="right")))
-            part = near[at:to]
-            codes = np.sort(np.concatenate([self._coded(i[part]), self._coded(j[part])]), kind="stable")  # merges two sorted runs
-            both = np.bincount(codes[1:][codes[1:] == codes[:-1]] // self.kinds, minlength=len(part))
+            part = near[at : min(to, at + self.most)]
+            codes = np.concatenate([self._coded(i[part]), self._coded(j[part])])
+            codes.sort()
+            both = np.bincount((codes[1:][codes[1:] == codes[:-1]] >> self.low).astype(np.int64), minlength=len(part))
             out[part] = 100 * both >= percent * (total[part] - both)
-            at = to
+            at += len(part)
         return out
 
 
