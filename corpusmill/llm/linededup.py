@@ -11,7 +11,6 @@ by doc_id, then position.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +21,19 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import common, similar
 
-SHINGLE, BANDS, ROWS, SEED = 7, 30, 4, 31
-#: Letters of the lines that are looked at together.
-LETTERS = 1 << 20
-ODD, ODD_SUB = re.compile(r"[\t\r\x0B\f]").search, re.compile(r"[\t\r\x0B\f]").sub
+SHINGLE, BANDS, ROWS, SEED = 7, 30, 4, 31  # shingles() makes sevens
+#: Letters of the lines that are read together, and of those that are hashed together, which stay in the cache.
+LETTERS, HASHED = 1 << 20, 1 << 16
+#: What counts as a blank beside it.
+ODD = "\t\r\x0b\f"
 
 
 def normal(text: str) -> list[str]:
     """The lines of a text, lower-cased and trimmed, their inner blanks and tabs collapsed; by position, so with the blank ones."""
     text = text.lower()
-    if ODD(text):
-        text = ODD_SUB(" ", text)
+    for c in ODD:
+        if c in text:
+            text = text.replace(c, " ")
     while "  " in text:
         text = text.replace("  ", " ")
     return [x.strip(" ") for x in text.split("\n")]
@@ -60,45 +61,65 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch, rows, at, lines
 
 
-def _mixed(letters: np.ndarray | _Windows) -> np.ndarray:
-    """A hash of each column of letters."""
-    k = letters.shape[0]
-    h = np.full(letters.shape[1], k, np.uint64)
-    for row in letters:
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += row
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)
+
+
+def _finished(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h *= np.uint64(FACTORS[2])
     h ^= h >> np.uint64(29)
     return h
 
 
+def _sevens(x: np.ndarray) -> np.ndarray:
+    """A hash of the seven letters from each place on: of two, then of four, then of four, two and one."""
+    two = x[:-1] * np.uint64(FACTORS[0])
+    two += x[1:]
+    h = two[:-2] * np.uint64(FACTORS[1])
+    h += two[2:]
+    h = h[: len(x) - 6] * np.uint64(FACTORS[2])
+    h += two[4 : len(x) - 2]
+    h *= np.uint64(FACTORS[0])
+    h += x[6:]
+    return _finished(h)
+
+
+def _short(letters: np.ndarray) -> np.ndarray:
+    """A hash of each column of letters, of which there are fewer than seven."""
+    h = np.full(letters.shape[1], len(letters), np.uint64)
+    for row in letters:
+        h *= np.uint64(FACTORS[0])
+        h += row
+    return _finished(h)
+
+
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lines' shingles, in order and with repeats, one line after the other, and how many each has. No line is empty."""
-    joined = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    joined = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = np.array([len(x) for x in lines], np.int64)
     starts, inside = np.cumsum(n) - n, np.ones(len(joined), bool)
     values, most = np.zeros(len(joined), np.uint64), len(joined) - SHINGLE + 1
     if most > 0:
-        values[:most] = _mixed(_Windows(joined, most))
+        values[:most] = _sevens(joined)
     for j in range(1, SHINGLE):  # what begins in a line's last few letters runs into the next line
         inside[(starts + n - j)[n >= j]] = False
     for k in range(1, SHINGLE):
         at = starts[n == k]
         if len(at):
-            values[at] = _mixed(joined[at[None, :] + np.arange(k)[:, None]])
+            values[at] = _short(joined[at[None, :] + np.arange(k)[:, None]])
             inside[at] = True
     return values[inside], np.maximum(n - SHINGLE + 1, 1)
 
 
-class _Windows:
-    """Rows of letters, each a place on, as views of a whole text."""
-
-    def __init__(self, letters: np.ndarray, width: int):
-        self.letters, self.shape = letters, (SHINGLE, width)
-
-    def __iter__(self) -> Iterator[np.ndarray]:
-        return (self.letters[j : j + self.shape[1]] for j in range(SHINGLE))
+def signatures(lines: list[str]) -> np.ndarray:
+    """A row of 16-bit values for each line."""
+    a, _ = similar.signature_tables(BANDS * ROWS, SEED)
+    ends, at, out = np.cumsum([len(x) for x in lines]), 0, []
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HASHED, side="right")))
+        out.append(similar.short_form(similar.many_minima(*shingles(lines[at:to]), a)))
+        at = to
+    return np.concatenate(out) if out else np.zeros((0, BANDS * ROWS), np.uint16)
 
 
 def line_sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,12 +130,10 @@ def _places(docs: DataFrame) -> DataFrame:
     """(key, check, doc_id, version, at, signature): the lines of docs; a signature at the first of each key in a block, so that one scan gives both. version: a hash of the text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = similar.signature_tables(BANDS * ROWS, SEED)
         for batch, row, at, lines in _blocks(batches):
             digest, found = hashes([x.encode("utf-8", "surrogatepass") for x in lines]), np.full(len(lines), None, object)
             _, first = np.unique(digest[:, 0], return_index=True)
-            values = similar.short_form(similar.many_minima(*shingles([lines[i] for i in first]), a, b))
-            found[first] = [v.tobytes() for v in values]
+            found[first] = [v.tobytes() for v in signatures([lines[i] for i in first])]
             of = pa.array(row)
             columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), batch.column(0).take(of), batch.column(1).take(of), pa.array(at, pa.int32()), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "check", "doc_id", "version", "at", "signature"])
@@ -189,7 +208,7 @@ def _rewritten(docs: DataFrame, percent: int) -> DataFrame:
     rows = common.apart(docs, "doc_id", "text", F.xxhash64("text").alias("_own"))
     rows = rows.join(F.broadcast(found) if few else found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_version")), "left")
     gone = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
-    lines = F.size(F.filter(_parts(F.col("text")), lambda x: x.rlike(r"[^ \t\r\x0B\f]")))
+    lines = F.size(F.filter(_parts(F.col("text")), lambda x: F.ltrim(x, F.lit(" " + ODD)) != ""))
     text = F.when(gone > 0, _without(F.col("text"), F.col("gone"))).otherwise(F.col("text"))
     return rows.select("_row", text.alias("text"), lines.cast("long").alias("n_lines"), (lines - gone).cast("long").alias("n_kept"))
 

@@ -71,20 +71,23 @@ def extremes(values: np.ndarray, a: np.ndarray, b: np.ndarray, *, largest: bool,
     return np.concatenate([low, high]) if largest else low
 
 
-def many_minima(values: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
-    """extremes() of many sets that aren't empty, one after the other in values: a row for each, of the least hashes."""
+def many_minima(values: np.ndarray, sizes: np.ndarray, a: np.ndarray, chunk: int = 1 << 17) -> np.ndarray:
+    """Least hashes of many sets that aren't empty, one after the other in values: a row for each.
+
+    The permutations are x -> a * x: of values that are hashes themselves, an
+    offset would change nothing but the place of the least.
+    """
     x, ends = folded(values), np.cumsum(sizes)
     starts, out, hashed, i = ends - sizes, np.empty((len(a), len(sizes)), np.uint32), np.empty(chunk, np.uint32), 0
     while i < len(sizes):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + chunk, side="right")))
         if ends[j - 1] - starts[i] > chunk:  # one that is very long
-            out[:, i] = extremes(values[starts[i] : ends[i]], a, b, largest=False)
+            out[:, i] = extremes(values[starts[i] : ends[i]], a, np.zeros_like(a), largest=False)
         else:
             part, at = x[starts[i] : ends[j - 1]], starts[i:j] - starts[i]
             h = hashed[: len(part)]
             for k in range(len(a)):  # a permutation of some sets at a time, which stay in the cache
                 np.multiply(part, a[k], out=h)
-                np.add(h, b[k], out=h)
                 np.minimum.reduceat(h, at, out=out[k, i:j])
         i = j
     return np.ascontiguousarray(out.T)
@@ -290,12 +293,13 @@ def _large_members(signatures: DataFrame, large: DataFrame, width: int, bands: i
     return common.written(found.distinct(), "large")
 
 
-def buckets(signatures: DataFrame, values: int, width: int) -> tuple[DataFrame, DataFrame | None]:
+def buckets(signatures: DataFrame, values: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Buckets of two or more keys of signatures (key, signature); rows may repeat a key.
 
     Of buckets with the same members the one of the earliest band is kept.
-    Returns (bucket, band, pivot, n, members) and, for large buckets, a row for
-    each member: (bucket, band, pivot, n, key), or None if there are none.
+    Returns those of two as (pivot, last), others as (bucket, band, pivot, n,
+    members), and of large ones a row for each member: (bucket, band, pivot, n,
+    key), or None if there are none.
     """
     bands = values // width
     ranges = 1 << max(3, math.ceil(math.log2(max(1, signatures.count() * min(ROUND, bands) / REDUCED))))
@@ -303,18 +307,19 @@ def buckets(signatures: DataFrame, values: int, width: int) -> tuple[DataFrame,
     found = rounds[0]
     for r in rounds[1:]:
         found = found.unionByName(r)
-    small = found.where("n > 0").groupBy("n", "mixed", "pivot", "last").agg(F.min(F.struct("band", "bucket")).alias("at"), F.any_value("members").alias("members"))
+    pairs = common.written(found.where("n = 2").select("pivot", "last").distinct(), "pairs")
+    small = found.where("n > 2").groupBy("n", "mixed", "pivot", "last").agg(F.min(F.struct("band", "bucket")).alias("at"), F.any_value("members").alias("members"))
     small = common.written(small.select("at.*", "pivot", "n", "members"), "buckets")
     large = common.written(found.where("n = 0").select("bucket").distinct(), "large-buckets")
     for r in rounds:
         common.forget(r)
     if large.isEmpty():
-        return small, None
+        return pairs, small, None
     members = _large_members(signatures, large, width, bands)
     named = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("pivot"), F.max("key").alias("last"), F.bit_xor(F.xxhash64("key")).alias("mixed"))
     named = named.withColumn("band", F.col("bucket").bitwiseAND(F.lit(63)).cast("int")).where("n > 1")
     named = named.groupBy("n", "mixed", "pivot", "last").agg(F.min(F.struct("band", "bucket")).alias("at")).select("at.*", "pivot", "n")
-    return small, common.written(members.join(common.small(named), "bucket"), "large")
+    return pairs, small, common.written(members.join(common.small(named), "bucket"), "large")
 
 
 # Pairs between components
@@ -369,7 +374,7 @@ def _cells(small: DataFrame, large: DataFrame | None, found: DataFrame) -> DataF
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
 
-    rows = placed(small.where("n > 2").select("bucket", "band", F.explode("members").alias("key")))
+    rows = placed(small.select("bucket", "band", F.explode("members").alias("key")))
     several = rows.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("bucket")
     rows = common.written(rows.join(several, "bucket", "left_semi"), "mixed")
     packs = max(1, math.ceil(rows.count() / PACK))
@@ -459,8 +464,9 @@ def components(signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], pe
     Returns the links found (a, b; enough of them for the components) and
     (node, component) for keys that have a link.
     """
-    small, large = buckets(signatures, values, width)
+    pairs, small, large = buckets(signatures, values, width)
     stars = small.select("n", F.col("pivot").alias("a"), F.explode("members").alias("b"))
+    stars = stars.unionByName(pairs.select(F.lit(2).alias("n"), F.col("pivot").alias("a"), F.col("last").alias("b")))
     if large is not None:
         stars = stars.unionByName(large.select("n", F.col("pivot").alias("a"), F.col("key").alias("b")))
     stars = common.written(stars.where("a != b").groupBy("a", "b").agg(F.max("n").alias("n")), "stars")
