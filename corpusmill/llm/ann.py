@@ -25,8 +25,8 @@ from corpusmill.llm import common
 
 #: Vectors that the fit reads at most, sample neighbours in the graph, and the share of them that probes must find.
 SAMPLE, NEIGHBOURS, RECALL = 8_000, 10, 0.97
-#: Vectors for each part on average, parts at most, and candidates and queries of a reranking task.
-PART, PARTS, CANDIDATES, QUERIES = 1_500, 256, 20_000, 4_000
+#: Vectors for each part on average, parts at most and, of a few hundred vectors, at least; candidates and queries of a reranking task.
+PART, PARTS, FEWEST, CANDIDATES, QUERIES = 1_500, 256, 8, 20_000, 4_000
 
 
 def usable(vector: Column) -> Column:
@@ -137,8 +137,8 @@ def train_router(x: np.ndarray, part: np.ndarray, parts: int, rng: np.random.Gen
 
 
 def fit(sample: np.ndarray, n: int, k: int, recall: float = RECALL, seed: int = 11) -> Router | None:
-    """A router for an index of n vectors, or None if one part is enough."""
-    parts = min(PARTS, max(1, round(n / PART)), len(sample) // 20)
+    """A router for an index of n vectors, or None if there are too few of them for parts (under 40 in the sample)."""
+    parts = min(PARTS, max(FEWEST, round(n / PART)), len(sample) // 20)
     if parts < 2:
         return None
     rng = np.random.default_rng(seed)

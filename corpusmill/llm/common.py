@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,31 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+class Keys:
+    """A table of one long each: as a sorted array that workers hold if it is proven small, else for a shuffled join."""
+
+    def __init__(self, keys: DataFrame, rows: int = BROADCAST_KEYS):
+        self.column, self.table = keys.columns[0], keys
+        self.few = is_small(keys, rows)
+        self.held = keys.sparkSession.sparkContext.broadcast(np.sort(keys.toPandas()[self.column].to_numpy(np.int64))) if self.few else None
+
+    def test(self):
+        """For workers: which of an array's longs are among the keys; all, if the join has yet to tell."""
+        held = self.held
+
+        def among(values: np.ndarray) -> np.ndarray:
+            if held is None:
+                return np.ones(len(values), bool)
+            at = np.searchsorted(held.value, values)
+            return (at < len(held.value)) & (np.append(held.value, 0)[at] == values)
+
+        return among
+
+    def only(self, rows: DataFrame) -> DataFrame:
+        """rows that passed the test, or the join."""
+        return rows if self.few else rows.join(self.table, self.column, "left_semi")
+
+
 def apart(docs: DataFrame, *names: str | Column) -> DataFrame:
     """The named columns, and _row: whole rows of docs, so that no column of an operator's own can clash with another of docs."""
     return docs.select(F.struct("*").alias("_row"), *names)

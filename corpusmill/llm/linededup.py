@@ -127,40 +127,36 @@ def line_sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """(key, check, doc_id, version, at, signature): the lines of docs; a signature at the first of each key in a block, so that one scan gives both. version: a hash of the text."""
+    """(key, check, doc_id, version, at): the lines of docs; version: a hash of the text. The first of each block that is read also has keys and values, the block's distinct lines and their signatures, so that one scan gives both."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, row, at, lines in _blocks(batches):
-            digest, found = hashes([x.encode("utf-8", "surrogatepass") for x in lines]), np.full(len(lines), None, object)
-            _, first = np.unique(digest[:, 0], return_index=True)
-            found[first] = [v.tobytes() for v in signatures([lines[i] for i in first])]
-            of = pa.array(row)
-            columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), batch.column(0).take(of), batch.column(1).take(of), pa.array(at, pa.int32()), pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "check", "doc_id", "version", "at", "signature"])
+            digest, of = hashes([x.encode("utf-8", "surrogatepass") for x in lines]), pa.array(row)
+            key, first = np.unique(digest[:, 0], return_index=True)
+            none = [None] * (len(lines) - 1)
+            columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), batch.column(0).take(of), batch.column(1).take(of), pa.array(at, pa.int32())]
+            columns += [pa.array([x, *none], pa.binary()) for x in (key.astype("<i8").tobytes(), signatures([lines[i] for i in first]).tobytes())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "check", "doc_id", "version", "at", "keys", "values"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(rows, f"key long, check long, doc_id {kind}, version long, at int, signature binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(rows, f"key long, check long, doc_id {kind}, version long, at int, keys binary, values binary")
 
 
 def _lines(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """(key, check, members): the normal forms of the lines whose keys are needed. Of two lines with one key, should there be any, one is taken."""
-    few = common.is_small(needed, common.BROADCAST_KEYS)
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(needed.toPandas()["key"].to_numpy(np.int64))) if few else None  # BROADCAST_KEYS at most
+    wanted = common.Keys(needed)
+    test = wanted.test()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, lines in _blocks(batches):
             texts = [x.encode("utf-8", "surrogatepass") for x in lines]
             digest = hashes(texts)
             key, first = np.unique(digest[:, 0], return_index=True)
-            if wanted is not None:
-                at = np.searchsorted(wanted.value, key)
-                hit = np.append(wanted.value, 0)[at] == key
-                hit &= at < len(wanted.value)
-                key, first = key[hit], first[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(digest[first, 1]), pa.array([texts[i] for i in first], pa.binary())], names=["key", "check", "members"])
-
-    found = docs.select("text").mapInArrow(rows, "key long, check long, members binary")
-    found = found if few else found.join(needed, "key", "left_semi")
+            hit = test(key)
+            first = first[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(digest[first, 1]), pa.array([texts[i] for i in first], pa.binary())], names=["key", "check", "members"])
+
+    found = wanted.only(docs.select("text").mapInArrow(rows, "key long, check long, members binary"))
     found = found.groupBy("key").agg(F.min(F.struct("check", "members")).alias("line"))
     return common.written(found.select("key", "line.check", "line.members"), "lines")
 
@@ -174,7 +170,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, slack: float | None = si
         chosen.append(_lines(docs, needed))
         return chosen[0]
 
-    _, found = similar.components(places.where("signature is not null"), sets, percent, BANDS * ROWS, ROWS, line_sets, slack)
+    _, found = similar.components(places.where("keys is not null").select("keys", "values"), sets, percent, BANDS * ROWS, ROWS, line_sets, slack)
     found = common.written(found.select(F.col("node").alias("key"), "component").join(chosen[0].select("key", "check"), "key"), "found")
     common.forget(chosen[0])
 
@@ -205,10 +201,11 @@ def _rewritten(docs: DataFrame, percent: int) -> DataFrame:
     found = duplicate_lines(docs.select("doc_id", "text"), percent)
     few = common.is_small(found.select(F.explode("gone")), common.BROADCAST_KEYS)  # its size is that of the lists
     found = found.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "gone")
-    rows = common.apart(docs, "doc_id", "text", F.xxhash64("text").alias("_own"))
+    lines = F.size(F.filter(_parts(F.col("text")), lambda x: F.ltrim(x, F.lit(" " + ODD)) != ""))
+    rows = common.apart(docs, "doc_id", "text", F.xxhash64("text").alias("_own"), lines.alias("_lines"))
     rows = rows.join(F.broadcast(found) if few else found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_version")), "left")
     gone = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
-    lines = F.size(F.filter(_parts(F.col("text")), lambda x: F.ltrim(x, F.lit(" " + ODD)) != ""))
+    lines = F.col("_lines")
     text = F.when(gone > 0, _without(F.col("text"), F.col("gone"))).otherwise(F.col("text"))
     return rows.select("_row", text.alias("text"), lines.cast("long").alias("n_lines"), (lines - gone).cast("long").alias("n_kept"))
 

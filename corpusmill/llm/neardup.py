@@ -117,7 +117,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, slack: float | Non
         found = rows.select(word_hashes(F.col("text")).alias("w")).mapInArrow(collect, SETS)
         return common.written(found.join(wanted.select("key", "digest"), "digest").dropDuplicates(["key"]), "sets")
 
-    _, found = similar.components(items, sets, percent, 2 * PERMUTATIONS, ROWS, slack=slack)
+    _, found = similar.components(similar.packed(items), sets, percent, 2 * PERMUTATIONS, ROWS, slack=slack)
     digests = items.select("key", "digest")
     found = found.join(digests, found["node"] == digests["key"]).select(F.col("digest").alias("key"), "component")
     placed = classes.join(found, "key", "left").withColumn("component", F.coalesce(F.col("component").cast("string").cast("binary"), "key"))

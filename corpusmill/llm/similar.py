@@ -196,14 +196,36 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(values)))
 
 
-def _entries(batch: pa.RecordBatch, width: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and keys of the bands from first to last - 1 of a batch (key, signature)."""
-    signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+def packed(signatures: DataFrame) -> DataFrame:
+    """Blocks (keys, values) of signatures (key, signature): rows of many, which cost less to hand on."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield block(batch.column(0).to_numpy(), batch.column(1).to_pylist())
+
+    return signatures.select("key", "signature").mapInArrow(rows, "keys binary, values binary")
+
+
+def block(keys: np.ndarray, signatures: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([keys.astype("<i8").tobytes()], pa.binary()), pa.array([b"".join(signatures)], pa.binary())], names=["keys", "values"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and signatures of blocks."""
+    for batch in batches:
+        for keys, values in zip(batch.column(0), batch.column(1), strict=True):
+            keys = np.frombuffer(keys.as_buffer(), "<i8")
+            yield keys, np.frombuffer(values.as_buffer(), np.uint16).reshape(len(keys), -1)
+
+
+def _entries(keys: np.ndarray, signatures: np.ndarray, width: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and keys of the bands from first to last - 1."""
     buckets = many_band_keys(signatures[:, first * width : last * width], width, first)
-    return buckets.reshape(-1), np.repeat(batch.column(0).to_numpy().view(np.uint64), last - first)
+    return buckets.reshape(-1), np.repeat(keys.view(np.uint64), last - first)
 
 
-def _round(signatures: DataFrame, width: int, first: int, last: int, ranges: int) -> DataFrame:
+def _round(blocks: DataFrame, width: int, first: int, last: int, ranges: int) -> DataFrame:
     """BUCKETS rows of the buckets with two or more members in some bands; large ones with n = 0 and without members."""
     shift = np.uint64(64 - int(ranges).bit_length() + 1)
 
@@ -225,8 +247,8 @@ def _round(signatures: DataFrame, width: int, first: int, last: int, ranges: int
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([c[r] for r in full], pa.binary()) for c in cut)], names=["range", "buckets", "keys", "large", "pivots"])
 
         n = 0
-        for batch in batches:
-            held.append(_entries(batch, width, first, last))
+        for keys, values in _blocks(batches):
+            held.append(_entries(keys, values, width, first, last))
             n += len(held[-1][0])
             if n >= SORTED:
                 yield sent()
@@ -271,30 +293,40 @@ def _round(signatures: DataFrame, width: int, first: int, last: int, ranges: int
         ends = np.concatenate([[0], np.cumsum(sizes), np.full(len(large), len(key))]).astype(np.int32)
         return pa.table(arrays | {"members": pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))})
 
-    blocks = signatures.select("key", "signature").mapInArrow(sort, "range int, buckets binary, keys binary, large binary, pivots binary")
-    return common.written(blocks.groupBy("range").applyInArrow(merge, BUCKETS), "buckets")
+    parts = blocks.mapInArrow(sort, "range int, buckets binary, keys binary, large binary, pivots binary")
+    return common.written(parts.groupBy("range").applyInArrow(merge, BUCKETS), "buckets")
 
 
-def _large_members(signatures: DataFrame, large: DataFrame, width: int, bands: int) -> DataFrame:
+def _large_members(blocks: DataFrame, large: DataFrame, width: int, bands: int) -> DataFrame:
     """(bucket, key) of the buckets `large` (bucket)."""
-    few = common.is_small(large)
-    wanted = np.sort(np.array([r["bucket"] for r in large.collect()], np.int64).view(np.uint64)) if few else None  # at most BROADCAST_ROWS
+    wanted = common.Keys(large)
+    test = wanted.test()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bucket, key = _entries(batch, width, 0, bands)
-            if wanted is not None:
-                hit = wanted[np.minimum(np.searchsorted(wanted, bucket), len(wanted) - 1)] == bucket
-                bucket, key = bucket[hit], key[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(key.view(np.int64))], names=["bucket", "key"])
+        for keys, values in _blocks(batches):
+            bucket, key = (x.view(np.int64) for x in _entries(keys, values, width, 0, bands))
+            hit = test(bucket)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[hit]), pa.array(key[hit])], names=["bucket", "key"])
+
+    return common.written(wanted.only(blocks.mapInArrow(rows, "bucket long, key long")).distinct(), "large")
+
+
+def _signatures_of(blocks: DataFrame, needed: DataFrame) -> DataFrame:
+    """(key, signature) of the keys needed, a row for each."""
+    wanted = common.Keys(needed)
+    test = wanted.test()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, values in _blocks(batches):
+            at = np.flatnonzero(test(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array([values[i].tobytes() for i in at], pa.binary())], names=["key", "signature"])
 
-    found = signatures.select("key", "signature").mapInArrow(rows, "bucket long, key long")
-    found = found if few else found.join(large, "bucket", "left_semi")
-    return common.written(found.distinct(), "large")
+    found = wanted.only(blocks.mapInArrow(rows, "key long, signature binary"))
+    return found.groupBy("key").agg(F.any_value("signature").alias("signature"))
 
 
-def buckets(signatures: DataFrame, values: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Buckets of two or more keys of signatures (key, signature); rows may repeat a key.
+def buckets(blocks: DataFrame, values: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Buckets of two or more keys of blocks (keys, values), which may repeat a key.
 
     Of buckets with the same members the one of the earliest band is kept.
     Returns those of two as (pivot, last), others as (bucket, band, pivot, n,
@@ -302,8 +334,9 @@ def buckets(signatures: DataFrame, values: int, width: int) -> tuple[DataFrame,
     key), or None if there are none.
     """
     bands = values // width
-    ranges = 1 << max(3, math.ceil(math.log2(max(1, signatures.count() * min(ROUND, bands) / REDUCED))))
-    rounds = [_round(signatures, width, i, min(i + ROUND, bands), ranges) for i in range(0, bands, ROUND)]
+    n = blocks.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0
+    ranges = 1 << max(3, math.ceil(math.log2(max(1, n * min(ROUND, bands) / REDUCED))))
+    rounds = [_round(blocks, width, i, min(i + ROUND, bands), ranges) for i in range(0, bands, ROUND)]
     found = rounds[0]
     for r in rounds[1:]:
         found = found.unionByName(r)
@@ -315,7 +348,7 @@ def buckets(signatures: DataFrame, values: int, width: int) -> tuple[DataFrame,
         common.forget(r)
     if large.isEmpty():
         return pairs, small, None
-    members = _large_members(signatures, large, width, bands)
+    members = _large_members(blocks, large, width, bands)
     named = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("pivot"), F.max("key").alias("last"), F.bit_xor(F.xxhash64("key")).alias("mixed"))
     named = named.withColumn("band", F.col("bucket").bitwiseAND(F.lit(63)).cast("int")).where("n > 1")
     named = named.groupBy("n", "mixed", "pivot", "last").agg(F.min(F.struct("band", "bucket")).alias("at")).select("at.*", "pivot", "n")
@@ -356,7 +389,7 @@ def _pairs(t: pd.DataFrame, floor: float | None, width: int) -> Iterator[tuple[n
             continue
         same = signature[i] == signature[j]
         if floor is not None:
-            ok = same.mean(axis=1) >= floor
+            ok = np.bitwise_count(np.packbits(same, axis=1)).sum(axis=1, dtype=np.int32) >= floor * same.shape[1]
             i, j, same = i[ok], j[ok], same[ok]
         if len(i):
             ok = same.reshape(len(i), -1, width).all(axis=2).argmax(axis=1) == band[i]
@@ -392,7 +425,7 @@ def _cells(small: DataFrame, large: DataFrame | None, found: DataFrame) -> DataF
     return out.unionByName(one.unionByName(other).withColumn("cell", F.col("bucket")).select(columns))
 
 
-def _within_cells(cells: DataFrame, signatures: DataFrame, members: DataFrame, unpack: Unpack, floor: float | None, percent: int, width: int) -> DataFrame:
+def _within_cells(cells: DataFrame, blocks: DataFrame, members: DataFrame, unpack: Unpack, floor: float | None, percent: int, width: int) -> DataFrame:
     """Confirmed links between different components, over all pairs of every bucket, as far as they join something.
 
     First the signatures alone tell which members have a pair to be looked at;
@@ -400,9 +433,8 @@ def _within_cells(cells: DataFrame, signatures: DataFrame, members: DataFrame, u
     and not once for each pair.
     """
     cell = ["cell", "first", "second"]
-    needed = cells.select("key").distinct()
-    own = signatures.join(common.small(needed, common.BROADCAST_KEYS), "key", "left_semi").groupBy("key").agg(F.any_value("signature").alias("signature"))
-    cells = cells.join(own, "key")
+    needed = common.written(cells.select("key").distinct(), "needed")
+    cells = cells.join(_signatures_of(blocks, needed), "key")
 
     def ordered(t: pd.DataFrame) -> pd.DataFrame:
         return t.sort_values(["side", "bucket", "key"], kind="stable", ignore_index=True)
@@ -451,11 +483,11 @@ def _estimate_floor(values: int, percent: int, slack: float | None) -> float | N
     return None if slack is None else p - slack * math.sqrt(p * (1 - p) / values)
 
 
-def components(signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, values: int, width: int, unpack: Unpack = packed_sets, slack: float | None = SLACK) -> tuple[DataFrame, DataFrame]:
+def components(blocks: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, values: int, width: int, unpack: Unpack = packed_sets, slack: float | None = SLACK) -> tuple[DataFrame, DataFrame]:
     """Links of at least `percent` Jaccard similarity, and components.
 
-    signatures: key (long) and signature (binary, `values` 16-bit numbers,
-    `width` to a band); rows may repeat a key.
+    blocks: keys (longs) and values (`values` 16-bit numbers for each of them,
+    `width` to a band), see packed(); a key may be repeated.
     sets: (key) rows to a written table (key, members: binary, ...), a row for
     each. unpack: members to the numbers of the sets; by default they are
     64-bit ones as they stand. slack: standard errors that an estimate may lie
@@ -464,7 +496,7 @@ def components(signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], pe
     Returns the links found (a, b; enough of them for the components) and
     (node, component) for keys that have a link.
     """
-    pairs, small, large = buckets(signatures, values, width)
+    pairs, small, large = buckets(blocks, values, width)
     stars = small.select("n", F.col("pivot").alias("a"), F.explode("members").alias("b"))
     stars = stars.unionByName(pairs.select(F.lit(2).alias("n"), F.col("pivot").alias("a"), F.col("last").alias("b")))
     if large is not None:
@@ -477,7 +509,7 @@ def components(signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], pe
     cells = common.written(_cells(small, large, found), "cells")
     if cells.isEmpty():
         return links, found
-    more = _within_cells(cells, signatures, members, unpack, _estimate_floor(values, percent, slack), percent, width)
+    more = _within_cells(cells, blocks, members, unpack, _estimate_floor(values, percent, slack), percent, width)
     if more.isEmpty():
         return links, found
     links = common.written(links.unionByName(more), "links")

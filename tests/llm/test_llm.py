@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusmill.llm import ann, bpe, decontam, linededup, neardup, pii, quality, quotes, similar, tokenbin, toxicity
+from corpusmill.llm import ann, bpe, common, decontam, linededup, neardup, pii, quality, quotes, similar, tokenbin, toxicity
 
 DOCS = "doc_id long, text string, n long, key string, words string, score double"
 
@@ -77,6 +77,25 @@ def test_token_files(spark):
     assert tokenbin.round_trip(docs(spark, []), path, 2).count() == 0
 
 
+def test_words_of_letters_and_signs_equal_the_tokenizer():
+    path, rng = P.path("word_bpe_49k.json"), random.Random(4)
+    t, w = Tokenizer.from_file(path), tokenbin.word_ids(path, "<u2")
+    parts = ["İ", "GELD", "ß", "Σ", "ΑΣ", "é", "e\u0301", "\u0307", "ǅ", "ﬁ", "Å", "i", "I", "x", "9", "²", ".", "'", "'s", "!?", "-", "…", "中", "🙂", "ا", "\u0338", "=", " ", "\n", "\xa0", "_", "q" * 70]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 7)))
+        assert np.frombuffer(w.text(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, ascii(text)
+    assert max(map(len, w)) <= tokenbin.KEY
+
+
+def test_codes_of_more_ids_than_the_limit():
+    n = 5 + (1 << tokenbin.LIMIT)
+    lengths = tokenbin.code_lengths(np.ones(n, np.int64))
+    assert lengths.max() == tokenbin.LIMIT + 1
+    ids = np.random.default_rng(2).integers(0, n, 3000).astype("<u4")
+    image = tokenbin.to_image(np.array([1]), np.array([len(ids)]), ids, lengths, tokenbin.canonical(lengths))
+    assert (tokenbin.from_image(image)[2] == ids).all()
+
+
 def test_base_spans_equal_the_patterns():
     rng = random.Random(2)
     parts = ["a", "@", "b.c", ".", "1", "23", "4111111111111111", " ", "-", "+", "+1 (555) 123-4567", "255", "256", "0001.2.3.4", "é", "x@y.z"]
@@ -103,7 +122,10 @@ def test_pii_report(spark):
     assert pii.report(docs(spark, [])).count() == 0
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(common, "is_small", lambda *_: False)
     rng = random.Random(5)
     items = [words(rng, 40), words(rng, 13), "tiny item here", "", None, "a a a a a a a a a a a a a a a"]
     texts = [words(rng, 30) + " " + " ".join(items[0].split()[5:25]) + ". " + words(rng, 10), items[1].upper(), "some tiny, ITEM here ok", None, "", "a " * 40, words(rng, 900) + " " + items[1], items[1].upper()]
@@ -129,7 +151,12 @@ def test_decontamination(spark):
     assert decontam.report(docs(spark, [(1, "x")]), bench.limit(0)).first()["contaminated"] is False
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("tight", [False, True])
+def test_near_duplicates(spark, monkeypatch, tight):
+    if tight:
+        for name, n in (("HOT", 2), ("LARGE", 2), ("BLOCK", 8), ("PACK", 16), ("SORTED", 500), ("REDUCED", 500), ("SOME", 5), ("AT_ONCE", 20)):
+            monkeypatch.setattr(similar, name, n)
+        monkeypatch.setattr(common, "is_small", lambda *_: False)
     rng, rows = random.Random(7), []
     base = [words(rng, 60).split() for _ in range(6)]
     for i in range(60):
@@ -180,6 +207,88 @@ def test_fuzzy_lines(spark):
     assert linededup.report(docs(spark, [])).count() == 0
 
 
+def brute_lines(rows, size=7, percent=80):
+    """Texts without the lines that repeat, nearly, an earlier one: all lines against all."""
+    def form(x):
+        return re.sub(r"[ \t\r\x0b\f]+", " ", x).strip(" ").lower()
+
+    places = sorted({(d, t) for d, t in rows if t}, key=lambda r: (r[0] is not None, r[0]))
+    lines = [(form(x), d, t, i) for d, t in places for i, x in enumerate(t.split("\n")) if form(x)]
+    forms = list(dict.fromkeys(x[0] for x in lines))
+    sets = {x: {x[i : i + size] for i in range(max(1, len(x) - size + 1))} for x in forms}
+    top = {x: x for x in forms}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, x in enumerate(forms):
+        for y in forms[:i]:
+            if 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
+                a, b = sorted((root(x), root(y)), key=forms.index)
+                top[b] = a
+    first, gone = {}, set()
+    for x, d, t, i in lines:
+        if first.setdefault(root(x), (d, t, i)) != (d, t, i):
+            gone.add((d, t, i))
+    return {(d, t): None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, t, i) not in gone) for d, t in rows}
+
+
+def line_rows(rng):
+    """Chains of lines that change a letter at a time, of which ends aren't alike, exact and hot repeats, short and very long lines."""
+    def change(x):
+        i = rng.randrange(len(x))
+        return x[:i] + rng.choice("abcdefgh ") + x[i + 1 :]
+
+    base, rows = [words(rng, rng.randint(3, 16)) for _ in range(12)], []
+    for d in range(90):
+        lines = []
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(base))
+            base[i] = change(base[i]) if rng.random() < 0.7 else base[i]
+            lines.append(base[i])
+        lines += rng.sample(["The same line in very many documents", "  the SAME  line in very\tmany documents ", "ab", "", " ", f"row {d}"], 2)
+        rows.append((d, "\n".join(lines)))
+    rows += [(200, words(rng, 30_000)), (201, None), (202, ""), (None, "a line under no id\n" + base[0]), (3, rows[3][1]), (4, "another text under this id\n" + base[1])]
+    return rows
+
+
+@pytest.mark.parametrize("tight", [False, True])
+def test_lines_against_all_pairs(spark, monkeypatch, tight):
+    """tight: every bucket counts as large, blocks are small, nothing is broadcast, no estimate is made."""
+    if tight:
+        for name, n in (("HOT", 2), ("LARGE", 2), ("BLOCK", 8), ("PACK", 16), ("SORTED", 500), ("REDUCED", 500), ("ROUND", 7), ("SOME", 5), ("ELEMENTS", 300), ("BYTES", 300), ("AT_ONCE", 20)):
+            monkeypatch.setattr(similar, name, n)
+        monkeypatch.setattr(linededup, "LETTERS", 400)
+        monkeypatch.setattr(linededup, "HASHED", 90)
+        monkeypatch.setattr(common, "is_small", lambda *_: False)
+    rows = line_rows(random.Random(12 + tight))
+    found = linededup.duplicate_lines(docs(spark, rows).select("doc_id", "text"), slack=None if tight else similar.SLACK)
+    got = {(r["doc_id"], r["version"]): set(r["gone"]) for r in found.collect()}
+    versions = {(r["doc_id"], r["text"]): r["v"] for r in docs(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("v")).collect()}
+    want = brute_lines(rows)
+    for (d, t), left in want.items():
+        gone = got.get((d, versions[d, t]), set())
+        assert left == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
+    assert sum(map(len, got.values())) > 100
+
+
+def test_clashing_names(spark):
+    """Columns of docs with the names that operators use themselves."""
+    names = ["doc_id", "text", "n_lines", "n_kept", "gone", "_row", "_text", "_words", "_lines", "_stats", "_own", "_id", "_version", "_bad_id", "key", "a.b"]
+    rows = [(1, "The same line of text here.\nOne more line."), (2, "the same line of text here."), (3, None), (2, "the same line of text here.")]
+    df = spark.createDataFrame([(*r, *range(len(names) - 2)) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names[2:]))
+    bench = spark.createDataFrame([(1, "one more line")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for got in (linededup.clean(df), quality.keep_good(df, labels), neardup.keep_one(df), decontam.keep_clean(df, bench)):
+        assert got.columns == names and all(list(r)[2:] == list(range(len(names) - 2)) for r in got.collect())
+    assert sorted((r["doc_id"], r["text"]) for r in linededup.clean(df).collect() if r["text"]) == [(1, rows[0][1])]
+    assert sorted(r["doc_id"] for r in decontam.keep_clean(df, bench).collect()) == [2, 2, 3]
+    out = linededup.without_duplicates(df).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["n_kept"], r["gone"]) for r in out) == [(1, 2, 2, 2), (2, 1, 0, 2), (2, 1, 0, 2), (3, 0, 0, 2)]
+
+
 def test_lines_that_differ_in_inner_blanks(spark):
     a = "The quick brown fox jumps over the lazy dog near the river bank today"
     wide = a.replace(" ", "   ")
@@ -223,6 +332,21 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_recall_with_several_parts(spark):
+    """Clustered vectors, of which a query probes a few parts: recall against brute force, below certainty."""
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(12, 16))[rng.integers(0, 12, 700)] * 2 + rng.normal(size=(700, 16))).astype(np.float32)
+    router = ann.fit(x.astype(np.float64), len(x), 20)
+    assert len(router.b2) == ann.FEWEST and 1 <= router.probes < len(router.b2)
+    df, d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), x.astype(np.float64)
+    got: dict = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert abs(d[r["query_id"]] @ d[r["vec_id"]] - r["score"]) < 1e-9
+    hits = sum(len(got[q] & set([i for i in np.argsort(-(d @ d[q]), kind="stable") if i != q][:20])) for q in range(0, 700, 20))
+    assert all(len(v) == 20 for v in got.values()) and hits >= 0.9 * 20 * 35
+
+
 def test_balanced_parts():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.1, (100, 4)) for c in (1, -1, 3, -3)])

@@ -23,3 +23,25 @@ def test_stages(spark, tmp_path):
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got >= set(range(80)) | {201, 202}
     assert not got & {200, 203, *range(300, 380)}
+
+
+def test_odd_tables(spark, tmp_path):
+    """Repeated rows and ids, null ids and texts, a clashing column, a very long text, and an empty table."""
+    rng = random.Random(2)
+
+    def text(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)) + "."
+
+    a, b = text(40), text(40)
+    rows = [(1, a), (1, a), (1, b), (None, text(30)), (None, None), (2, None), (3, ""), (4, text(20_000))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _text long, n_lines long"
+    for name, some in (("full", rows), ("empty", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame([(d, t, "en", "s", len(t or ""), 7, 8) for d, t in some], schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, text(30)), (2, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, at).columns == docs.columns
+        got = sorted((r["doc_id"] or 0, r["n_tokens"] > 0) for r in corpus_pipeline.run(spark, at).collect())
+        assert got == ([(0, False), (0, True), (1, True), (1, True), (2, False), (3, False), (4, True)] if some else [])
