@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import names, strict_json
 from corpusmill.functions.text import is_blank, normalized
-from corpusmill.operators import audit, chat, components, dedup, metrics, sequences, split
+from corpusmill.operators import audit, build, cache, chat, components, dedup, metrics, sequences, split, tokens
 from corpusmill.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -558,3 +559,116 @@ def doc_prefix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     folders = spark.createDataFrame([("src0/",), ("src1/",), ("src12/",)], "folder string")
     docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
     return docs.join(F.broadcast(folders), F.col("path").startswith(F.col("folder"))).groupBy("folder").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+# Records, names and caches
+
+DOC_PATHS = "paths AS (SELECT doc_id, source || '/' || lang || '.' || doc_id AS path FROM documents)"
+
+
+def doc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("."), F.col("doc_id").cast("string")).alias("path"))
+
+
+@query("SELECT doc_id, source || '/documents.parquet#row-' || row_number() OVER (ORDER BY doc_id) AS id FROM documents")
+def record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of records from the place of each row in its file, which is in order of doc_id."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("_metadata.row_index") + 1).alias("row"))
+    return rows.select("doc_id", F.format_string("%s/documents.parquet#row-%d", "source", "row").alias("id"))
+
+
+@query(f"WITH {DOC_PATHS} SELECT doc_id, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM paths")
+def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each path in an order by parts."""
+    rows = doc_paths(spark, sf_dir).select(F.struct(names.path_key(F.col("path")).alias("parts"), "doc_id").alias("at"), F.lit(1).alias("one"))
+    return sequences.running_total(rows, "at", "one").select("at.doc_id", (F.col("before") + 1).alias("place"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id > 0 THEN doc_id END AS number FROM documents")
+def record_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.concat("source", F.lit("/part.jsonl/@record-"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", names.record_number(ids).alias("number"))
+
+
+@query("SELECT lang AS run, max(doc_id) AS number, max(doc_id) + 1 AS next FROM documents WHERE lang IN ('de', 'en') GROUP BY 1")
+def run_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest number of two runs' entries, which are named in any case and with leading zeros."""
+    name = F.concat(F.upper("lang"), F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 24, "0"))
+    rows = table(spark, sf_dir, "documents").select(name.alias("name"))
+    found = None
+    for run in ("de", "en"):
+        one = rows.select(F.lit(run).alias("run"), names.run_number(F.col("name"), run).alias("number")).where("number is not null").groupBy("run").agg(F.max("number").cast("long").alias("number"))
+        found = one if found is None else found.unionByName(one)
+    return found.select("run", "number", (F.col("number") + 1).alias("next"))
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, sha256(from_hex(array_to_string(list_transform(t, lambda n: printf('%02x%02x0000', n % 256, n // 256)), ''))) AS fingerprint FROM tokens")
+def token_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_tokens(spark, sf_dir).select("doc_id", cache.fingerprint(F.col("tokens")).alias("fingerprint"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, octet_length(encode(text)), sha256(text) FROM documents EXCEPT ALL SELECT doc_id, octet_length(encode(lower(text))), sha256(lower(text)) FROM documents)")
+def stale_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose bytes a cache of their texts in lower case wouldn't know."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return cache.sources_of(docs).exceptAll(cache.sources_of(docs.withColumn("text", F.lower("text")))).select("doc_id")
+
+
+@query(f"WITH {NORMED} SELECT (SELECT count(*) FROM documents) AS records_seen, (SELECT count(*) FROM documents) - count(*) AS blank_records, count(*) - count(DISTINCT digest) AS duplicates_removed, count(DISTINCT digest) AS retained FROM normed")
+def build_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("payload"))
+    marked = dedup.mark_duplicates(base_records(spark, sf_dir).select("doc_id", "digest"), "digest", "doc_id")
+    return build.counters(rows, marked.select(F.when(F.col("first_of") != F.col("doc_id"), F.col("first_of")).alias("duplicate_of")))
+
+
+@query(
+    f"WITH RECURSIVE {PLACED}, firsts AS (SELECT substr(node, 1, 4) AS stage, digest, min(node) AS first FROM digests GROUP BY 1, 2) "
+    f"SELECT d.node AS id, f.stage, {part_sql('a.anchor')} AS partition, a.anchor AS connected_group, d.digest AS normalized_sha256, CASE WHEN f.first <> d.node THEN f.first END AS duplicate_of "
+    "FROM digests d JOIN firsts f ON f.stage = substr(d.node, 1, 4) AND f.digest = d.digest JOIN families USING (node) JOIN anchored a USING (component)"
+)
+def release_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The membership of a release of all documents and valid conversations, by the steps of the build."""
+    keys = written(record_keys(spark, sf_dir), "keys")
+    stage = F.substring("node", 1, 4)
+    rows = keys.groupBy("node", "digest").agg(F.collect_set(F.concat(F.lit("text:"), "key")).alias("texts"))
+    place = F.struct(F.when(stage == "base", 0).otherwise(1).alias("source"), stage.alias("file"), F.substring("node", 6, 12).cast("long").alias("row"))
+    rows = rows.select(F.col("node").alias("id"), place.alias("place"), stage.alias("stage"), F.lit("{}").alias("payload"), "digest", F.lit(None).cast("string").alias("group"), F.lit(None).cast("string").alias("fixed"), F.array_append("texts", F.concat(F.lit("record:"), "digest")).alias("keys"))
+    out = build.assign(rows, SEED, (0.90, 0.05, 0.05))
+    return out.select("id", "stage", "partition", F.col("anchor").alias("connected_group"), F.col("digest").alias("normalized_sha256"), "duplicate_of")
+
+
+@query(f"WITH {UNITS}, d AS (SELECT id, partition, sha256({NORM}) AS digest FROM units), f AS (SELECT digest, min(id) AS first FROM d GROUP BY 1) SELECT d.digest, f.first AS left_id, d.id AS right_id, d.partition <> p.partition AS cross_partition FROM d JOIN f USING (digest) JOIN d p ON p.id = f.first WHERE d.id <> f.first")
+def exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.exact_pairs(units(spark, sf_dir))
+
+
+@query(f"WITH {NORMED}, p AS (SELECT DISTINCT d.source AS g, {part_sql('n.digest')} AS part FROM normed n JOIN documents d USING (doc_id)) SELECT g AS \"group\", string_agg(part, ',' ORDER BY part) AS partitions FROM p GROUP BY 1 HAVING count(*) > 1")
+def crossing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose documents would lie in several partitions if each were drawn alone."""
+    rows = base_records(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    found = audit.crossing_groups(rows.select(F.col("source").alias("group"), partition("digest").alias("partition")))
+    return found.select("group", F.array_join("partitions", ",").alias("partitions"))
+
+
+@query("SELECT count(*) AS units, count(*) * (count(*) - 1) // 2 AS pairs FROM (SELECT doc_id FROM documents UNION ALL SELECT item_id FROM benchmark)")
+def pair_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.pair_bound(units(spark, sf_dir))
+
+
+@query("WITH s AS (SELECT doc_id % 4 AS epoch, doc_id // 4 AS u, sum(n_chars) OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS t FROM documents) SELECT epoch, min(u) AS update FROM s WHERE t > 5000 GROUP BY 1")
+def resume_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The update of each epoch that passes 5,000 targets."""
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("epoch"), F.expr("doc_id div 4").alias("update"), F.col("n_chars").alias("targets"))
+    return metrics.resume_at(rows, 5000)
+
+
+@query("WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT '{' || string_agg('\"' || lang || '\":' || n, ',' ORDER BY lang) || '}' AS counts FROM c")
+def sorted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).agg(F.collect_list("lang").alias("k"), F.collect_list("n").alias("n"))  # a row for each language
+    return n.select(F.to_json(strict_json.counts_column(F.col("k"), F.col("n"))).alias("counts"))
+
+
+@query()
+def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often two bytes are neighbours in pieces; the pieces' pattern looks ahead, which DuckDB's can't."""
+    return tokens.pair_counts(table(spark, sf_dir, "documents"))

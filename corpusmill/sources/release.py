@@ -16,7 +16,7 @@ def _path(spark: SparkSession, name: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _put(spark: SparkSession, name: str, text: str) -> None:
+def put(spark: SparkSession, name: str, text: str) -> None:
     p, fs = _path(spark, name)
     out = fs.create(p, False)
     out.write(bytearray(text.encode()))
@@ -35,21 +35,28 @@ def hashes(spark: SparkSession, path: str) -> dict[str, list]:
     return out
 
 
-def publish(records: DataFrame, path: str, seed: int) -> dict:
+def membership_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 over the digests of the membership table's files, in order of their names."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{path}/membership").select("path", F.sha2("content", 256).alias("h"))
+    return hashlib.sha256("".join(r["h"] for r in rows.orderBy("path").collect()).encode()).hexdigest()  # a row for each file
+
+
+def publish(records: DataFrame, path: str, seed: int, facts: dict | None = None) -> dict:
     """Writes records (stage, partition, position, payload, node, duplicate) as a new release, in order of position.
 
     The path must be new. Retained payloads go to data/, every record to
-    membership/; the manifest holds counts and digests; COMPLETE, with the
-    manifest's digest, is written when all else has succeeded.
+    membership/; the manifest holds counts, digests and the facts given;
+    COMPLETE, with the manifest's digest, is written when all else has
+    succeeded.
     """
     spark = records.sparkSession
     kept = records.where("not duplicate").repartitionByRange("stage", "partition", "position").sortWithinPartitions("stage", "partition", "position")
     kept.select("stage", "partition", F.col("payload").alias("value")).write.mode("error").partitionBy("stage", "partition").text(f"{path}/data")
     records.drop("payload").write.mode("error").parquet(f"{path}/membership")
-    found = hashes(spark, path)
-    manifest = json.dumps({"schema_version": 1, "seed": seed, "files": found}, sort_keys=True, indent=1)
-    _put(spark, f"{path}/manifest.json", manifest)
-    _put(spark, f"{path}/COMPLETE", f"{LABEL}\n{hashlib.sha256(manifest.encode()).hexdigest()}\n")
+    found, members = hashes(spark, path), membership_digest(spark, path)
+    manifest = json.dumps({**(facts or {}), "schema_version": 1, "seed": seed, "files": found, "membership_sha256": members}, sort_keys=True, indent=1)
+    put(spark, f"{path}/manifest.json", manifest)
+    put(spark, f"{path}/COMPLETE", f"{LABEL}\n{hashlib.sha256(manifest.encode()).hexdigest()}\n")
     return json.loads(manifest)
 
 
@@ -62,7 +69,8 @@ def verify(spark: SparkSession, path: str) -> dict:
     manifest, marker = read("manifest.json"), read("COMPLETE").split("\n")
     if marker[:2] != [LABEL, hashlib.sha256(manifest.encode()).hexdigest()]:
         raise ValueError(f"the manifest of {path} isn't the one that was published")
-    if json.loads(manifest)["files"] != hashes(spark, path):
+    known = json.loads(manifest)
+    if known["files"] != hashes(spark, path) or known["membership_sha256"] != membership_digest(spark, path):
         raise ValueError(f"payloads of {path} have changed")
     return json.loads(manifest)
 

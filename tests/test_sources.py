@@ -12,7 +12,7 @@ def test_json_scans(spark, tmp_path):
         f.write('{"text": "z"}\n')
     got = sorted((r["text"], r["row_no"]) for r in scans.jsonl(spark, str(tmp_path), ["text"]).collect())
     assert got == [("x", 1), ("y", 3), ("z", 1)]
-    for i, bad in enumerate(('{"text": 4}', "{}", "[1]", '"x"', "{broken")):
+    for i, bad in enumerate(('{"text": true}', '{"txt": "x"}', "[]", "7", '{"text": ')):
         (tmp_path / f"bad{i}").mkdir()
         (tmp_path / f"bad{i}" / "c.jsonl").write_text('{"text": "ok"}\n\n' + bad + "\n")
         with pytest.raises(scans.SourceError, match="line 3"):
@@ -23,11 +23,11 @@ def test_json_scans(spark, tmp_path):
 
 
 def test_text_and_chat_scans(spark, tmp_path):
-    (tmp_path / "t/a/nested").mkdir(parents=True)
-    (tmp_path / "t/a/x.txt").write_text("hello")
-    (tmp_path / "t/a/nested/y.txt").write_text("again\n")
-    (tmp_path / "t/a/blank.txt").write_text(" \n")
-    assert sorted(r["doc_id"] for r in scans.text_documents(spark, str(tmp_path / "t")).collect()) == ["a/nested/y.txt", "a/x.txt"]
+    (tmp_path / "t/north/deep").mkdir(parents=True)
+    (tmp_path / "t/north/one.txt").write_text("hello")
+    (tmp_path / "t/north/deep/two.txt").write_text("again\n")
+    (tmp_path / "t/north/empty.txt").write_text(" \n")
+    assert sorted(r["doc_id"] for r in scans.text_documents(spark, str(tmp_path / "t")).collect()) == ["north/deep/two.txt", "north/one.txt"]
     (tmp_path / "c").mkdir()
     line = {"schema_version": 1, "messages": [{"role": "user", "content": "a"}]}
     (tmp_path / "c/c.jsonl").write_text(json.dumps(line) + "\n")
