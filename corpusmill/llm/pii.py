@@ -4,16 +4,18 @@ Fixed patterns give the base spans. Looser candidates (what the patterns just
 miss, obfuscated addresses, credentials, names after a title) are voted on by
 three kinds of labelers: shape rules, a gazetteer and the words around them.
 Expectation-maximisation over the counts of all vote patterns in the corpus
-estimates each labeler's reliability; a logistic span classifier trained on
-the resulting posteriors decides which candidates are added. Base spans stay.
+estimates each labeler's reliability; a logistic classifier of the spans' own
+looks (length, characters, entropy, what stands beside them), trained on the
+resulting posteriors, decides which candidates are added. Base spans stay.
 
-All texts are read whole, once to count vote patterns (a table whose size does
-not depend on the corpus) and once to write spans.
+All texts are read whole, once to count votes and looks (a table whose size
+does not depend on the corpus) and once to write spans.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -124,7 +126,7 @@ def _regions(text: str) -> list[tuple[int, int]]:
 
 
 def candidates(text: str, base: list[Span]) -> Iterator[tuple[Span, str]]:
-    """Loose spans that meet no base span and no earlier candidate, with their vote pattern."""
+    """Loose spans that meet no base span and no earlier candidate, with their votes and looks."""
     regions, taken = _regions(text), None
     for kind, pattern in LOOSE:
         if kind == "address":
@@ -145,7 +147,7 @@ def candidates(text: str, base: list[Span]) -> Iterator[tuple[Span, str]]:
                 if 1 in taken[s:e]:
                     continue
                 taken[s:e] = b"\1" * (e - s)
-                yield (kind, s, e), kind + ":" + "".join(map(str, votes(kind, m[0], text, s, e)))
+                yield (kind, s, e), f"{kind}:{''.join(map(str, votes(kind, m[0], text, s, e)))}:{''.join(map(str, looks(m[0], text, s, e)))}"
 
 
 def votes(kind: str, found: str, text: str, s: int, e: int) -> tuple[int, ...]:
@@ -166,6 +168,22 @@ def votes(kind: str, found: str, text: str, s: int, e: int) -> tuple[int, ...]:
     return int(shape), int(known), int(bool(CONTEXT[kind].search(near)))
 
 
+#: How many values each look can take.
+LOOKS = (4, 4, 2, 2, 3, 3, 2)
+
+
+def looks(found: str, text: str, s: int, e: int) -> tuple[int, ...]:
+    """What a span is like, whatever the labelers say: length, share of digits, upper and lower case, entropy, and what stands before and after it."""
+    n, digits = len(found), len(_digits(found))
+    size = 0 if n <= 12 else 1 if n <= 20 else 2 if n <= 34 else 3
+    share = 3 if digits == n else 2 if 2 * digits >= n else 1 if digits else 0
+    counts = Counter(found).values()
+    entropy = -sum(c / n * math.log2(c / n) for c in counts)
+    before, after = text[max(0, s - 2) : s].strip(), text[e : e + 1]
+    opened = 2 if before[-1:] in ("\"", "'", "=", ":", "(", "<") and before else 1 if before else 0
+    return size, share, int(any(c.isupper() for c in found)), int(any(c.islower() for c in found)), 0 if entropy < 2.5 else 1 if entropy < 3.5 else 2, opened, int(after in ("", " ", "\n", ".", ",", ";", ")", "\"", "'", ">"))
+
+
 def _iban(found: str) -> bool:
     s = found.replace(" ", "")
     return s.isascii() and s.isalnum() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
@@ -198,23 +216,30 @@ def estimate(counts: dict[str, int], rounds: int = 60) -> dict[str, float]:
 
 
 def _features(pattern: str) -> list[float]:
-    kind, bits = pattern.split(":")
-    return [1.0, *(float(kind == k) for k in ADDED), *map(float, bits), float(bits.count("1") >= 2)]
+    """Of a kind and a span's looks; the votes are what the classifier learns from, not what it sees."""
+    kind, _, seen = pattern.split(":")
+    out = [1.0, *(float(kind == k) for k in ADDED)]
+    for value, n in zip(map(int, seen), LOOKS, strict=True):
+        out += [float(value == i) for i in range(n)]
+    return out
 
 
 def train(counts: dict[str, int]) -> np.ndarray:
-    """Weights of the span classifier: logistic regression on the posteriors, a row for each vote pattern."""
-    posterior = estimate(counts)
-    if not posterior:
-        return np.zeros(len(_features("name:000")))
-    x = np.array([_features(p) for p in posterior])
-    y = np.array(list(posterior.values()))
-    n = np.sqrt(np.array([counts[p] for p in posterior], float))
+    """Weights of the span classifier: logistic regression on the votes' posteriors, a row for each pattern of votes and looks."""
+    by_votes: Counter = Counter()
+    for p, n in counts.items():
+        by_votes[p.rsplit(":", 1)[0]] += n
+    posterior, patterns = estimate(by_votes), sorted(counts)
+    if not patterns:
+        return np.zeros(1 + len(ADDED) + sum(LOOKS))
+    x = np.array([_features(p) for p in patterns])
+    y = np.array([posterior[p.rsplit(":", 1)[0]] for p in patterns])
+    n = np.sqrt(np.array([counts[p] for p in patterns], float))
     n /= n.sum()
     w = np.zeros(x.shape[1])
     for _ in range(2000):
         p = 1 / (1 + np.exp(-x @ w))
-        w -= 2.0 * (x.T @ (n * (p - y)) + 1e-3 * w)
+        w -= 1.0 * (x.T @ (n * (p - y)) + 1e-3 * w)
     return w
 
 
@@ -223,7 +248,7 @@ def _joined(spans: list[Span]) -> str:
 
 
 def vote_counts(docs: DataFrame) -> dict[str, int]:
-    """Occurrences of every vote pattern in all texts; there are at most 5 kinds x 8 patterns."""
+    """Occurrences of every pattern of votes and looks in all texts: at most 5 kinds x 8 votes x 1,152 looks."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = Counter()
@@ -238,7 +263,7 @@ def vote_counts(docs: DataFrame) -> dict[str, int]:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans that aren't base ones).
 
     Null and empty texts have no spans. Offsets count code points; ends are
     exclusive. Repeated rows and null ids give a row each; extra columns are
@@ -259,12 +284,12 @@ def report(docs: DataFrame) -> DataFrame:
                         accepted[pattern] = float(np.dot(weights, _features(pattern))) > 0
                     if accepted[pattern]:
                         added.append(span)
-                out.append((*(n[k] for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + added)))
-            made = pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                out.append((*(n[k] for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + added), len(added)))
+            made = pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
             made.insert(0, "doc_id", b["doc_id"].array)
             yield made
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, schema)
 
 

@@ -3,14 +3,16 @@
 Folding lowers case, strips accents and full-width forms, maps look-alike
 letters and digit or sign substitutions to one skeleton letter, and turns all
 else into blanks, so that "1D10T", "idiot" and the Cyrillic look-alike meet.
-The lexicon (words and word beginnings), its weights, and exception phrases in
+The lexicon (words, and beginnings that several of them share), its weights, and exception phrases in
 which an entry doesn't count are learned from a bounded sample of labelled
 rows; scoring reads every whole text.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
+import heapq
 import math
 import re
 import unicodedata
@@ -28,10 +30,10 @@ from corpusmill.llm import common
 
 #: Labelled rows that the fit reads at most, and entries of the lexicon at most.
 SAMPLE, LEXICON = 20_000, 600
-#: Documents with label 1 that an entry needs, and contexts that an exception phrase needs.
-SUPPORT = 5
-#: Lengths of the word beginnings that may become entries.
-PREFIXES = (4, 5, 6, 7)
+#: Documents with label 1 that an entry needs, and contexts that an exception phrase needs; what a document still counts once an entry explains it.
+SUPPORT, KEPT = 5, 0.3
+#: Lengths of the word beginnings that may become entries, and words that must have one.
+PREFIXES, FAMILY = (4, 5, 6, 7), 3
 
 #: Letters of other scripts, and digits, by the Latin letter they stand for.
 LOOKALIKES = {
@@ -106,7 +108,14 @@ class Matcher:
                 spans.append((start, end))
             elif n > best.get(start, (0, 0))[0]:
                 best[start] = n, k
-        return [(s, k) for s, (n, k) in best.items() if not any(a <= s and s + n - 1 <= b for a, b in spans)]
+        if not spans:
+            return [(s, k) for s, (_, k) in best.items()]
+        spans.sort()
+        starts, far, reach = [a for a, _ in spans], 0, []
+        for _, b in spans:
+            far = max(far, b)
+            reach.append(far)
+        return [(s, k) for s, (n, k) in best.items() if (at := bisect.bisect_right(starts, s)) == 0 or reach[at - 1] < s + n - 1]
 
 
 @functools.lru_cache(maxsize=4)
@@ -122,8 +131,8 @@ def _entries_of(folded: str) -> set[str]:
     return out
 
 
-def _candidates(sample: DataFrame) -> list[tuple[str, int, int]]:
-    """(entry, documents with label 1, with label 0) of the most telling entries, at most 8 LEXICON of them."""
+def _candidates(sample: DataFrame) -> list[str]:
+    """The most telling entries, at most 8 LEXICON of them. A beginning must be that of several words that are telling themselves."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         toxic, other = Counter(), Counter()
@@ -133,21 +142,69 @@ def _candidates(sample: DataFrame) -> list[tuple[str, int, int]]:
         yield pd.DataFrame([(e, toxic[e], other[e]) for e in toxic.keys() | other.keys()], columns=["entry", "pos", "neg"])
 
     sums = sample.mapInPandas(count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sums = common.written(sums.where("pos > neg"), "entries")
+    words = sums.where(F.col("entry").endswith(" ") & (F.col("pos") >= 2)).select(F.rtrim("entry").alias("word"))
+    beginnings = words.select(F.explode(F.array(*[F.when(F.length("word") > n + 1, F.substring("word", 1, n + 1)) for n in PREFIXES])).alias("entry"))
+    beginnings = beginnings.where("entry is not null").groupBy("entry").count().where(F.col("count") >= FAMILY).select("entry")
     telling = F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5)) * F.log1p("pos")
-    rows = sums.where(f"pos >= {SUPPORT} and pos > neg").orderBy(telling.desc(), "entry").limit(8 * LEXICON).collect()
-    return [(r["entry"], r["pos"], r["neg"]) for r in rows]
+    allowed = sums.where(F.col("entry").endswith(" ")).unionByName(sums.where(~F.col("entry").endswith(" ")).join(beginnings, "entry", "left_semi"))
+    return [r["entry"] for r in allowed.where(F.col("pos") >= SUPPORT).orderBy(telling.desc(), "entry").limit(8 * LEXICON).collect()]
 
 
-def _chosen(candidates: list[tuple[str, int, int]], ratio: float) -> list[str]:
-    """Entries whose odds are `ratio` times those of all rows; one that only repeats a shorter one is left out."""
-    kept: dict[str, float] = {}
-    for e, pos, neg in sorted(candidates, key=lambda c: (len(c[0].rstrip()), c[0])):
-        odds = (pos + 0.5) / (neg + 0.5)
-        word = e.rstrip()
-        shorter = [kept[word[:n]] for n in range(2, len(word) + 1) if word[:n] in kept]
-        if odds > ratio and not any(odds < 2 * s or neg == 0 and s > 4 * ratio for s in shorter):
-            kept[e] = odds
-    return sorted(kept, key=lambda e: (-kept[e], e))[:LEXICON]
+def covering(entries: list[str], found: list[list[int]], y: list[int], ratio: float) -> list[str]:
+    """Entries that explain the documents with label 1 one after the other.
+
+    found: per document the entries in it. The most telling entry is taken,
+    and its documents count for KEPT of what they did from then on, until none
+    is left with SUPPORT and odds over `ratio`. So a word that only goes along
+    with a telling one, in copies of a text say, isn't taken for its sake, but
+    one that is in many texts is.
+    """
+    places: list[list[int]] = [[] for _ in entries]
+    n = np.zeros((len(entries), 2))
+    for d, ks in enumerate(found):
+        for k in ks:
+            places[k].append(d)
+            n[k, y[d]] += 1
+
+    def telling(k: int) -> tuple:
+        """Smallest first; of equals a whole word, then the first by letters."""
+        pos, neg = max(n[k, 1], 0.0), max(n[k, 0], 0.0)
+        return round(-math.log((pos + 0.5) / (neg + 0.5)) * math.log1p(pos), 9), entries[k][-1] != " ", entries[k]
+
+    def good(k: int) -> bool:
+        return n[k, 1] >= SUPPORT and (n[k, 1] + 0.5) / (n[k, 0] + 0.5) > ratio
+
+    queue, out, weight = [(telling(k), k) for k in range(len(entries)) if good(k)], [], [1.0] * len(found)
+    heapq.heapify(queue)
+    while queue and len(out) < LEXICON:
+        rank, k = heapq.heappop(queue)
+        if not good(k):
+            continue
+        if rank != telling(k):  # fewer documents are left to it by now
+            heapq.heappush(queue, (telling(k), k))
+            continue
+        out.append(entries[k])
+        for d in places[k]:
+            lost = weight[d] * (1 - KEPT)
+            weight[d] -= lost
+            for other in found[d]:
+                n[other, y[d]] -= lost
+    return out
+
+
+def _lexicon(sample: DataFrame, ratio: float) -> tuple[str, ...]:
+    entries = _candidates(sample)
+    number = {e: i for i, e in enumerate(entries)}
+
+    def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [sorted(number[e] for e in _entries_of(fold(t)) & number.keys()) for t in b["text"]]
+            yield pd.DataFrame({"found": found, "y": b["y"]})
+
+    rows = sample.mapInPandas(present, "found array<int>, y int").toPandas()  # bound rows of numbers
+    rows = sorted(zip(map(list, rows["found"]), rows["y"], strict=True))
+    return tuple(covering(entries, [f for f, _ in rows], [int(v) for _, v in rows], ratio))
 
 
 def _contexts(folded: str, hits: list[tuple[int, int]]) -> Iterator[str]:
@@ -204,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, exceptions: tup
     empty = Lexicon((), (), math.log(share / (1 - share)))
     if not pos or pos == n:
         return empty
-    entries = tuple(_chosen(_candidates(sample), 3 * share / (1 - share)))
+    entries = _lexicon(sample, 3 * share / (1 - share))
     if not entries:
         return empty
     given = tuple(" ".join(fold(e).split()) for e in exceptions)

@@ -482,3 +482,48 @@ def test_classifiers_on_held_out_rows(spark, label, classify):
 def test_folding():
     assert toxicity.fold("1D10T Straße ÉTÉ") == toxicity.fold("idiot strasse ete")
     assert toxicity.Matcher((" ciown ",), ("ciown fish",)).hits(toxicity.fold("clown fish, a clown")) == [(14, 0)]
+
+
+def test_matches_equal_a_naive_search():
+    rng = random.Random(13)
+    for _ in range(300):
+        entries = tuple({rng.choice([f" {w} ", f" {w}"]) for w in ("ab", "abc", "b", "ba", "cab", "c") if rng.random() < 0.6})
+        phrases = tuple({" ".join(rng.choice(["ab", "abc", "b", "c"]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 4))})
+        text = " " + " ".join(rng.choice(["ab", "abc", "b", "ba", "cab", "c", "abca"]) for _ in range(rng.randint(0, 25))) + " "
+        spans = [(i, i + len(p) + 1) for p in phrases for i in range(len(text)) if text.startswith(f" {p} ", i)]
+        want = []
+        for i in range(len(text)):
+            found = max(((len(e), k) for k, e in enumerate(entries) if text.startswith(e, i)), default=None)
+            if found and not any(a <= i and i + found[0] - 1 <= b for a, b in spans):
+                want.append((i, found[1]))
+        assert sorted(toxicity.Matcher(entries, phrases).hits(text)) == want
+
+
+def test_words_that_go_along_are_not_entries():
+    entries = [" bad ", " mild ", " rare ", " lo", " copy "]
+    found = [[0, 4]] * 10 + [[0]] * 40 + [[1]] * 40 + [[2]] * 3 + [[3]] * 6 + [[4]]
+    y = [1] * 50 + [1, 0] * 20 + [1] * 3 + [1] * 6 + [1]
+    assert toxicity.covering(entries, found, y, 3.0) == [" bad ", " lo"]
+
+
+def test_benign_sentences(spark):
+    """Words that begin like those of the lexicon don't count."""
+    df, labels, _ = labelled(spark, "toxic")
+    benign = ["We scout the scoured path.", "A sunny day at the lake.", "scoundre", ""]
+    lexicon = toxicity.fit(df, labels)
+    got = toxicity.scored(spark.createDataFrame([(t,) for t in [*benign, "You sc0undrel of a word"]], "text string"), lexicon).collect()
+    assert [r["score"] > 0.5 for r in got] == [False] * len(benign) + [True]
+    assert [e for e, _ in lexicon.entries] == [" " + toxicity.fold("scoundrel").strip() + " "]
+
+
+def test_spans_that_are_added(spark):
+    """The classifier sees looks, not votes, and follows the votes where looks tell them apart."""
+    secret = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"
+    rows = [(i, f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}" x') for i in range(30)] + [(100 + i, f"row {'0' * 40} in 000-00-0000 and {i}") for i in range(30)]
+    rows += [(200, f'key "{secret}"'), (201, "call (030) 123-4567"), (202, None), (203, "call " + "0" * 100_000)]
+    got = {r["doc_id"]: r for r in pii.report(docs(spark, rows)).collect()}
+    assert all(got[i]["n_added"] == 1 and got[i]["spans"] == "secret:9:49" for i in range(30))
+    assert all("secret" not in got[100 + i]["spans"] for i in range(30))
+    assert got[200]["spans"] == "secret:5:45" and got[202]["n_added"] == 0
+    for t, n in (("abc 1234", 4), ("x", 1), ("=\"q\"", 1)):
+        assert len(pii.looks(t, t, 0, len(t))) == len(pii.LOOKS) and all(v < m for v, m in zip(pii.looks(t, t, 0, n), pii.LOOKS, strict=True))
