@@ -36,7 +36,9 @@ def normal(text: str) -> list[str]:
             text = text.replace(c, " ")
     while "  " in text:
         text = text.replace("  ", " ")
-    return [x.strip(" ") for x in text.split("\n")]
+    if " \n" in text or "\n " in text:
+        text = text.replace(" \n", "\n").replace("\n ", "\n")
+    return text.strip(" ").split("\n")
 
 
 def hashes(lines: list[bytes]) -> np.ndarray:
@@ -50,7 +52,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         rows, at, lines, letters = [], [], [], 0
         for r, text in enumerate(batch.column(batch.num_columns - 1)):
             text = text.as_py()
-            for i, line in enumerate(normal(text) if text else ()):
+            if not text:
+                continue
+            own = normal(text)
+            if len(text) < LETTERS and all(own):
+                rows += [r] * len(own)
+                at += range(len(own))
+                lines += own
+                letters += len(text)
+                if letters >= LETTERS:
+                    yield batch, rows, at, lines
+                    rows, at, lines, letters = [], [], [], 0
+                continue
+            for i, line in enumerate(own):
                 if line:
                     rows.append(r), at.append(i), lines.append(line)
                     letters += len(line)

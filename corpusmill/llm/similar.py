@@ -94,13 +94,20 @@ def many_minima(values: np.ndarray, sizes: np.ndarray, a: np.ndarray, chunk: int
 
 
 def many_band_keys(signatures: np.ndarray, rows: int, first: int = 0) -> np.ndarray:
-    """A 64-bit key for each band of `rows` values of each signature; the band's number, counted from `first`, is its low six bits."""
-    bands = signatures.reshape(len(signatures), -1, rows).astype(np.uint64)
-    number = np.arange(first, first + bands.shape[1], dtype=np.uint64)
-    key = np.tile((number + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), (len(bands), 1))
-    for j in range(rows):
-        key = (key ^ bands[:, :, j]) * np.uint64(0xBF58476D1CE4E5B9)
+    """A 64-bit key for each band of `rows` 16-bit values of each signature; the band's number, counted from `first`, is its low six bits."""
+    number = np.arange(first, first + signatures.shape[1] // rows, dtype=np.uint64)
+    seed = (number + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    if rows == 4:  # a band is one number as it stands
+        parts = [np.ascontiguousarray(signatures).view(np.uint64)]
+    else:
+        bands = signatures.reshape(len(signatures), -1, rows).astype(np.uint64)
+        parts = [bands[:, :, j] for j in range(rows)]
+    key = np.broadcast_to(seed, (len(signatures), len(number)))
+    for part in parts:
+        key = (key ^ part) * np.uint64(0xBF58476D1CE4E5B9)
         key ^= key >> np.uint64(29)
+    key = key * np.uint64(0x94D049BB133111EB)
+    key ^= key >> np.uint64(32)
     return (key & ~np.uint64(63)) | number
 
 

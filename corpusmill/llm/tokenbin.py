@@ -17,8 +17,10 @@ import heapq
 import os
 import re
 import struct
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,17 @@ WORDS, KEY = 500_000, 64
 MAGIC, HEAD = b"CMTB\x01\0\0\0", struct.Struct("<8sQQQQQ")
 #: Special tokens, and white space on which the tokenizer and str.split may differ: such texts are encoded whole.
 _ODD = "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, 0x3000, 0xFEFF)))
-WHOLE = re.compile(rf"<\||[{_ODD}]").search
+_WHOLE, _ODD_ASCII = re.compile(rf"<\||[{_ODD}]").search, tuple(c for c in _ODD if c.isascii())
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def whole(text: str) -> bool:
+    """True for texts that are encoded whole."""
+    if text.isascii():
+        return "<|" in text or any(c in text for c in _ODD_ASCII)
+    return _WHOLE(text) is not None
+
+
 # Codes
 
 
@@ -162,7 +171,10 @@ class WordIds(dict):
     """Ids of words between blanks, by the tokenizer, as little-endian numbers of `kind`."""
 
     def __init__(self, tokenizer: Tokenizer, kind: str):
-        self.tokenizer, self.kind, self.model, self.alphabet = tokenizer, kind, tokenizer.model, _byte_letters()
+        self.tokenizer, self.model, self.alphabet = tokenizer, tokenizer.model, _byte_letters()
+        self.code = {"<u2": "H", "<u4": "I"}[kind]
+        if sys.byteorder != "little":
+            raise ValueError("ids are laid out by little-endian machines")
 
     def letters(self, word: str) -> bytes:
         """Of a word of letters: lower-case and composed ones need only the tokenizer's merges."""
@@ -172,14 +184,18 @@ class WordIds(dict):
             word = word.encode().decode("latin-1").translate(self.alphabet)
         else:
             return self.raw(word)
-        return np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        letters = word.rstrip(PUNCTUATION)
-        if not (letters.isalpha() and letters.lower().isalpha()):  # a small İ is i and a dot above, which is no letter
+        letters = word
+        if not word.isalpha():
+            letters = word.rstrip(PUNCTUATION)
+        if letters == word and word.isascii():
+            out = self.letters(word) if word.isalpha() else self.raw(word)
+        elif not (letters.isalpha() and (letters.isascii() or letters.lower().isalpha())):  # a small İ is i and a dot above, which is no letter
             out = self.raw(word)
         elif letters == word:
             out = self.letters(word)
@@ -192,7 +208,7 @@ class WordIds(dict):
         return out
 
     def text(self, text: str) -> bytes:
-        if WHOLE(text):
+        if whole(text):
             return self.raw(text)
         return b"".join(map(self.__getitem__, (text.lower() if text.isascii() else text).split()))
 
