@@ -57,14 +57,17 @@ class Keys:
         return rows if self.few else rows.join(self.table, self.column, "left_semi")
 
 
-def apart(docs: DataFrame, *names: str | Column) -> DataFrame:
-    """The named columns, and _row: whole rows of docs, so that no column of an operator's own can clash with another of docs."""
-    return docs.select(F.struct("*").alias("_row"), *names)
+def free_prefix(docs: DataFrame) -> str:
+    """What no column of docs begins with, so that an operator's own columns can't clash with them."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
 
 
 def own_columns(docs: DataFrame, **changed: Column) -> list[Column]:
-    """The columns of docs out of _row, in order, with some replaced."""
-    return [changed[c].alias(c) if c in changed else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    """The columns of docs in order, whatever their names, with some replaced."""
+    return [changed[c].alias(c) if c in changed else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
 
 def id_text(doc_id: Column) -> Column:

@@ -143,7 +143,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one id are judged one by one. An empty table gives an empty result.
     """
     found = matches(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
-    bad = found.where(contaminated()).select(F.col("doc_id").alias("_bad_id"), F.col("_version").alias("_bad_version"))
-    marked = common.apart(docs, "doc_id", F.xxhash64("text").alias("_version"))
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & F.col("_version").eqNullSafe(F.col("_bad_version"))
-    return marked.join(bad, same, "left_anti").select(*common.own_columns(docs))
+    p = common.free_prefix(docs)
+    bad = found.where(contaminated()).select(F.col("doc_id").alias(p + "id"), F.col("_version").alias(p + "bad"))
+    same = F.col("doc_id").eqNullSafe(F.col(p + "id")) & F.col(p + "own").eqNullSafe(F.col(p + "bad"))
+    return docs.withColumn(p + "own", F.xxhash64("text")).join(bad, same, "left_anti").select(*common.own_columns(docs))

@@ -210,18 +210,17 @@ def _parts(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _rewritten(docs: DataFrame, percent: int) -> DataFrame:
-    """_row of docs, and text, n_lines and n_kept as they are without its duplicate lines."""
-    found = duplicate_lines(docs.select("doc_id", "text"), percent)
+def _rewritten(docs: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """docs, and text, n_lines and n_kept as they are without its duplicate lines, under a prefix."""
+    found, p = duplicate_lines(docs.select("doc_id", "text"), percent), common.free_prefix(docs)
     few = common.is_small(found.select(F.explode("gone")), common.BROADCAST_KEYS)  # its size is that of the lists
-    found = found.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "gone")
+    found = found.select(F.col("doc_id").alias(p + "id"), F.col("version").alias(p + "version"), F.col("gone").alias(p + "gone"))
     lines = F.size(F.filter(_parts(F.col("text")), lambda x: F.ltrim(x, F.lit(" " + ODD)) != ""))
-    rows = common.apart(docs, "doc_id", "text", F.xxhash64("text").alias("_own"), lines.alias("_lines"))
-    rows = rows.join(F.broadcast(found) if few else found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_version")), "left")
-    gone = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
-    lines = F.col("_lines")
-    text = F.when(gone > 0, _without(F.col("text"), F.col("gone"))).otherwise(F.col("text"))
-    return rows.select("_row", text.alias("text"), lines.cast("long").alias("n_lines"), (lines - gone).cast("long").alias("n_kept"))
+    rows = docs.withColumns({p + "own": F.xxhash64("text"), p + "lines": lines.cast("long")})
+    rows = rows.join(F.broadcast(found) if few else found, F.col("doc_id").eqNullSafe(F.col(p + "id")) & (F.col(p + "own") == F.col(p + "version")), "left")
+    gone = F.when(F.col(p + "gone").isNull(), F.lit(0)).otherwise(F.size(p + "gone"))
+    text = F.when(gone > 0, _without(F.col("text"), F.col(p + "gone"))).otherwise(F.col("text"))
+    return rows.withColumns({p + "text": text, p + "n_lines": F.col(p + "lines"), p + "n_kept": F.col(p + "lines") - gone}), p
 
 
 def without_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -233,9 +232,10 @@ def without_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     stay as they are, but columns named n_lines and n_kept are replaced; an
     empty table gives an empty result.
     """
-    out, extra = _rewritten(docs, percent), ["n_lines", "n_kept"]
-    own = [F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in extra]
-    return out.select(*own, *extra)
+    extra = ["n_lines", "n_kept"]
+    out, p = _rewritten(docs, percent)
+    own = [c for c, name in zip(common.own_columns(docs, text=F.col(p + "text")), docs.columns, strict=True) if name not in extra]
+    return out.select(*own, *[F.col(p + c).alias(c) for c in extra])
 
 
 def clean(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -244,11 +244,11 @@ def clean(docs: DataFrame, percent: int = 80) -> DataFrame:
     Texts without a line, null and empty ones too, stay; rows that repeat stay
     or go together, and an empty table gives an empty result.
     """
-    out = _rewritten(docs, percent).where("n_lines = 0 or n_kept > 0")
-    changed = {"text": F.col("text")}
+    out, p = _rewritten(docs, percent)
+    changed = {"text": F.col(p + "text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*common.own_columns(docs, **changed))
+        changed["n_chars"] = F.length(p + "text").cast(docs.schema["n_chars"].dataType)
+    return out.where((F.col(p + "n_lines") == 0) | (F.col(p + "n_kept") > 0)).select(*common.own_columns(docs, **changed))
 
 
 def report(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -154,14 +154,15 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     a null id are in the groups too, after those with an id. Null and empty
     texts are in no group; an empty table gives an empty result.
     """
-    found = groups(docs.select("doc_id", "text"), size, percent).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "stays")
+    p = common.free_prefix(docs)
+    found = groups(docs.select("doc_id", "text"), size, percent).select(F.col("doc_id").alias(p + "id"), F.col("version").alias(p + "version"), "stays")
     found = common.written(found, "stays")
-    rows = common.apart(docs, "doc_id", F.xxhash64("text").alias("_own"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_version"))
-    rows = rows.join(found.where(~F.col("stays")).select("_id", "_version"), same, "left_anti")
-    again = found.where("stays").groupBy("_id", "_version").count().where("count > 1").drop("count")
+    rows = docs.withColumn(p + "own", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(p + "id")) & (F.col(p + "own") == F.col(p + "version"))
+    rows = rows.join(found.where(~F.col("stays")).drop("stays"), same, "left_anti")
+    again = found.where("stays").groupBy(p + "id", p + "version").count().where("count > 1").drop("count")
     again = common.written(again, "repeats")
     if not again.isEmpty():
         again = common.small(again)
-        rows = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "_own"]))
+        rows = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", p + "own"]))
     return rows.select(*common.own_columns(docs))

@@ -31,13 +31,14 @@ STATISTICS = (
 )
 
 
-def with_statistics(df: DataFrame) -> DataFrame:
-    """Adds the struct column `_stats`. Null and empty texts have 0 in every field."""
+def with_statistics(df: DataFrame, prefix: str = "_") -> DataFrame:
+    """Adds the struct column `stats`, after the prefix, which no other column has. Null and empty texts have 0 in every field."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
     lines = F.transform(F.filter(F.split(text, "\n"), lambda x: x != ""), lambda x: F.xxhash64(x))
-    df = df.withColumn("_text", text).withColumn("_words", words).withColumn("_lines", lines)
-    t, w = F.col("_text"), F.col("_words")
+    made = [prefix + n for n in ("text", "words", "lines")]
+    df = df.withColumns(dict(zip(made, (text, words, lines), strict=True)))
+    t, w, lines = map(F.col, made)
 
     def per(n: Column, of: Column) -> Column:
         return F.coalesce(n.cast("double") / F.nullif(of, F.lit(0)), F.lit(0.0))
@@ -60,9 +61,9 @@ def with_statistics(df: DataFrame) -> DataFrame:
         "pipe": per(kept(r"[^|]+"), k),
         "distinct_words": per(F.size(F.array_distinct(w)), k),
         "repeat_next": per(again, k),
-        "distinct_lines": per(F.size(F.array_distinct("_lines")), F.size("_lines")),
+        "distinct_lines": per(F.size(F.array_distinct(lines)), F.size(lines)),
     }
-    return df.withColumn("_stats", F.struct(*[stats[c].alias(c) for c in STATISTICS])).drop("_text", "_words", "_lines")
+    return df.withColumn(prefix + "stats", F.struct(*[stats[c].alias(c) for c in STATISTICS])).drop(*made)
 
 
 @dataclass(frozen=True)
@@ -201,8 +202,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound:
     which is a half. An empty table gives an empty result.
     """
     rules = fit(docs, labels, bound)
-    scored = with_statistics(common.apart(docs, "text")).where(rules.column() >= threshold)
-    return scored.select(*common.own_columns(docs))
+    prefix = common.free_prefix(docs)
+    return with_statistics(docs, prefix).where(rules.column(prefix + "stats") >= threshold).select(*common.own_columns(docs))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = SAMPLE) -> DataFrame:
