@@ -46,19 +46,22 @@ def _drop_all() -> None:
             drop(spark, path)
 
 
-#: Has Spark remove a query's shuffle files when it ends, and not at some later garbage collection.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: a query's shuffle files go when it ends, and not at some later garbage collection;
+#: batches to and from Python are small, since they lie outside of the heap, several times over.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path, before = new_path(spark, name), {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(df.schema).parquet(path)
 
 
