@@ -34,7 +34,7 @@ from corpusmill.llm import common
 from corpusmill.operators.components import components as connected
 
 #: Entries that a task sorts at a time; entries of a reducer's range on average; bands of a round.
-SORTED, REDUCED, ROUND = 1 << 21, 1 << 21, 15
+SORTED, REDUCED, ROUND = 1 << 19, 1 << 20, 15
 #: Members of a bucket in one task's sort, and in a reducer, beyond which the bucket is large.
 HOT, LARGE = 64, 4096
 #: Members of a block of a large bucket; of a pack of other buckets, on average; pairs compared at a time.
