@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of the memos of a Python worker, which are emptied when full, and the longest text that is a key.
-PIECES, PAIRS, KEY = 700_000, 500_000, 64
+PIECES, PAIRS, KEY = 400_000, 400_000, 64
 WIDE = re.compile(r"\s\s\s").search
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

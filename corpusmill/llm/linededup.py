@@ -23,7 +23,7 @@ from corpusmill.llm import common, similar
 
 SHINGLE, BANDS, ROWS, SEED = 7, 30, 4, 31  # shingles() makes sevens
 #: Letters of the lines that are read together, and of those that are hashed together, which stay in the cache.
-LETTERS, HASHED = 1 << 20, 1 << 16
+LETTERS, HASHED = 1 << 19, 1 << 16
 #: What counts as a blank beside it.
 ODD = "\t\r\x0b\f"
 

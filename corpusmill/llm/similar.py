@@ -34,13 +34,13 @@ from corpusmill.llm import common
 from corpusmill.operators.components import components as connected
 
 #: Entries that a task sorts at a time; entries of a reducer's range on average; bands of a round.
-SORTED, REDUCED, ROUND = 1 << 19, 1 << 20, 15
+SORTED, REDUCED, ROUND = 1 << 18, 1 << 19, 15
 #: Members of a bucket in one task's sort, and in a reducer, beyond which the bucket is large.
 HOT, LARGE = 64, 4096
 #: Members of a block of a large bucket; of a pack of other buckets, on average; pairs compared at a time.
-BLOCK, PACK, AT_ONCE = 512, 4096, 1 << 16
+BLOCK, PACK, AT_ONCE = 512, 4096, 1 << 14
 #: Pairs that a cell confirms at a time; elements of sets, and bytes of them as stored, that are compared at a time.
-SOME, ELEMENTS, BYTES = 4096, 1 << 20, 1 << 21
+SOME, ELEMENTS, BYTES = 4096, 1 << 18, 1 << 19
 #: Standard errors that an estimate may lie under the threshold.
 SLACK = 6.0
 
