@@ -527,3 +527,13 @@ def test_spans_that_are_added(spark):
     assert got[200]["spans"] == "secret:5:45" and got[202]["n_added"] == 0
     for t, n in (("abc 1234", 4), ("x", 1), ("=\"q\"", 1)):
         assert len(pii.looks(t, t, 0, len(t))) == len(pii.LOOKS) and all(v < m for v, m in zip(pii.looks(t, t, 0, n), pii.LOOKS, strict=True))
+
+
+def test_ascending():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2)
+    close = np.repeat(x[:50], 40) ^ np.tile(np.arange(40, dtype=np.uint64), 50)  # only low bits tell these apart
+    for values in (x[:0], x[:1], x, np.repeat(x, 3), rng.permutation(np.concatenate([x, close]))):
+        order = similar._ascending(values)
+        assert sorted(order.tolist()) == list(range(len(values)))
+        assert (values[order] == np.sort(values)).all()
