@@ -13,9 +13,12 @@ The result is the one that BPE merges give.
 from __future__ import annotations
 
 import base64
-import functools
+import contextlib
+import ctypes
+import gc
 import hashlib
 import re
+import threading
 from array import array
 from collections.abc import Iterator
 
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 
 #: Entries of the memos of a Python worker, which are emptied when full, and the longest text that is a key.
 PIECES, PAIRS, KEY = 400_000, 400_000, 64
+#: Seconds after its last use that a Python worker keeps a codec. Workers outlive the stage that started them, and an idle one would keep its memory from the next.
+KEPT_S = 10
 WIDE = re.compile(r"\s\s\s").search
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -158,10 +163,48 @@ class Codec:
         return self.flat[np.arange(total) + np.repeat(self.starts[i] - ends + widths, widths)].tobytes()
 
 
-@functools.cache
-def codec(path: str, pattern: str) -> Codec:
-    """One for each Python worker, which uses it for all its tasks."""
-    return Codec(load_ranks(path), pattern)
+class Held:
+    """What the tasks of a Python worker make once and share, let go when none has used it for KEPT_S."""
+
+    def __init__(self, make):
+        self.make, self.made, self.users, self.lock, self.timer = make, {}, 0, threading.RLock(), None
+
+    @contextlib.contextmanager
+    def use(self, *key):
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+            if key not in self.made:
+                self.made[key] = self.make(*key)
+            self.users += 1
+            value = self.made[key]
+        try:
+            yield value
+        finally:
+            del value
+            with self.lock:
+                self.users -= 1
+                if not self.users:
+                    self.timer = threading.Timer(KEPT_S, self.let_go)
+                    self.timer.daemon = True
+                    self.timer.start()
+
+    def let_go(self) -> None:
+        with self.lock:
+            if self.users or threading.current_thread() is not self.timer:  # used meanwhile: a later timer ends it
+                return
+            self.made.clear()
+            gc.collect()
+        with contextlib.suppress(AttributeError, OSError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+_codecs = Held(lambda path, pattern: Codec(load_ranks(path), pattern))
+
+
+def codec(path: str, pattern: str):
+    """A context with the worker's codec, which all its tasks use while they follow each other."""
+    return _codecs.use(path, pattern)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -172,9 +215,9 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(path, pattern)
-        for s in parts:
-            yield pd.Series([np.frombuffer(c.encode(t or ""), "<i4") for t in s], dtype=object)
+        with codec(path, pattern) as c:
+            for s in parts:
+                yield pd.Series([np.frombuffer(c.encode(t or ""), "<i4") for t in s], dtype=object)
 
     return docs.withColumn("ids", ids(F.col("text")))
 
@@ -184,9 +227,9 @@ def decoded(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(path, pattern)
-        for s in parts:
-            yield s.map(lambda x: c.decode(np.asarray(() if x is None else x, "<u4").tobytes()).decode("utf-8", "replace"))
+        with codec(path, pattern) as c:
+            for s in parts:
+                yield s.map(lambda x: c.decode(np.asarray(() if x is None else x, "<u4").tobytes()).decode("utf-8", "replace"))
 
     return df.withColumn("text", text(F.col("ids")))
 
@@ -200,14 +243,14 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path, pattern)
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                ids = c.encode(t or "")
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
-            made = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            made.insert(0, "doc_id", b["doc_id"].array)
-            yield made
+        with codec(path, pattern) as c:
+            for b in batches:
+                out = []
+                for t in b["text"]:
+                    ids = c.encode(t or "")
+                    out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
+                made = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                made.insert(0, "doc_id", b["doc_id"].array)
+                yield made
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(rows, SCHEMA)

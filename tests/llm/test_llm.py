@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import weakref
 import zlib
 
 import numpy as np
@@ -40,6 +42,24 @@ def test_bpe_equals_merges_and_round_trips(ranks):
         assert c.decode(ids) == t.encode()
 
 
+def test_idle_workers_let_go_of_the_codec(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_S", 0.2)
+    key = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    with bpe.codec(*key) as c:
+        seen = weakref.ref(c)
+    with bpe.codec(*key) as again:
+        assert again is c
+        del c, again
+        time.sleep(0.6)  # in use: kept
+        assert seen() is not None
+    until = time.monotonic() + 20
+    while seen() is not None and time.monotonic() < until:
+        time.sleep(0.05)
+    assert seen() is None
+    with bpe.codec(*key) as new:
+        assert new.decode(new.encode("Hello there")) == b"Hello there"
+
+
 def test_bpe_digests(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     got = bpe.digests(docs(spark, [(1, "Hello there"), (None, None), (2, ""), (2, "")]), path, P.PATTERN).collect()
